@@ -4,8 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# A JSON text cut into strings (with the colon that marks a key), brackets, numbers, rest.
-TOKEN = r'"(?:[^"\\]|\\.)*+":?|[\[\]{}]|-?[0-9][0-9.eE+-]*|[^"\[\]{}0-9-]+'
+# Patterns over canonical JSON text, as to_json writes it. Loops are possessive, so long
+# texts neither backtrack nor recurse.
+STRING_BODY = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+STRING = f'"{STRING_BODY}"'
+
+
+def _array(depth: int) -> str:
+    inner = "" if depth == 0 else "|" + _array(depth - 1)
+    return rf'\[(?:[^\[\]"]++|{STRING}{inner})*+\]'
+
+
+# A key without one leading $, then its value: a string, an array up to four deep, a number
+# or word, or the bracket that opens an object or a deeper array.
+PAIR = rf'"\$?({STRING_BODY})":({STRING}|{_array(3)}|[^\[\]{{}}",]++|[\[{{])'
+
+# Strings (with the colon that marks a key), brackets, numbers, rest.
+TOKEN = rf'{STRING}:?|[\[\]{{}}]|-?[0-9][0-9.eE+-]*|[^"\[\]{{}}0-9-]+'
 
 # Characters that JSON text carries as escapes, and those escapes.
 ESCAPES = {
@@ -17,17 +32,22 @@ ESCAPES = {
 }
 
 
-def parse_whole(text: Column) -> Column:
-    """JSON text -> Variant; NULL unless the whole text is exactly one JSON value.
+END_MARK = "end of message"
+
 
-    The JSON parser stops after the first value. Wrapped in an array with a closing mark,
-    trailing text breaks the array or changes its length.
+def parse_marked(text: Column) -> Column:
+    """JSON text -> array of the parsed value and a closing mark.
+
+    The JSON parser stops after the first value. Wrapped in an array with a mark at its
+    end, trailing text breaks the array or changes its length.
     """
-    mark = "end of message"
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{mark}"]')))
-    items = F.try_variant_get(wrapped, "$", "array<variant>")
-    whole = (F.size(items) == 2) & (F.try_variant_get(wrapped, "$[1]", "string") == mark)
-    return F.when(whole, F.get(items, 0))
+    return as_array(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END_MARK}"]'))))
+
+
+def whole_value(marked: Column) -> Column:
+    """The value of ``parse_marked``; NULL unless the whole text was exactly one value."""
+    closed = F.try_variant_get(F.get(marked, 1), "$", "string") == END_MARK
+    return F.when((F.size(marked) == 2) & closed, F.get(marked, 0))
 
 
 def as_object(value: Column) -> Column:
@@ -107,7 +127,7 @@ def _bare_key(token: Column) -> Column:
 
 
 def _strip_all_keys(json: Column) -> Column:
-    return F.array_join(F.transform(_tokens(json), _bare_key), "")
+    return F.regexp_replace(json, rf'([{{,])"\$({STRING_BODY}":)', '$1"$2')
 
 
 def _strip_reachable_keys(json: Column) -> Column:
@@ -151,27 +171,35 @@ def _strip_item(item: Column) -> Column:
     )
 
 
-def array_text(value: Column) -> Column:
-    """JSON text of an array: ``$`` stripped from keys, keys sorted, numbers normalised."""
-    json = F.to_json(value)
-    items = F.transform(as_array(value), _strip_item)
-    stripped = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
-    sorted_json = F.when(
+def array_text(json: Column) -> Column:
+    """JSON text of an array: ``$`` stripped from keys, keys sorted, numbers normalised.
+
+    Most arrays need none of this and pass through. When there are arrays inside arrays,
+    items are stripped one by one, since their inner arrays keep their keys.
+    """
+    one_by_one = F.concat(
+        F.lit("["),
+        F.array_join(F.transform(as_array(F.try_parse_json(json)), _strip_item), ","),
+        F.lit("]"),
+    )
+    nested = F.substring(json, 2, 1 << 30).rlike(r"[\[,]\[")
+    stripped = F.when(nested, one_by_one).otherwise(_strip_all_keys(json))
+    in_order = F.when(
         F.contains(json, F.lit('"$')), F.to_json(F.try_parse_json(stripped))
     ).otherwise(json)
-    number = r"\A-?[0-9]"
     normal = F.array_join(
         F.transform(
-            _tokens(sorted_json), lambda t: F.when(t.rlike(number), json_number(t)).otherwise(t)
+            _tokens(in_order),
+            lambda t: F.when(t.rlike(r"\A-?[0-9]"), json_number(t)).otherwise(t),
         ),
         "",
     )
-    unusual = sorted_json.rlike(r"[0-9]E|\.0[,\]}]|0\.000000")
-    text = F.when(unusual, normal).otherwise(sorted_json)
+    text = F.when(in_order.rlike(r"[0-9]E|\.0[,\]}]|0\.000000"), normal).otherwise(in_order)
     escaped = text
     for char, escape in ESCAPES.items():
         escaped = F.replace(escaped, F.lit(char), F.lit(escape))
-    return F.when(text.rlike("[&<>\u2028\u2029]"), escaped).otherwise(text)
+    unusual = json.rlike('"\\$|[0-9]E|\\.0[,\\]}]|0\\.000000|[&<>\u2028\u2029]')
+    return F.when(unusual, escaped).otherwise(json)
 
 
 def value_kind(json: Column) -> Column:
@@ -179,41 +207,86 @@ def value_kind(json: Column) -> Column:
     first = F.left(json, F.lit(1))
     return (
         F.when(first == '"', "string")
-        .when(first.isin("t", "f"), "bool")
-        .when(first == "n", "null")
-        .when(first == "[", "array")
-        .when(first == "{", "object")
         .when(json.rlike(r"\A-?[0-9]+(\.0)?\z"), "int")
         .when(json.rlike(r"\A-?[0-9.]+\z"), "float")
+        .when(first == "[", "array")
+        .when(json.isin("true", "false"), "bool")
+        .when(json == "null", "null")
+        .when(first == "{", "object")
         .when(plain_number(json).rlike(r"\A-?[0-9]+\z"), "int")
         .otherwise("float")
     )
 
 
-def value_text(value: Column, json: Column, kind: Column) -> Column:
+def value_text(json: Column, kind: Column) -> Column:
     """Text of a JSON value: empty for null, numbers plain, arrays as JSON."""
+    unescaped = F.when(
+        F.contains(json, F.lit("\\")), F.try_parse_json(json).cast("string")
+    ).otherwise(F.substring(json, F.lit(2), F.length(json) - 2))
     return (
-        F.when(kind == "null", "")
-        .when(kind == "string", value.cast("string"))
+        F.when(kind == "string", unescaped)
         .when(kind.isin("int", "float"), F.when(json.rlike(r"E|\.0\z"), plain_number(json)).otherwise(json))
-        .when(kind == "array", array_text(value))
+        .when(kind == "array", array_text(json))
+        .when(kind == "null", "")
         .otherwise(json)
     )
 
 
+def pairs(json: Column) -> Column:
+    """(key, json) of all members that are no objects, found in the text of an object."""
+    zipped = F.arrays_zip(
+        F.regexp_extract_all(json, F.lit(PAIR), F.lit(1)).alias("key"),
+        F.regexp_extract_all(json, F.lit(PAIR), F.lit(2)).alias("json"),
+    )
+    return F.filter(zipped, lambda p: p["json"] != "{")
+
+
+def is_plain(pairs: Column) -> Column:
+    """Whether the pairs are exact: no escaped keys, no deep arrays, no key twice."""
+    keys = pairs["key"]
+    return (
+        (F.size(F.array_distinct(keys)) == F.size(keys))
+        & ~F.contains(F.array_join(keys, ""), F.lit("\\"))
+        & ~F.array_contains(pairs["json"], "[")
+    )
+
+
+def pair_leaves(pairs: Column) -> Column:
+    """Pairs -> rows of (key, kind, text)."""
+    with_kind = F.transform(
+        pairs,
+        lambda p: F.struct(
+            p["key"].alias("key"), p["json"].alias("json"), value_kind(p["json"]).alias("kind")
+        ),
+    )
+    return F.transform(
+        with_kind,
+        lambda p: F.struct(
+            p["key"].alias("key"),
+            p["kind"].alias("kind"),
+            value_text(p["json"], p["kind"]).alias("text"),
+        ),
+    )
+
+
 def _members(members: Column, depth: Column, path: Column | None) -> Column:
     def entry(e: Column) -> Column:
         return F.struct(
             strip_dollar(e["key"]).alias("key"),
             e["value"].alias("value"),
+            F.to_json(e["value"]).alias("json"),
             depth.alias("depth"),
-            F.startswith(e["key"], F.lit("$")).cast("int").alias("dollar"),
+            F.startswith(e["key"], F.lit("$")).alias("dollar"),
             (e["key"] if path is None else F.concat(path, F.lit("."), e["key"])).alias("path"),
         )
 
     return F.transform(F.map_entries(members), entry)
 
 
+def _is_object(entry: Column) -> Column:
+    return F.startswith(entry["json"], F.lit("{"))
+
+
 def flat_entries(value: Column) -> Column:
     """All non-object members at any depth, under their own names.
 
@@ -231,50 +304,31 @@ def flat_entries(value: Column) -> Column:
         opened = F.flatten(
             F.transform(
                 entries,
-                lambda e: F.coalesce(
-                    _members(as_object(e["value"]), e["depth"] + 1, e["path"]), F.array(e)
-                ),
+                lambda e: F.when(
+                    _is_object(e), _members(as_object(e["value"]), e["depth"] + 1, e["path"])
+                ).otherwise(F.array(e)),
             )
         )
-        pending = F.exists(entries, lambda e: as_object(e["value"]).isNotNull())
-        return F.when(pending, opened).otherwise(entries)
+        return F.when(F.exists(entries, _is_object), opened).otherwise(entries)
 
     return F.reduce(rounds, _members(as_object(value), F.lit(0), None), open_objects)
 
 
 def leaves(entries: Column) -> Column:
     """Entries -> sortable rows of (key, depth, dollar, path, kind, text)."""
-    with_json = F.transform(
-        entries,
-        lambda e: F.struct(
-            e["key"].alias("key"),
-            e["depth"].alias("depth"),
-            e["dollar"].alias("dollar"),
-            e["path"].alias("path"),
-            e["value"].alias("value"),
-            F.to_json(e["value"]).alias("json"),
-        ),
-    )
-    with_kind = F.transform(
-        with_json,
-        lambda e: F.struct(
-            e["key"].alias("key"),
-            e["depth"].alias("depth"),
-            e["dollar"].alias("dollar"),
-            e["path"].alias("path"),
-            e["value"].alias("value"),
-            e["json"].alias("json"),
-            value_kind(e["json"]).alias("kind"),
-        ),
-    )
-    return F.transform(
-        with_kind,
-        lambda e: F.struct(
+
+    def kind(e: Column) -> Column:
+        return F.struct(e.alias("entry"), value_kind(e["json"]).alias("kind"))
+
+    def leaf(k: Column) -> Column:
+        e = k["entry"]
+        return F.struct(
             e["key"].alias("key"),
             e["depth"].alias("depth"),
             e["dollar"].alias("dollar"),
             e["path"].alias("path"),
-            e["kind"].alias("kind"),
-            value_text(e["value"], e["json"], e["kind"]).alias("text"),
-        ),
-    )
+            k["kind"].alias("kind"),
+            value_text(e["json"], k["kind"]).alias("text"),
+        )
+
+    return F.transform(F.transform(entries, kind), leaf)

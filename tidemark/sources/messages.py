@@ -32,10 +32,15 @@ def get_text(value: Column, key: str) -> Column:
     """Text of one top-level member; NULL when it is absent or null."""
     member = F.element_at(variant.as_object(value), key)
     json = F.to_json(member)
-    text = variant.value_text(member, json, variant.value_kind(json))
+    text = variant.value_text(json, variant.value_kind(json))
     return F.when(json != "null", text)
 
 
+def message_type(value: Column) -> Column:
+    """The top-level ``type``, for comparison with known names."""
+    return F.try_variant_get(value, "$.type", "string")
+
+
 def _route(payload: Column, body: Column, items: Column, max_bytes: int) -> Column:
     """(route, reason) of a whole message."""
 
@@ -56,11 +61,21 @@ def _route(payload: Column, body: Column, items: Column, max_bytes: int) -> Colu
         .when(items.isNotNull(), reject(BAD_SHAPE))
         .when(F.is_variant_null(body), accept("nothing"))
         .when(variant.as_object(body).isNull(), reject(BAD_SHAPE))
-        .when(get_text(body, "type") == "track", accept("event"))
+        .when(message_type(body) == "track", accept("event"))
         .otherwise(accept("profile"))
     )
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    Plain projections are merged, and filters on a computed column move below it; either
+    repeats the expression. An explode of one row stops both.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def decode(messages: DataFrame, max_bytes: int = MAX_PAYLOAD_BYTES) -> DataFrame:
     """One row per record: event elements, profiles, rejects, and accepted blanks.
 
@@ -69,14 +84,14 @@ def decode(messages: DataFrame, max_bytes: int = MAX_PAYLOAD_BYTES) -> DataFrame
     one without ``$``, then the smaller path; ``collisions`` counts the losers.
     """
     configure(messages.sparkSession)
-    payload = pick_payload(F.col("data_list"), F.col("data"))
-    fits = F.when(F.octet_length("payload") <= max_bytes, F.col("payload"))
-    routed = (
-        messages.select("seq", "received_at", payload.alias("payload"))
-        .withColumn("body", variant.parse_whole(fits))
-        .withColumn("items", variant.as_array(F.col("body")))
-        .withColumn("routed", _route(F.col("payload"), F.col("body"), F.col("items"), max_bytes))
+    sent = messages.select(
+        "seq", "received_at", pick_payload(F.col("data_list"), F.col("data")).alias("payload")
     )
+    fits = F.when(F.octet_length("payload") <= max_bytes, F.col("payload"))
+    parsed = once(sent, marked=variant.parse_marked(fits))
+    parsed = once(parsed, body=variant.whole_value(F.col("marked")))
+    parsed = once(parsed, items=variant.as_array(F.col("body")))
+    routed = once(parsed, routed=_route(F.col("payload"), F.col("body"), F.col("items"), max_bytes))
     elements = (
         F.when(F.col("routed.route") == "event", F.coalesce("items", F.array("body")))
         .when(F.col("routed.route") == "profile", F.array("body"))
@@ -89,35 +104,34 @@ def decode(messages: DataFrame, max_bytes: int = MAX_PAYLOAD_BYTES) -> DataFrame
         "routed.reason",
         F.posexplode(elements).alias("pos", "element"),
     )
-    flat = records.select(
-        "seq",
-        "received_at",
-        "pos",
-        "route",
-        "reason",
-        F.when(F.col("route") == "profile", get_text(F.col("element"), "type")).alias("method"),
-        variant.leaves(variant.flat_entries(F.col("element"))).alias("found"),
-    )
-    return _name_records(_settle_collisions(flat))
+    return _name_records(_with_leaves(records))
 
 
-def _settle_collisions(flat: DataFrame) -> DataFrame:
-    keys = F.transform("found", lambda e: e["key"])
-    clash = F.size(F.array_distinct(keys)) < F.size(keys)
-    ordered = flat.withColumn("clash", clash).withColumn(
-        "ordered", F.when(F.col("clash"), F.array_sort("found")).otherwise(F.col("found"))
-    )
+def _with_leaves(records: DataFrame) -> DataFrame:
+    """Add ``leaves`` and ``collisions``.
+
+    One regular expression over the canonical text finds the members of most records. Those
+    it cannot settle, such as records with colliding keys, are walked level by level.
+    """
+    element = F.col("element")
+    method = F.when(F.col("route") == "profile", message_type(element))
+    texts = once(records, json=F.to_json(element), method=method)
+    paired = once(texts, pairs=variant.pairs(F.col("json")))
+    walk = F.array_sort(variant.leaves(variant.flat_entries(element)))
+    plain = F.col("pairs").isNull() | variant.is_plain(F.col("pairs"))
+    walked = once(paired, found=F.when(~plain, walk))
     winners = F.filter(
-        "ordered",
-        lambda e, i: (i == 0) | (F.get(F.col("ordered"), i - 1)["key"] != e["key"]),
+        "found", lambda e, i: (i == 0) | (F.get(F.col("found"), i - 1)["key"] != e["key"])
     )
-    kept = F.when(F.col("clash"), winners).otherwise(F.col("ordered"))
     slim = F.transform(
-        kept, lambda e: F.struct(e["key"].alias("key"), e["kind"].alias("kind"), e["text"].alias("text"))
+        winners,
+        lambda e: F.struct(e["key"].alias("key"), e["kind"].alias("kind"), e["text"].alias("text")),
     )
-    return ordered.withColumn("leaves", slim).withColumn(
-        "collisions", F.coalesce(F.size("found") - F.size("leaves"), F.lit(0))
-    ).drop("found", "ordered", "clash")
+    is_plain = F.col("found").isNull()
+    leaves = F.when(is_plain, variant.pair_leaves(F.col("pairs"))).otherwise(slim)
+    settled = once(walked, leaves=leaves)
+    losers = F.when(is_plain, 0).otherwise(F.size("found") - F.size("leaves"))
+    return settled.withColumn("collisions", losers).drop("element", "json", "pairs", "found")
 
 
 def _name_records(flat: DataFrame) -> DataFrame:

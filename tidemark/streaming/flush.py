@@ -15,7 +15,13 @@ from tidemark.operators.evolve import collect_columns, new_text_columns
 from tidemark.operators.profiles import ProfileStore
 from tidemark.schema import EVENT_CORE, event_rows
 from tidemark.session import configure
-from tidemark.sources.messages import decode, event_records, profile_records, rejects
+from tidemark.sources.messages import (
+    MAX_PAYLOAD_BYTES,
+    decode,
+    event_records,
+    profile_records,
+    rejects,
+)
 from tidemark.sources.tables import append_events
 
 MESSAGE_SCHEMA = "seq BIGINT, received_at TIMESTAMP, data_list STRING, data STRING"
@@ -68,6 +74,7 @@ def start_event_flush(
     checkpoint: str,
     every: str | None = EVENT_FLUSH,
     horizon: str | None = None,
+    max_bytes: int = MAX_PAYLOAD_BYTES,
     tz: str = "UTC",
     name: str = "event_flush",
 ) -> StreamingQuery:
@@ -80,7 +87,7 @@ def start_event_flush(
 
     def flush(batch: DataFrame, batch_id: int) -> None:
         if horizon is None:
-            decoded = decode(batch).persist()
+            decoded = decode(batch, max_bytes).persist()
             records = drop_exact_duplicates(event_records(decoded))
             rejects(decoded).write.mode("overwrite").parquet(f"{path}/rejects/batch_id={batch_id}")
         else:
@@ -95,7 +102,7 @@ def start_event_flush(
 
     source = messages
     if horizon is not None:
-        source = drop_recent_duplicates(event_records(decode(messages)), horizon)
+        source = drop_recent_duplicates(event_records(decode(messages, max_bytes)), horizon)
     return _start(source.writeStream.foreachBatch(flush), name, checkpoint, every)
 
 

@@ -59,15 +59,17 @@ def event_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.withColumn("time", F.col("time").cast("timestamp"))
 
 
-def with_first_day(df: DataFrame) -> DataFrame:
+def with_first_day(df: DataFrame, salts: int = 32) -> DataFrame:
     """Add ``is_first_day`` by a join with each user's first date.
 
-    The first dates come from a partial aggregate, so a hot user is reduced before the
-    shuffle; in the join AQE splits a skewed user's rows.
+    The first dates come from a partial aggregate. They are repeated once per salt, so that
+    the rows of a hot user meet them in many tasks.
     """
     first = df.groupBy("distinct_id").agg(F.min("ds").alias("first_ds"))
+    copies = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = df.withColumn("salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int"))
     return (
-        df.join(first, "distinct_id")
+        salted.join(copies, ["distinct_id", "salt"])
         .withColumn("is_first_day", F.col("ds") == F.col("first_ds"))
-        .drop("first_ds")
+        .drop("first_ds", "salt")
     )

@@ -390,11 +390,11 @@ def _in_two_parts(df: DataFrame, column: str, path: str, run) -> None:
 
 def stream_ingest(spark, sf_dir):
     root = scratch_dir(spark, "stream-events")
-    small = F.octet_length(F.concat("data_list", "data")) <= MAX_BYTES
 
     def run():
         return flush.start_event_flush(
-            flush.read_messages(spark, f"{root}/in").filter(small), f"{root}/out", f"{root}/checkpoint", every=None
+            flush.read_messages(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint", every=None,
+            max_bytes=MAX_BYTES,
         )
 
     _in_two_parts(with_copies(messages(spark, sf_dir)), "received_at", f"{root}/in", run)
@@ -406,8 +406,8 @@ def stream_ingest(spark, sf_dir):
 STREAM_INGEST_ORACLE = f"""{MESSAGE_SQL}, u AS (SELECT *,
     event_id % 9 = 0 AND epoch_us(time) + delay_s * 1000000 < epoch_us(TIMESTAMP '{SPLIT}')
       AND epoch_us(time) + delay_s * 1000000 + 1000000 >= epoch_us(TIMESTAMP '{SPLIT}') AS twice FROM ev),
-  r AS (SELECT *, rms AS at FROM u UNION ALL SELECT *, rms + 1000 FROM u WHERE twice)
-SELECT event, distinct_id, CASE event_id % 5 WHEN 0 THEN ms // 1000 * 1000 WHEN 4 THEN at ELSE ms END AS time_ms,
+  r AS (SELECT *, rms AS seen FROM u UNION ALL SELECT *, rms + 1000 FROM u WHERE twice)
+SELECT event, distinct_id, CASE event_id % 5 WHEN 0 THEN ms // 1000 * 1000 WHEN 4 THEN seen ELSE ms END AS time_ms,
   json_extract_string(props, '$.k') AS k, concat('["t', event_id % 7, '",{{"a":1.5,"b":', event_id % 3, '}},100]') AS tags
 FROM r WHERE shape IN (3, 4, 5) OR shape >= 7
 UNION ALL SELECT 'heartbeat', distinct_id, ms, '', '' FROM r WHERE shape = 5"""
@@ -419,11 +419,10 @@ def stream_dedup(spark, sf_dir):
     def run():
         return flush.start_event_flush(
             flush.read_messages(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint", every=None,
-            horizon="10 minutes",
+            horizon="10 minutes", max_bytes=MAX_BYTES,
         )
 
-    sent = with_copies(messages(spark, sf_dir)).filter(F.octet_length(F.concat("data_list", "data")) <= MAX_BYTES)
-    _in_two_parts(sent, "received_at", f"{root}/in", run)
+    _in_two_parts(with_copies(messages(spark, sf_dir)), "received_at", f"{root}/in", run)
     return flush.read_flushed(spark, f"{root}/out").groupBy("event").agg(F.count(F.lit(1)).alias("events"))
 
 
@@ -440,12 +439,12 @@ def stream_profiles(spark, sf_dir):
     return props_columns(store.read(), "name", "level", "phone")
 
 
-STREAM_PROFILES_ORACLE = f"""{MESSAGE_SQL}, p AS (SELECT *, epoch_us(time) + delay_s * 1000000 AS at FROM ev WHERE shape < 3),
-  o AS (SELECT *, CAST(at AS HUGEINT) * 10000000 + event_id AS ord, shape < 2 AS merges FROM p)
+STREAM_PROFILES_ORACLE = f"""{MESSAGE_SQL}, p AS (SELECT *, epoch_us(time) + delay_s * 1000000 AS seen FROM ev WHERE shape < 3),
+  o AS (SELECT *, CAST(seen AS HUGEINT) * 10000000 + event_id AS ord, shape < 2 AS merges FROM p)
 SELECT distinct_id, arg_max(concat('name-', event_id), ord) FILTER (WHERE merges) AS name,
   arg_max(CAST(event_id % 5 AS VARCHAR), ord) FILTER (WHERE merges) AS level,
   arg_max(concat('p-', event_id), ord) FILTER (WHERE shape = 1) AS phone,
-  max(at) // 1000000 AS received_s FROM o GROUP BY distinct_id HAVING count(*) FILTER (WHERE merges) > 0"""
+  max(seen) // 1000000 AS received_s FROM o GROUP BY distinct_id HAVING count(*) FILTER (WHERE merges) > 0"""
 
 
 def stream_hourly(spark, sf_dir):
@@ -500,9 +499,9 @@ ORACLES = {
     "duplicate_rate": f"""{MESSAGE_SQL}, r AS (SELECT event_id FROM main UNION ALL SELECT event_id FROM beat),
       c AS (SELECT count(*) AS n, count(*) FILTER (WHERE event_id % 9 = 0) AS extra FROM r)
     SELECT n + extra AS rows, extra AS extra_copies, round(CAST(extra AS DOUBLE) / CAST(n + extra AS DOUBLE), 6) AS duplicate_rate FROM c""",
-    "event_registry": f"""{MESSAGE_SQL}, r AS (SELECT event, epoch_us(time) + delay_s * 1000000 AS at FROM main
+    "event_registry": f"""{MESSAGE_SQL}, r AS (SELECT event, epoch_us(time) + delay_s * 1000000 AS seen FROM main
       UNION ALL SELECT 'heartbeat', epoch_us(time) + delay_s * 1000000 FROM beat)
-    SELECT event, max(at) AS last_seen_us FROM r GROUP BY event""",
+    SELECT event, max(seen) AS last_seen_us FROM r GROUP BY event""",
     "reject_windows": f"""{MESSAGE_SQL} SELECT rms // 86400000 * 86400 AS window_start, {REASON_SQL} AS reason,
       count(*) AS messages FROM ev WHERE shape = 6 AND (event_id // 16) % 8 <> 6 GROUP BY 1, 2""",
     "demo_source": DEMO_ORACLE,
