@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.functions.variant import once
 from tidemark.sources.messages import text_map
 
 
@@ -26,8 +27,8 @@ def drop_exact_duplicates(records: DataFrame) -> DataFrame:
         F.struct("seq", "pos", "received_at", "leaves"), F.struct("received_at", "seq", "pos")
     )
     kept = with_hash(records).groupBy("event", "payload_hash").agg(first.alias("first"))
-    return kept.select("event", "payload_hash", "first.*").withColumn(
-        "props", text_map(F.col("leaves"))
+    return once(
+        kept.select("event", "payload_hash", "first.*"), props=text_map(F.col("leaves"))
     )
 
 

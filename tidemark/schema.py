@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions import coerce
+from tidemark.functions.variant import once
 
 # The core columns of the two tables.
 EVENT_TEXT = [
@@ -41,8 +42,8 @@ EVENT_SCHEMA = T.StructType(
         T.StructField("time", T.TimestampType()),
         T.StructField("ds", T.DateType()),
         T.StructField("event", T.StringType()),
-        *[T.StructField(name, T.StringType()) for name in EVENT_TEXT],
         *[T.StructField(name, SPARK_TYPE[name]) for name in PARSED],
+        *[T.StructField(name, T.StringType()) for name in EVENT_TEXT],
     ]
 )
 
@@ -64,14 +65,17 @@ def event_rows(
 ) -> DataFrame:
     """Event records -> typed rows of the event table, as one projection."""
     props = F.col("props")
-    timed = records.withColumn("time", coerce.event_time(props["time"], F.col("received_at")))
-    names = [*EVENT_TEXT, *PARSED, *[n for n in extra if n not in EVENT_CORE]]
-    return timed.select(
+    timed = once(records, time=coerce.event_time(props["time"], F.col("received_at")))
+    # Two steps, so that the generated code of each stays small enough to be compiled.
+    parsed = once(timed, **{name: column_value(name, props) for name in PARSED})
+    texts = [*EVENT_TEXT, *[n for n in extra if n not in EVENT_CORE]]
+    return parsed.select(
         *keep,
         "time",
         coerce.event_date(F.col("time"), tz).alias("ds"),
         "event",
-        *[column_value(name, props).alias(name) for name in names],
+        *PARSED,
+        *[column_value(name, props).alias(name) for name in texts],
     )
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import variant
+from tidemark.functions.variant import once
 from tidemark.session import configure
 
 MAX_PAYLOAD_BYTES = 8 * 1024 * 1024
@@ -66,16 +67,6 @@ def _route(payload: Column, body: Column, items: Column, max_bytes: int) -> Colu
     )
 
 
-def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that are computed exactly once per row.
-
-    Plain projections are merged, and filters on a computed column move below it; either
-    repeats the expression. An explode of one row stops both.
-    """
-    row = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select("*", F.inline(F.array(row)))
-
-
 def decode(messages: DataFrame, max_bytes: int = MAX_PAYLOAD_BYTES) -> DataFrame:
     """One row per record: event elements, profiles, rejects, and accepted blanks.
 
@@ -147,7 +138,7 @@ def _name_records(flat: DataFrame) -> DataFrame:
         "pos",
         F.when(unnamed, "unnamed").when(bad, "reject").otherwise(F.col("route")).alias("route"),
         F.when(unnamed, None).when(bad, BAD_NAME).otherwise(F.col("reason")).alias("reason"),
-        F.when(is_event, F.col("name.text")).alias("event"),
+        F.when(is_event & (F.col("name.kind") == "string"), F.col("name.text")).alias("event"),
         "method",
         "leaves",
         "collisions",
@@ -162,17 +153,25 @@ def text_map(leaves: Column) -> Column:
 
 def event_records(decoded: DataFrame) -> DataFrame:
     """(seq, pos, received_at, event, leaves, props) of the stored events."""
-    return decoded.filter(F.col("route") == "event").select(
-        "seq", "pos", "received_at", "event", "leaves", text_map(F.col("leaves")).alias("props")
+    events = decoded.filter(F.col("route") == "event")
+    return once(
+        events.select("seq", "pos", "received_at", "event", "leaves"),
+        props=text_map(F.col("leaves")),
     )
 
 
 def profile_records(decoded: DataFrame) -> DataFrame:
     """(seq, received_at, distinct_id, method, props) of the profile messages."""
     kept = F.filter("leaves", lambda e: ~e["key"].isin(PROFILE_DROPS))
-    return decoded.filter(F.col("route") == "profile").select(
-        "seq", "received_at", "method", text_map(kept).alias("props")
-    ).withColumn("distinct_id", F.coalesce(F.col("props")["distinct_id"], F.lit("")))
+    records = decoded.filter(F.col("route") == "profile")
+    named = once(records, props=text_map(kept))
+    return named.select(
+        "seq",
+        "received_at",
+        "method",
+        "props",
+        F.coalesce(F.col("props")["distinct_id"], F.lit("")).alias("distinct_id"),
+    )
 
 
 def rejects(decoded: DataFrame) -> DataFrame:
