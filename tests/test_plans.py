@@ -14,7 +14,7 @@ from tidemark.workload.messages import messages
 SF_DIR = "/root/testdata/sf0.001"
 
 # These run jobs while they are built; their plans are covered by the parts they use.
-RUN_JOBS = ("stream_", "profile_upsert", "layout_", "retention_1y", "append_", "storage_", "migrate_", "typed_sink", "ingest_roundtrip")
+RUN_JOBS = ("stream_", "profile_upsert", "layout_", "retention_1y", "append_", "storage_", "migrate_", "typed_sink", "ingest_roundtrip", "property_profile")
 
 
 def plan(df):

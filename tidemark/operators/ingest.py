@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.operators.evolve import collect_columns, new_text_columns
 from tidemark.schema import EVENT_CORE, event_rows
+from tidemark.session import stage
 from tidemark.sources.messages import MAX_PAYLOAD_BYTES, decode, event_records
 
 
@@ -15,7 +16,7 @@ def ingest_events(
     tz: str = "UTC",
     keep: tuple[str, ...] = ("seq", "pos", "received_at", "props"),
 ) -> DataFrame:
-    """Decode a stored batch; one action beforehand finds the batch's new columns."""
-    records = event_records(decode(messages, max_bytes))
+    """Decode a batch once into a staged table, find its new columns, project the rows."""
+    records = stage(event_records(decode(messages, max_bytes)), "decoded")
     columns = collect_columns(new_text_columns(records, EVENT_CORE))
     return event_rows(records, [name for name, _ in columns], tz, keep)

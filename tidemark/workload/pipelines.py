@@ -11,7 +11,7 @@ from tidemark.operators import dedup, evolve, migrate, profiles
 from tidemark.operators.ingest import ingest_events
 from tidemark.plans import quality
 from tidemark.schema import EVENT_CORE
-from tidemark.session import scratch_dir
+from tidemark.session import scratch_dir, stage
 from tidemark.sources import demo, tables
 from tidemark.sources import messages as source
 from tidemark.streaming import flush
@@ -103,7 +103,7 @@ def evolve_schema_typed(spark, sf_dir):
 
 
 def typed_sink(spark, sf_dir):
-    records = source.event_records(decoded(spark, sf_dir))
+    records = stage(source.event_records(decoded(spark, sf_dir)), "decoded")
     found = evolve.collect_columns(evolve.new_typed_columns(records, EVENT_CORE))
     rows = evolve.typed_table(records, found, "received_at", "seq", "pos", "event")
     rows = rows.withColumn("distinct_id", F.lit("")).withColumn("user_id", F.lit(""))
@@ -116,7 +116,7 @@ def typed_sink(spark, sf_dir):
 
 
 def property_profile(spark, sf_dir):
-    records = source.event_records(decoded(spark, sf_dir))
+    records = stage(source.event_records(decoded(spark, sf_dir)), "decoded")
     total = records.agg(F.count(F.lit(1))).scalar()
     return quality.property_profile(evolve.leaf_rows(records), total)
 

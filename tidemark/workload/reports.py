@@ -188,6 +188,7 @@ QUERIES = {
     "hourly_trend": lambda s, d: metrics.hourly_trend(event_view(s, d), APP_ID),
     "daily_active": lambda s, d: metrics.daily_active(event_view(s, d), APP_ID),
     "top_events": top_events,
+    "top_20_events": lambda s, d: metrics.top_events(event_view(s, d), 20),
     "funnel_stages": lambda s, d: metrics.funnel_stages(event_view(s, d), FUNNEL, APP_ID),
     "app_versions": lambda s, d: metrics.app_versions(event_view(s, d), app_id=APP_ID),
     "share_os": share("os"),
@@ -237,6 +238,7 @@ ORACLES = {
     "hourly_trend": f"{EV} SELECT strftime(time, '%m-%d %H:00') AS hour, count(*) AS events {APP} GROUP BY 1",
     "daily_active": f"{EV} SELECT strftime(time, '%Y-%m-%d') AS day, count(DISTINCT distinct_id) AS users {APP} GROUP BY 1",
     "top_events": f"{EV} SELECT event, count(*) AS events {APP} GROUP BY event ORDER BY events DESC, event LIMIT 25",
+    "top_20_events": f"{EV} SELECT event, count(*) AS events FROM ev GROUP BY event ORDER BY events DESC, event LIMIT 20",
     "funnel_stages": f"""{EV} SELECT event, count(DISTINCT distinct_id) AS users {APP}
       AND event IN ('signup', 'view', 'click', 'purchase') GROUP BY event ORDER BY users DESC, event LIMIT 10""",
     "app_versions": f"{EV} SELECT app_version, count(*) AS events {APP} GROUP BY app_version ORDER BY events DESC, app_version LIMIT 20",
