@@ -19,8 +19,8 @@ def con():
 @pytest.mark.parametrize("name", entry.queries())
 def test_query_equals_oracle(spark, con, name):
     got = spark_rows(entry.queries()[name](spark, SF_DIR))
-    assert got[1]
     if name in ROWS_ONLY:
+        assert got[1]
         assert name not in entry.oracle_sql()
         return
     assert difference(got, oracle_rows(con, entry.oracle_sql()[name])) is None
