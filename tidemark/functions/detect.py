@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
-from tidemark.functions.coerce import layout_time, strict_bigint
-from tidemark.functions.variant import plain_number
+from tidemark.functions.coerce import LAST_MILLI, layout_time, strict_bigint
 
 STRING, BOOL, INT, FLOAT, TIME = "String", "Bool", "Int64", "Float64", "DateTime"
 
@@ -34,8 +33,6 @@ DECIMAL_FLOAT = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 NAMED_FLOAT = r"(?i)\A([+-]?inf|[+-]?infinity|nan)\z"
 HEX_FLOAT = r"(?i)\A[+-]?0x_?([0-9a-f](_?[0-9a-f])*)?\.?([0-9a-f](_?[0-9a-f])*)?p[+-]?[0-9]+\z"
 
-MICROS_LIMIT_MILLIS = 253_402_300_799_999
-
 
 def text_double(text: Column) -> Column:
     """Decimal or named float text -> double; NULL when malformed or out of range."""
@@ -114,7 +111,7 @@ def to_float(kind: Column, text: Column) -> Column:
 
 def to_time(kind: Column, text: Column) -> Column:
     millis = strict_bigint(text)
-    from_millis = F.when(F.abs(millis) <= MICROS_LIMIT_MILLIS, F.timestamp_millis(millis))
+    from_millis = F.when(F.abs(millis) <= LAST_MILLI, F.timestamp_millis(millis))
     return (
         F.when(kind == "string", F.coalesce(layout_time(text), from_millis))
         .when(kind == "int", from_millis)

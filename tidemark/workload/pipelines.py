@@ -6,7 +6,6 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.functions import coerce, detect
 from tidemark.operators import dedup, evolve, migrate, profiles
 from tidemark.operators.ingest import ingest_events
 from tidemark.plans import quality
