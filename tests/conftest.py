@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -16,6 +17,7 @@ def build_session() -> SparkSession:
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.shuffle.partitions": "8",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tidemark-tests-"),
     }
     spark = get_session("tidemark-tests", **settings)
     spark.sparkContext.setLogLevel("ERROR")

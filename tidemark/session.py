@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,18 +33,24 @@ def get_session(app_name: str = "tidemark", **extra: str) -> SparkSession:
     return configure(builder.getOrCreate())
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder for intermediate tables, under the cluster's checkpoint folder.
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Give a session that names no ``spark.checkpoint.dir`` one of its own.
 
-    Executors on other machines must see it, so the folder comes from
-    ``spark.checkpoint.dir``. Only a local-mode session, where every task shares one disk,
-    may fall back to a temporary folder.
+    For the driver contract and tests only: a cluster names a folder that its machines share.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="tidemark-")
+    if not checkpoint_dir(spark):
+        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/tidemark")
+
+
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A new folder for intermediate tables, under the session's checkpoint folder."""
+    base = checkpoint_dir(spark)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
