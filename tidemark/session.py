@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +45,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints/tidemark")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let executors import this package, wherever the driver found it; once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tidemark-"), "tidemark.zip")
+    with zipfile.ZipFile(archive, "w") as target:
+        for path in sorted(package.rglob("*.py")):
+            target.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._tidemark_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
