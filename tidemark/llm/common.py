@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +25,7 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     Of several columns with one spelling the first counts; other columns are not read, so extra
     columns cannot clash with those an operator adds.
     """
-    have = df.columns
-    folded = [x.lower() for x in have]
-    places = [have.index(x) if x in have else folded.index(x.lower()) for x in names]
-    flat = df.toDF(*[f"c{i}" for i in range(len(have))])
-    return flat.select([F.col(f"c{i}").alias(x) for i, x in zip(places, names, strict=True)])
+    return unnamed(df).select([F.col(place_of(df, x)).alias(x) for x in names])
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,16 +52,44 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each has about ``limit`` bytes in ``column``, or a single row."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+def pieces(texts: pa.Array, limit: int = 4 << 20) -> Iterator[pa.Array]:
+    """The array cut so that each piece has about ``limit`` bytes, or is a single text."""
+    if len(texts):
+        sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
         group = np.cumsum(sizes) // limit
-        starts = np.flatnonzero(np.diff(group, prepend=-1))
-        for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
-            yield batch.slice(a, b - a)
+        starts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+        for a, b in zip(starts, [*starts[1:], len(texts)], strict=True):
+            yield texts.slice(a, b - a)
+
+
+def small(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each has about ``limit`` bytes of ``text``, or is a single row."""
+    for batch in batches:
+        at = 0
+        for piece in pieces(batch.column("text"), limit):
+            yield batch.slice(at, len(piece))
+            at += len(piece)
+
+
+def text_udf(run: Callable[[list[str | None]], pa.Array], kind: str, limit: int = 4 << 20) -> Callable[[Column], Column]:
+    """A column function that gives ``run`` lists of texts of about ``limit`` bytes."""
+
+    def whole(texts: pa.Array) -> pa.Array:
+        done = [run(x.to_pylist()) for x in pieces(texts, limit)]
+        return pa.concat_arrays(done) if done else run([])
+
+    return F.arrow_udf(whole, kind)
+
+
+def unnamed(df: DataFrame) -> DataFrame:
+    """``df`` with columns by number, so that added columns clash with none; undone by ``toDF``."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def place_of(df: DataFrame, name: str) -> str:
+    """The column of ``unnamed(df)`` that ``pick`` would take."""
+    have = df.columns
+    return f"c{have.index(name) if name in have else [x.lower() for x in have].index(name.lower())}"
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -90,7 +113,3 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen:
             return current.select(F.col("a").alias("v"), F.col("b").alias("root")).union(current.select("b", "b").distinct())
         seen = state
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda x, y: x & y, conditions)

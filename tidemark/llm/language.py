@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, pick, pieces
+from tidemark.llm.common import held_out, pick, place_of, text_udf, unnamed
 
 UNDETERMINED = "und"
 _LOWERED = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
@@ -96,16 +96,15 @@ def _sample(docs: DataFrame, settings: Settings) -> tuple[list[str], np.ndarray,
     ids = learn.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each)
     chosen = learn.join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"]).select("doc_id", "lang", "text")
 
-    def count(batches):
-        for batch in pieces(batches):
-            out = []
-            for text in batch.column("text").to_pylist():
-                data = np.frombuffer(_bytes(text), np.uint8)
-                seen = sum(np.bincount(grams(data, n, settings.buckets), minlength=settings.buckets) for n in settings.orders)
-                out.append((seen / seen.sum()).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(out, pa.binary())], ["doc_id", "lang", "share"])
+    def count(texts):
+        out = []
+        for text in texts:
+            data = np.frombuffer(_bytes(text), np.uint8)
+            seen = sum(np.bincount(grams(data, n, settings.buckets), minlength=settings.buckets) for n in settings.orders)
+            out.append((seen / seen.sum()).astype("<f4").tobytes())
+        return pa.array(out, pa.binary())
 
-    rows = chosen.mapInArrow(count, "doc_id long, lang string, share binary").dropDuplicates(["doc_id", "lang"]).collect()
+    rows = chosen.select("doc_id", "lang", text_udf(count, "binary")("text").alias("share")).dropDuplicates(["doc_id", "lang"]).collect()
     rows.sort(key=lambda r: (r.doc_id, r.lang))
     share = np.frombuffer(b"".join(bytes(r.share) for r in rows), "<f4").reshape(len(rows), settings.buckets)
     place = {x: i for i, x in enumerate(languages)}
@@ -150,6 +149,27 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     return Model(languages, table, bias.astype(np.float64), temperature, threshold)
 
 
+def _found(docs: DataFrame, settings: Settings) -> DataFrame:
+    """``docs`` with columns by number, and ``found``: language, score, whether it is rejected."""
+    learn = pick(docs, "doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
+    model = fit(learn, settings)
+
+    def predict(texts):
+        langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        real = [i for i, x in enumerate(texts) if x is not None and model.languages]
+        if real:
+            sure = _softmax(text_logits([texts[i] for i in real], model, settings) / model.temperature)
+            scores[real] = sure.max(axis=1)
+            for i, k in zip(real, sure.argmax(axis=1), strict=True):
+                langs[i] = model.languages[k]
+        refused = [x == UNDETERMINED or s < model.threshold for x, s in zip(langs, scores, strict=True)]
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores), pa.array(refused, pa.bool_())], ["lang_pred", "score", "rejected"])
+
+    text = F.col(place_of(docs, "text"))
+    run = text_udf(predict, "struct<lang_pred:string,score:double,rejected:boolean>")
+    return unnamed(docs).withColumn("found", run(F.when(text.rlike(r"\p{L}"), text)))
+
+
 def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, rejected`` for each row of ``docs(doc_id, text, lang)``.
 
@@ -158,22 +178,10 @@ def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Rows with a null id or null language are predicted but not learnt from. Without any row to
     learn from, all are ``und``. Repeated rows are predicted each; equal texts get equal results.
     """
-    docs = pick(docs, "doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
-    model = fit(docs, settings)
-    lettered = docs.select("doc_id", "held_out", F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text"))
-
-    def predict(batches):
-        for batch in pieces(batches):
-            texts = batch.column("text").to_pylist()
-            langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            real = [i for i, x in enumerate(texts) if x is not None and model.languages]
-            if real:
-                sure = _softmax(text_logits([texts[i] for i in real], model, settings) / model.temperature)
-                scores[real] = sure.max(axis=1)
-                for i, k in zip(real, sure.argmax(axis=1), strict=True):
-                    langs[i] = model.languages[k]
-            refused = [x == UNDETERMINED or s < model.threshold for x, s in zip(langs, scores, strict=True)]
-            arrays = [batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores), pa.array(refused, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "lang_pred", "score", "rejected"])
-
-    return lettered.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    doc_id = F.col(place_of(docs, "doc_id"))
+    return _found(docs, settings).select(doc_id.alias("doc_id"), held_out(doc_id, 5, 0).alias("held_out"), "found.*")
+
+
+def accepted(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` that ``identify`` doesn't reject, with all their columns."""
+    return _found(docs, settings).filter("not found.rejected").drop("found").toDF(*docs.columns)

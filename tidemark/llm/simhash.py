@@ -13,16 +13,16 @@ together first: of ``distance + 2`` bands at least two are equal in any pair wit
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, UPPER, components, pick, pieces, stage
+from tidemark.llm.common import LOWER, UPPER, components, pick, place_of, stage, text_udf, unnamed
 
 SEED = 42
 BITS = 64
@@ -59,15 +59,9 @@ def fingerprints(texts: list[str | None], words: int) -> np.ndarray:
     return out
 
 
-def with_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, fp`` per row; ``fp`` holds the 64 bits as a signed long."""
-
-    def run(batches):
-        for batch in pieces(batches, limit=1 << 20):
-            values = fingerprints(batch.column("text").to_pylist(), words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], ["doc_id", "fp"])
-
-    return docs.mapInArrow(run, "doc_id long, fp long")
+def fingerprint(words: int) -> Callable[[Column], Column]:
+    """The fingerprint of a text column, its 64 bits as a signed long."""
+    return text_udf(lambda texts: pa.array(fingerprints(texts, words).view(np.int64)), "long", limit=1 << 20)
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
@@ -178,11 +172,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 4) -> DataF
     component has no other). Null, empty and blank texts have fingerprint zero, which links like
     any other. Rows that repeat an id or a text stay as they are, each with its component.
     """
-    prints = stage(with_fingerprints(pick(docs, "doc_id", "text"), words))
+    prints = stage(pick(docs, "doc_id", "text").select("doc_id", fingerprint(words)("text").alias("fp")))
+    return prints.join(components_of(prints, distance), "fp").select("doc_id", "fp", "component_id")
+
+
+def components_of(prints: DataFrame, distance: int) -> DataFrame:
+    """``fp, root, component_id`` for each distinct fingerprint of ``prints(doc_id, fp)``."""
     own = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(near_links(own.select("fp"), distance))
     # Fingerprints without a link, nearly all, are their own component.
     placed = own.join(roots, own.fp == roots.v, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = placed.join(lowest, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return placed.join(lowest, "root").select("fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates, with all its columns.
+
+    The row with the smallest id stays, of rows that share it the first as written.
+    """
+    named = unnamed(docs).withColumn("fp", fingerprint(words)(F.col(place_of(docs, "text"))))
+    rows = stage(named.withColumn("row", F.monotonically_increasing_id()))
+    prints = rows.select(F.col(place_of(docs, "doc_id")).alias("doc_id"), "fp", "row")
+    placed = prints.join(components_of(prints, distance).select("fp", "root"), "fp")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    first = placed.groupBy("root").agg(F.min(rank).alias("first"))
+    others = placed.join(first, "root").filter("row <> first.row").select("row")
+    return rows.join(others, "row", "left_anti").drop("row", "fp").toDF(*docs.columns)
