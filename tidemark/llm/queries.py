@@ -6,18 +6,36 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, packing, pii, simhash
+from tidemark.llm import decontaminate, language, lines, packing, pii, simhash, url_rules
 from tidemark.llm.common import LOWER, UPPER, read
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Host, path and verdict of each rule.
+RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_lines(read(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     items = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "contaminated")
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_rules.judge(read(spark, sf_dir, "pages"), rules)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER).drop("ids")
 
@@ -70,12 +88,57 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN kinds USING (doc_id)
 """
 
+_PLAIN = f"trim(regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '[ \\t\\r\\f\\v]+', ' ', 'g'), ' ')"
+
+LINES_SQL = f"""
+WITH parted AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+numbered AS (SELECT doc_id, parts, unnest(range(len(parts))) AS unit FROM parted),
+placed AS (
+  SELECT doc_id, unit, parts[unit + 1] AS line,
+    CAST(coalesce(list_sum(list_transform(parts[1:unit], lambda x: length(x) + 1)), 0) AS INTEGER) AS start
+  FROM numbered
+),
+plain AS (SELECT *, {_PLAIN} AS norm FROM placed),
+ranked AS (
+  SELECT *, first_value(doc_id) OVER earliest AS kept_doc_id, first_value(start) OVER earliest AS kept_start
+  FROM plain WHERE len(string_split(norm, ' ')) >= {lines.FEWEST_WORDS}
+  WINDOW earliest AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, start)
+)
+SELECT doc_id, CAST(unit AS INTEGER) AS unit, start, CAST(start + length(line) AS INTEGER) AS "end", kept_doc_id, kept_start
+FROM ranked WHERE doc_id <> kept_doc_id OR start <> kept_start
+"""
+
+_RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+
+URL_SQL = f"""
+WITH urls AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+),
+rules(rule_host, rule_path, rule_verdict) AS (VALUES {_RULE_ROWS}),
+fits AS (
+  SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+    arg_max(rule_verdict, length(rule_host || rule_path)) AS verdict
+  FROM urls JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN fits USING (page_id)
+"""
+
 QUERIES = {
+    "op1_lines": op1_lines,
     "op2_decontaminate": op2_decontaminate,
+    "op3_url_rules": op3_url_rules,
     "op4_packing": op4_packing,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {"op2_decontaminate": DECONTAMINATE_SQL}
+ORACLES: dict[str, str] = {
+    "op1_lines": LINES_SQL,
+    "op2_decontaminate": DECONTAMINATE_SQL,
+    "op3_url_rules": URL_SQL,
+}
