@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, lines, packing, pii, simhash, url_rules
+from tidemark.llm import decontaminate, language, lines, packing, pii, simhash, toxicity, url_rules
 from tidemark.llm.common import LOWER, UPPER, read
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -40,6 +40,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER).drop("ids")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), words=4, distance=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -132,6 +136,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_url_rules": op3_url_rules,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
     "op10_pii": op10_pii,
