@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, lines, packing, pii, simhash, toxicity, url_rules
+from tidemark.llm import decontaminate, language, lines, packing, pii, simhash, toxicity, url_rules, vector_links
 from tidemark.llm.common import LOWER, UPPER, read
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -53,6 +53,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def _joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
 
@@ -139,6 +143,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
+    "op9_vectors": op9_vectors,
     "op10_pii": op10_pii,
 }
 
