@@ -5,19 +5,17 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(seq: np.ndarray) -> np.ndarray:
+def suffix_array(seq: np.ndarray, step: int = 1) -> np.ndarray:
     """Places of the suffixes in order; a suffix that ends is smaller than one that goes on.
 
     Prefix doubling. Only places whose rank still is shared are sorted again, so the cost of a
-    round falls with what is left.
+    round falls with what is left. ``seq`` may hold ``step`` symbols in each number already.
     """
     n = len(seq)
     if n < 2:
         return np.arange(n)
-    _, rank = np.unique(seq, return_inverse=True)
-    order = np.argsort(rank, kind="stable")
-    rank, open_ = _ranked(order, rank[order], np.arange(n), n)
-    step = 1
+    order = np.argsort(seq)
+    rank, open_ = _ranked(order, seq[order], np.arange(n), n)
     while len(open_):
         # Within a run of equal ranks, order by the rank one step on.
         places = order[open_]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, lines, packing, pii, simhash, toxicity, url_rules, vector_links
+from tidemark.llm import decontaminate, language, lines, long_matches, packing, pii, simhash, toxicity, url_rules, vector_links
 from tidemark.llm.common import LOWER, UPPER, read
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -44,6 +44,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_long_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = long_matches.without_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), words=4, distance=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -141,6 +146,7 @@ QUERIES = {
     "op3_url_rules": op3_url_rules,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
+    "op6_long_matches": op6_long_matches,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
     "op9_vectors": op9_vectors,
