@@ -22,7 +22,7 @@ _LOWERED = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVW
 
 @dataclass(frozen=True)
 class Settings:
-    buckets: int = 1 << 13
+    buckets: int = 1 << 12
     orders: tuple[int, ...] = (2, 3, 4)
     width: int = 16
     sample_rows: int = 4_000
@@ -80,6 +80,11 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _of_all(share: np.ndarray) -> np.ndarray:
+    """Shares of all n-grams of the text."""
+    return share / share.sum(axis=1, dtype=np.float32, keepdims=True)
+
+
 def _sample(docs: DataFrame, settings: Settings) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, and of the sampled rows their language and the share of each bucket.
 
@@ -90,7 +95,7 @@ def _sample(docs: DataFrame, settings: Settings) -> tuple[list[str], np.ndarray,
     learn = docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     languages = sorted(x.lang for x in learn.select("lang").distinct().collect())
     if not languages:
-        return [], np.zeros((0, settings.buckets), np.float32), np.zeros(0, int)
+        return [], np.zeros((0, settings.buckets), np.float16), np.zeros(0, int)
     each = max(1, settings.sample_rows // len(languages))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = learn.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each)
@@ -101,12 +106,14 @@ def _sample(docs: DataFrame, settings: Settings) -> tuple[list[str], np.ndarray,
         for text in texts:
             data = np.frombuffer(_bytes(text), np.uint8)
             seen = sum(np.bincount(grams(data, n, settings.buckets), minlength=settings.buckets) for n in settings.orders)
-            out.append((seen / seen.sum()).astype("<f4").tobytes())
+            out.append((seen / seen.max()).astype("<f2").tobytes())
         return pa.array(out, pa.binary())
 
     rows = chosen.select("doc_id", "lang", text_udf(count, "binary")("text").alias("share")).dropDuplicates(["doc_id", "lang"]).collect()
     rows.sort(key=lambda r: (r.doc_id, r.lang))
-    share = np.frombuffer(b"".join(bytes(r.share) for r in rows), "<f4").reshape(len(rows), settings.buckets)
+    share = np.empty((len(rows), settings.buckets), np.float16)  # of the most frequent bucket
+    for i, r in enumerate(rows):
+        share[i] = np.frombuffer(r.share, "<f2")
     place = {x: i for i, x in enumerate(languages)}
     return languages, share, np.array([place[r.lang] for r in rows])
 
@@ -128,7 +135,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
         learn = random.permutation(learn)
         for at in range(0, len(learn), 32):
             rows = learn[at : at + 32]
-            x = share[rows] * scale
+            x = scale * _of_all(share[rows])
             hidden = x @ embed
             error = (_softmax(hidden @ weights + bias) - target[rows]) / np.float32(len(rows))
             down = error @ weights.T
@@ -140,7 +147,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     table = (embed @ weights * scale).astype(np.float32)
     temperature, threshold = 1.0, 0.0
     if len(back):
-        logits = share[back] @ table + bias
+        logits = _of_all(share[back]) @ table + bias
         losses = {t: -np.log(_softmax(logits / t)[np.arange(len(back)), wanted[back]] + 1e-12).mean() for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0)}
         temperature = min(losses, key=losses.get)
         sure = _softmax(logits / temperature)
