@@ -5,7 +5,7 @@ smallest hash is its anchor, wherever the string stands; so two equal strings ha
 at equal places in them, and only the surroundings of equal anchors have to be compared.
 
 1. Every document gives its anchors with a digest of their surroundings: all bytes that a string
-   with this anchor can reach. Anchors that occur once are dropped.
+   with this anchor can reach, and where in them it stands. Anchors that occur once are dropped.
 2. Surroundings that are equal as a whole are repeated as a whole, and count once from here on.
 3. The different surroundings of each anchor meet in a shard, with many other anchors. A
    run-compressed Burrows-Wheeler transform is built of them, sampled at the ends of its runs. From
@@ -140,7 +140,7 @@ def _all_anchors(docs: DataFrame) -> DataFrame:
                 places, value, stretches = without_inner(*anchors(data))
                 whole = memoryview(raw)
                 spans = [_around(p, size) for p in places.tolist()]
-                around += [xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in spans]
+                around += [xxhash.xxh3_64_intdigest(whole[a:b], p - a) for p, (a, b) in zip(places.tolist(), spans, strict=True)]
                 anchor += value.tolist()
                 place += places.tolist()
                 for a, b in stretches:
