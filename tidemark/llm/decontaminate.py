@@ -148,16 +148,26 @@ def _search(phrases: Phrases, spark: SparkSession) -> Callable[[Column], Column]
     """What the phrases' windows cover in a text column; each piece of a batch is a shard."""
     shared = spark.sparkContext.broadcast(phrases)
     pairs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    kind = pa.struct([("n_words", pa.int64()), ("spans", pairs), ("characters", pairs), ("items", pa.list_(pa.int64()))])
+    kind = pa.struct([("n_words", pa.int64()), ("spans", pairs), ("items", pa.list_(pa.int64()))])
 
     def run(texts):
         rows = []
-        for text, (n, spans, items) in zip(texts, shard_hits(texts, shared.value), strict=True):
-            named = lambda found: [{"start": a, "end": b} for a, b in found]
-            rows.append({"n_words": n, "spans": named(spans), "characters": named(character_spans(text or "", spans)), "items": items})
+        for n, spans, items in shard_hits(texts, shared.value):
+            rows.append({"n_words": n, "spans": [{"start": a, "end": b} for a, b in spans], "items": items})
         return pa.array(rows, kind)
 
-    return text_udf(run, f"struct<n_words:long,spans:{_PAIRS},characters:{_PAIRS},items:array<long>>", SHARD_BYTES)
+    return text_udf(run, f"struct<n_words:long,spans:{_PAIRS},items:array<long>>", SHARD_BYTES)
+
+
+def _characters(text: Column, spans: Column) -> Column:
+    """Spans of words as spans of characters; only texts with a span are handed over."""
+
+    def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        pairs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        rows = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
+        return pa.array([[{"start": a, "end": b} for a, b in character_spans(t or "", [(x["start"], x["end"]) for x in s])] for t, s in rows], pairs)
+
+    return F.arrow_udf(run, _PAIRS)(F.when(F.size(spans) > 0, text), spans)
 
 
 def _union_of(spans: Column) -> Column:
@@ -173,7 +183,7 @@ def _union_of(spans: Column) -> Column:
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """``docs`` with columns by number, and ``n_words, spans, characters, items, n_hit, contaminated``."""
+    """``docs`` with columns by number, and ``n_words, spans, items, n_hit, contaminated``."""
     spark, text = docs.sparkSession, F.col(place_of(docs, "text"))
     blocks = list(_blocks(pick(benchmark, "item_id", "text").filter("item_id is not null"), window)) or [Phrases([], window)]
     found = unnamed(docs)
@@ -186,7 +196,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
         whole = F.concat(*[F.col(f"found{i}.{field}") for i in range(len(blocks))])
         return F.array_sort(F.array_distinct(whole)) if field == "items" else _union_of(whole)
 
-    found = found.withColumns({"n_words": F.col("found0.n_words"), **{x: every(x) for x in ("spans", "characters", "items")}})
+    found = found.withColumns({"n_words": F.col("found0.n_words"), **{x: every(x) for x in ("spans", "items")}})
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x.end - x.start)
     found = found.drop(*[f"found{i}" for i in range(len(blocks))]).withColumn("n_hit", hit)
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
@@ -202,8 +212,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     null id gives none. Null and empty documents have no words. Repeated documents get a row
     each; repeated items count once. Phrases beyond ``PHRASE_BYTES`` are searched for in turn.
     """
-    doc_id = F.col(place_of(docs, "doc_id")).alias("doc_id")
-    return _found(docs, benchmark, window).select(doc_id, "n_words", "n_hit", "items", "spans", "characters", "contaminated")
+    doc_id, text = F.col(place_of(docs, "doc_id")).alias("doc_id"), F.col(place_of(docs, "text"))
+    found = _found(docs, benchmark, window)
+    return found.select(doc_id, "n_words", "n_hit", "items", "spans", _characters(text, F.col("spans")).alias("characters"), "contaminated")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

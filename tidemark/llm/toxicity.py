@@ -131,6 +131,12 @@ def decode(word: str, model: np.ndarray, swap: float) -> str:
     return max((value + model[a, b, 0], text) for (a, b), (value, text) in best.items())[1]
 
 
+def likelihood(word: str, model: np.ndarray) -> float:
+    """Log probability of a word of letters."""
+    codes = [0, 0, *(ord(c) - 96 for c in word), 0]
+    return float(sum(model[a, b, c] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False)))
+
+
 def _suspicious(text: str) -> tuple[bool, bool, bool]:
     """Whether the text may have mixed words, letters three times, or letters set apart."""
     data = np.frombuffer(text.encode(errors="surrogatepass"), np.uint8)
@@ -159,7 +165,14 @@ def restore(text: str, model: np.ndarray, swap: float, known: dict[str, str] | N
 
     def join(m: re.Match) -> str:
         letters = m[0].replace(m[1], "")
-        return clear(re.match(r"(?s).*", letters)) if any(c.isalpha() for c in letters) else m[0]
+        if not any(c.isalpha() for c in letters):
+            return m[0]
+        whole = decode(letters, model, swap)
+        if m[1] == " " and letters[0] in "aAiI" and len(letters) > 3:  # perhaps a word of its own
+            rest = decode(letters[1:], model, swap)
+            if likelihood(letters[0].lower(), model) + likelihood(rest, model) > likelihood(whole, model):
+                return f"{letters[0]} {rest}"
+        return whole
 
     mixed, repeated, apart = _suspicious(text)
     if apart:
