@@ -56,8 +56,8 @@ def workloads(spark, root):
 
     def upsert():
         store = profiles.ProfileStore(spark, scratch_dir(spark, "bench-profiles"), buckets=8)
-        store.upsert(pipelines.customer_records(spark, SF_DIR), 0)
-        store.upsert(pipelines.order_records(spark, SF_DIR), 1)
+        store.upsert(pipelines.customer_records(spark, SF_DIR), "seed-0")
+        store.upsert(pipelines.order_records(spark, SF_DIR), "orders-1")
         return store.read()
 
     return {

@@ -43,14 +43,14 @@ def test_profiles_do_not_depend_on_batching(spark, tmp_path, cuts):
     edges = [0, *cuts, len(rows)]
     for version, (start, end) in enumerate(zip(edges, edges[1:])):
         batch = spark.createDataFrame(rows[start:end], RECORDS)
-        store.upsert(batch, version)
-        store.upsert(batch, version)
+        store.upsert(batch, f"w-{version}")
+        store.upsert(batch, f"w-{version}")
     assert {r["distinct_id"]: r["props"] for r in store.read().collect()} == model(rows)
 
 
 def test_marked_user_without_profile_gets_no_row(spark, tmp_path):
     store = profiles.ProfileStore(spark, str(tmp_path / "s"), buckets=2)
-    store.upsert(spark.createDataFrame([(1, AT, "u", "profile_increment", {"a": "1"})], RECORDS), 0)
+    store.upsert(spark.createDataFrame([(1, AT, "u", "profile_increment", {"a": "1"})], RECORDS), "w-0")
     assert store.read().count() == 0
     assert profiles.changed_users(spark.createDataFrame([(1, AT, "u", "other", {})], RECORDS)).count() == 1
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Collection, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import detect
 from tidemark.functions.coerce import any_event_millis, event_date
+from tidemark.functions.variant import once
+from tidemark.schema import EVENT_CORE, EVENT_TEXT, PARSED, column_value, other_properties, taken_names
 
 # Names a column may have; the typed path also takes dollar signs.
 TEXT_NAME = r"\A[A-Za-z0-9_]{1,64}\z"
@@ -63,16 +65,25 @@ def new_typed_columns(records: DataFrame, known: Collection[str]) -> DataFrame:
     )
 
 
-def collect_columns(found: DataFrame, max_columns: int = MAX_COLUMNS) -> list[tuple[str, str]]:
-    """The (name, type) list for building a schema.
+def collect_columns(
+    found: DataFrame, stored: Collection[str] = (), max_columns: int = MAX_COLUMNS, core: Collection[str] = EVENT_CORE
+) -> list[tuple[str, str]]:
+    """The (name, type) of the keys that become columns of a table that has ``stored`` ones.
 
-    The list is bounded: a batch that brings more columns than the limit is an error, not a
-    truncated table.
+    A key whose name differs from a column's or a reserved name only by case gets none, of new
+    keys that differ only by case the first in order gets one, and beyond ``max_columns`` the
+    most frequent do. The others stay in the map of other properties, so no batch is refused
+    and no value is lost. The list is bounded by the limit.
     """
-    rows = found.select("column", "type").orderBy("column").limit(max_columns + 1).collect()
-    if len(rows) > max_columns:
-        raise ValueError(f"the batch adds more than {max_columns} columns; raise max_columns")
-    return [(row["column"], row["type"]) for row in rows]
+    taken = sorted(taken_names(stored, core))
+    count = "rows" if "rows" in found.columns else "samples"
+    name = F.lower("column")
+    one = found.filter(~name.isin(taken)).groupBy(name.alias("lower")).agg(
+        F.min_by(F.struct("column", "type", F.col(count).alias("n")), "column").alias("first")
+    )
+    room = max(0, max_columns - len(stored))
+    rows = one.select("first.*").orderBy(F.desc("n"), "column").limit(room).collect()
+    return sorted((row["column"], row["type"]) for row in rows)
 
 
 def text_union(records: DataFrame, columns: Sequence[str], *keep: str) -> DataFrame:
@@ -89,7 +100,11 @@ def rejected_properties(props: Column) -> Column:
 def typed_table(
     records: DataFrame, columns: Sequence[tuple[str, str]], received_at: str, *keep: str
 ) -> DataFrame:
-    """Records as typed rows: absent or unconvertible is NULL, times are whole seconds."""
+    """Records as rows of the typed table: core columns, the given columns, other properties.
+
+    Absent or unconvertible is NULL, times are whole seconds. A value that does not convert to
+    its column's type is kept as text in ``other`` and counted in ``unconverted``.
+    """
     by_key = F.map_from_entries(
         F.transform(
             "leaves",
@@ -100,28 +115,32 @@ def typed_table(
         )
     )
     now_millis = F.unix_millis(F.col(received_at))
+    with_keys = once(records, by_key=by_key)
     time_leaf = F.col("by_key")["time"]
     millis = any_event_millis(time_leaf["kind"], time_leaf["text"], now_millis)
-    with_time = records.withColumn("by_key", by_key).withColumn(
-        "event_time", F.timestamp_millis(millis)
-    )
-    typed = []
+    with_time = once(with_keys, event_time=F.timestamp_millis(millis))
+    typed, failed = {}, []
     for name, type_name in columns:
-        if name in ("time", "ds"):
+        if name in EVENT_CORE:
             continue
         leaf = F.col("by_key")[name]
-        value, _ = detect.convert(leaf["kind"], leaf["text"], type_name)
+        value, error = detect.convert(leaf["kind"], leaf["text"], type_name)
         present = leaf.isNotNull() & (leaf["kind"] != "null")
-        typed.append(F.when(present, value).alias(name))
-    return with_time.select(
-        *keep, F.col("event_time").alias("time"), event_date(F.col("event_time")).alias("ds"), *typed
+        typed[name] = F.when(present, value)
+        if type_name != detect.STRING:
+            failed.append(F.when(present & error, F.lit(name)))
+    converted = once(with_time, **typed) if typed else with_time
+    lost = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
+    marked = once(converted, failed=lost)
+    held = other_properties(F.col("props"), typed)
+    kept_text = F.map_filter("props", lambda key, _: F.array_contains("failed", key))
+    core = {name: column_value(name, F.col("props")) for name in (*PARSED, *EVENT_TEXT)}
+    return marked.select(
+        *keep,
+        F.col("event_time").alias("time"),
+        event_date(F.col("event_time")).alias("ds"),
+        *[value.alias(name) for name, value in core.items()],
+        *typed,
+        F.map_concat(held, kept_text).alias("other"),
+        F.size("failed").alias("unconverted"),
     )
-
-
-def schema_of(columns: Sequence[tuple[str, str]]) -> T.StructType:
-    return T.StructType([detect.struct_field(name, type_name) for name, type_name in columns])
-
-
-def schema_rows(table: DataFrame) -> list[str]:
-    """Current column names of a stored table."""
-    return table.schema.fieldNames()

@@ -1,22 +1,97 @@
-"""Messages -> rows of the event table, with the columns the batch brings."""
+"""Messages -> stored tables: one decode gives events, profiles and refusals."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators.evolve import collect_columns, new_text_columns
-from tidemark.schema import EVENT_CORE, event_rows
-from tidemark.session import stage
-from tidemark.sources.messages import MAX_PAYLOAD_BYTES, decode, event_records
+from tidemark.functions import detect
+from tidemark.operators import evolve
+from tidemark.operators.dedup import drop_exact_duplicates
+from tidemark.operators.profiles import ProfileStore
+from tidemark.schema import EVENT_CORE, RESERVED, event_rows, other_properties
+from tidemark.session import stage, staged
+from tidemark.sources import tables
+from tidemark.sources.messages import (
+    MAX_PAYLOAD_BYTES,
+    decode,
+    event_records,
+    profile_records,
+    rejects,
+)
+
+KEEP = ("seq", "pos", "received_at")
 
 
 def ingest_events(
     messages: DataFrame,
     max_bytes: int = MAX_PAYLOAD_BYTES,
     tz: str = "UTC",
-    keep: tuple[str, ...] = ("seq", "pos", "received_at", "props"),
+    keep: tuple[str, ...] = (*KEEP, "props"),
 ) -> DataFrame:
     """Decode a batch once into a staged table, find its new columns, project the rows."""
     records = stage(event_records(decode(messages, max_bytes)), "decoded")
-    columns = collect_columns(new_text_columns(records, EVENT_CORE))
+    columns = evolve.collect_columns(evolve.new_text_columns(records, EVENT_CORE))
     return event_rows(records, [name for name, _ in columns], tz, keep)
+
+
+def stored_columns(table: dict[str, tuple[str, bool]]) -> list[tuple[str, str]]:
+    """(name, detected type) of a stored table's columns beyond the core."""
+    types = {spark_type.simpleString(): name for name, spark_type in detect.SPARK_TYPES.items()}
+    fixed = {*EVENT_CORE, *RESERVED}
+    return [(name, types.get(kind, detect.STRING)) for name, (kind, _) in table.items() if name not in fixed]
+
+
+def store_records(
+    records: DataFrame,
+    path: str,
+    batch: str,
+    typed: bool = False,
+    tz: str = "UTC",
+    max_columns: int = evolve.MAX_COLUMNS,
+) -> list[tuple[str, str]]:
+    """Append event records to the table at ``path`` and return the columns they added.
+
+    New columns are judged against those the table has, whose types stay. Properties that get no
+    column are in the map ``other``.
+    """
+    spark = records.sparkSession
+    stored = stored_columns(tables.stored_schema(spark, path))
+    names = [name for name, _ in stored]
+    find = evolve.new_typed_columns if typed else evolve.new_text_columns
+    added = evolve.collect_columns(find(records, {*EVENT_CORE, *names}), names, max_columns)
+    columns = [*stored, *added]
+    if typed:
+        rows = evolve.typed_table(records, columns, "received_at", *KEEP, "event")
+    else:
+        names = [name for name, _ in columns]
+        other = other_properties(F.col("props"), names).alias("other")
+        rows = event_rows(records, names, tz, (*KEEP, other))
+    tables.append_batch(rows, path, batch, empty_text=not typed)
+    return added
+
+
+def ingest(
+    messages: DataFrame,
+    root: str,
+    batch: str,
+    store: ProfileStore | None = None,
+    typed: bool = False,
+    max_bytes: int = MAX_PAYLOAD_BYTES,
+    tz: str = "UTC",
+    max_columns: int = evolve.MAX_COLUMNS,
+) -> None:
+    """One batch into ``root/events`` and ``root/rejects``, and profiles into the store.
+
+    The batch is decoded once, exact duplicates go, and writing a batch key again replaces it.
+    The staged copies are removed.
+    """
+    with staged(decode(messages, max_bytes), "decoded") as decoded:
+        rejects(decoded).write.mode("overwrite").parquet(f"{root}/rejects/batch_id={batch}")
+        with staged(drop_exact_duplicates(event_records(decoded)), "records") as records:
+            store_records(records, f"{root}/events", batch, typed, tz, max_columns)
+        if store is not None:
+            store.upsert(profile_records(decoded), batch)
+
+
+def read_rejects(spark, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/rejects")

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.coerce import int_or_null, three_state_bool
-from tidemark.sources.tables import write_events
+from tidemark.sources.tables import write_events, write_users
 
 # The typed table's core columns.
 EVENT_TEXT = [
@@ -98,12 +98,19 @@ def verify(legacy: DataFrame, typed: DataFrame) -> DataFrame:
     )
 
 
-def migrate(spark: SparkSession, legacy: DataFrame, root: str, version: int) -> DataFrame:
-    """Back up, convert into a new version folder, verify; the caller decides on the swap."""
+def migrate(spark: SparkSession, legacy: DataFrame, root: str, version: int, table: str = "event") -> DataFrame:
+    """Back up, convert into a new version folder, verify; the caller decides on the swap.
+
+    ``table`` is ``event`` or ``user`` and decides on the columns and the layout.
+    """
     backup(legacy, f"{root}/backup/version={version}")
     saved = spark.read.parquet(f"{root}/backup/version={version}")
-    write_events(typed_events(saved), f"{root}/data/version={version}", mode="overwrite")
-    return verify(saved, spark.read.parquet(f"{root}/data/version={version}"))
+    path = f"{root}/data/version={version}"
+    if table == "user":
+        write_users(typed_users(saved), path)
+    else:
+        write_events(typed_events(saved), path, mode="overwrite")
+    return verify(saved, spark.read.parquet(path))
 
 
 def swap(spark: SparkSession, root: str, version: int) -> None:
@@ -144,6 +151,16 @@ def storage_report(tables: dict[str, DataFrame]) -> DataFrame:
     return reports
 
 
+def value_bytes(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows and value bytes per table, the part of the report that doesn't depend on files."""
+    reports = None
+    for name, table in tables.items():
+        size = sum((_value_bytes(field) for field in table.schema.fields), F.lit(0).cast("bigint"))
+        report = table.agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("value_bytes")).select(F.lit(name).alias("table"), "*")
+        reports = report if reports is None else reports.unionAll(report)
+    return reports
+
+
 def _value_bytes(field: T.StructField) -> Column:
     widths = {"boolean": 1, "smallint": 2, "int": 4, "date": 4, "bigint": 8, "double": 8, "timestamp": 8}
     kind = field.dataType.simpleString()

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.operators.evolve import MAX_COLUMNS, collect_columns, valid_name
+from tidemark.schema import USER_CORE, other_properties, user_rows
+from tidemark.sources import tables
+
 # Methods that change a profile, and tables rows may be deleted from.
 MERGING = ["track_signup", "profile_set"]
 TABLES = ["event", "user"]
@@ -96,69 +100,121 @@ def latest_versions(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("distinct_id").alias("_id")).agg(newest.alias("row")).select("row.*")
 
 
+CHANGE_SCHEMA = f"{STATE_SCHEMA}, deleted BOOLEAN"
+
+
 class ProfileStore:
-    """Current profiles in Parquet, split into hash buckets.
+    """Current profiles in Parquet: a base, and the changes of later batches.
 
-    An upsert rewrites only the buckets it touches, into a new version folder, then appends
-    one manifest row per bucket. Readers take each bucket's newest version, so they never
-    see a half-written one, and replaying a version gives the same files again. Choose the
-    bucket count so that one bucket fits a task.
+    A batch appends its changes alone and then one line to the log; nothing that a reader may be
+    reading is replaced. Reading folds the changes over the base by user. ``compact`` writes a
+    new base from time to time, and ``upsert`` does so by itself after ``fold_after`` batches.
+
+    Batches are named by their writer (``writer-number``, as ``streaming.flush`` does). A name
+    that the log has was applied before, and is passed over; so a replay changes nothing, and
+    two writers never meet under one number. One process writes at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, fold_after: int = 64):
         self.spark = spark
         self.path = path.rstrip("/")
         self.buckets = buckets
+        self.fold_after = fold_after
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("distinct_id"), F.lit(self.buckets)).cast("int")
+    def _log(self) -> list[tuple[int, str, str]]:
+        """(version, kind, name) of the newest base and all that came after it, in order."""
+        try:
+            log = self.spark.read.schema("version BIGINT, kind STRING, name STRING").json(f"{self.path}/log")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        base = log.filter(F.col("kind") == "base").agg(F.max("version")).scalar()
+        rows = log.filter(F.col("version") >= F.coalesce(base, F.lit(0))).collect()
+        return sorted((r["version"], r["kind"], r["name"]) for r in rows)
 
-    def _versions(self, before: int | None) -> dict[int, int]:
-        """Newest version per bucket, at most one entry per bucket."""
+    def applied(self, name: str) -> bool:
         try:
-            manifest = self.spark.read.schema("bucket INT, version BIGINT").json(
-                f"{self.path}/manifest"
-            )
+            log = self.spark.read.schema("name STRING").json(f"{self.path}/log")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return {}
-        if before is not None:
-            manifest = manifest.filter(F.col("version") < before)
-        newest = manifest.groupBy("bucket").agg(F.max("version").alias("version"))
-        return {row["bucket"]: row["version"] for row in newest.collect()}
-
-    def read(self, only: list[int] | None = None, before: int | None = None) -> DataFrame:
-        versions = self._versions(before)
-        paths = [
-            f"{self.path}/data/version={version}/bucket={bucket}"
-            for bucket, version in sorted(versions.items())
-            if only is None or bucket in only
-        ]
-        if not paths:
+            return False
+        return not log.filter(F.col("name") == name).isEmpty()
+
+    def _record(self, version: int, kind: str, name: str) -> None:
+        line = self.spark.createDataFrame([(version, kind, name)], "version BIGINT, kind STRING, name STRING")
+        line.coalesce(1).write.mode("append").json(f"{self.path}/log")
+
+    def _next(self) -> int:
+        return max((version for version, _, _ in self._log()), default=-1) + 1
+
+    def _folded(self, log: list[tuple[int, str, str]]) -> DataFrame:
+        """One row per user: later versions over earlier ones, deletions ending what came before."""
+        parts = []
+        for version, kind, _ in log:
+            rows = self.spark.read.schema(CHANGE_SCHEMA).parquet(f"{self.path}/{kind}/version={version}")
+            parts.append(rows.withColumn("version", F.lit(version).cast("bigint")))
+        if not parts:
             return self.spark.createDataFrame([], STATE_SCHEMA)
-        return self.spark.read.schema(STATE_SCHEMA).parquet(*paths)
-
-    def upsert(self, records: DataFrame, version: int) -> None:
-        """Apply profile records as the given version; safe to repeat."""
-        changes_path = f"{self.path}/changes/version={version}"
-        changes = profile_changes(records).withColumn("bucket", self._bucket())
-        changes.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
-            changes_path
-        )
-        changes = self.spark.read.schema(STATE_SCHEMA + ", bucket INT").parquet(changes_path)
-        touched = sorted(row["bucket"] for row in changes.select("bucket").distinct().collect())
-        if not touched:
-            return
-        state = self.read(only=touched, before=version)
-        following = upsert(state, changes.drop("bucket")).withColumn("bucket", self._bucket())
-        following.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{self.path}/data/version={version}"
-        )
-        written = self.spark.read.schema(STATE_SCHEMA + ", bucket INT").parquet(
-            f"{self.path}/data/version={version}"
-        )
-        manifest = written.select("bucket").distinct().select(
-            "bucket", F.lit(version).cast("bigint").alias("version")
+        if len(parts) == 1:
+            return parts[0].filter("not deleted").drop("deleted", "version")
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        # At most one row per user and version: the list is as long as the log since the base.
+        versions = F.array_sort(F.collect_list(F.struct("version", "deleted", F.map_entries("props").alias("entries"), "received_at")))
+        empty = F.create_map().cast("map<string,string>")
+
+        def step(state: Column, change: Column) -> Column:
+            return F.when(change["deleted"], empty).otherwise(overlay(state, F.map_from_entries(change["entries"])))
+
+        users = rows.groupBy("distinct_id").agg(versions.alias("versions"))
+        merged = users.select(
+            "distinct_id",
+            F.aggregate("versions", empty, step).alias("props"),
+            F.element_at("versions", -1)["received_at"].alias("received_at"),
         )
-        manifest.coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+        return merged.filter(F.size("props") > 0)
+
+    def read(self) -> DataFrame:
+        return self._folded(self._log())
+
+    def _append(self, changes: DataFrame, name: str) -> None:
+        version = self._next()
+        path = f"{self.path}/change/version={version}"  # not in the log yet, so nobody reads it
+        changes.repartition(self.buckets, "distinct_id").write.mode("overwrite").parquet(path)
+        self._record(version, "change", name)
+        if sum(kind == "change" for _, kind, _ in self._log()) >= self.fold_after:
+            self.compact()
+
+    def upsert(self, records: DataFrame, name: str) -> None:
+        """Apply profile records under the batch's name; safe to repeat."""
+        if not self.applied(name):
+            changes = profile_changes(records).withColumn("deleted", F.lit(False))
+            self._append(changes, name)
+
+    def delete(self, ids: DataFrame, name: str) -> None:
+        """Delete the profiles of the valid ids; what arrives later starts anew."""
+        if not self.applied(name):
+            valid, _ = split_delete_ids(ids)
+            props = F.create_map().cast("map<string,string>").alias("props")
+            self._append(valid.select("distinct_id", props, F.lit(None).cast("timestamp").alias("received_at"), F.lit(True).alias("deleted")), name)
+
+    def compact(self) -> None:
+        """Write the current profiles as a new base."""
+        log = self._log()
+        if len(log) > 1:
+            version = self._next()
+            base = self._folded(log).withColumn("deleted", F.lit(False))
+            base.repartition(self.buckets, "distinct_id").write.mode("overwrite").parquet(f"{self.path}/base/version={version}")
+            self._record(version, "base", f"base {version}")
+
+    def write_user_table(self, path: str, tz: str = "UTC", max_columns: int = MAX_COLUMNS) -> None:
+        """The typed user table of the current profiles, sorted and indexed by id."""
+        current = self.read()
+        keys = current.select(F.explode(F.map_keys("props")).alias("column")).groupBy("column").agg(F.count(F.lit(1)).alias("rows"))
+        fresh = keys.filter(valid_name(F.col("column")) & ~F.col("column").isin(USER_CORE)).withColumn("type", F.lit("String"))
+        columns = [name for name, _ in collect_columns(fresh, (), max_columns, USER_CORE)]
+        other = other_properties(F.col("props"), columns, USER_CORE).alias("other")
+        tables.write_users(user_rows(current, columns, tz, (other,)), path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions import coerce
@@ -13,7 +15,6 @@ EVENT_TEXT = [
     "model", "brand", "manufacturer", "network_type", "app_id", "app_version", "app_name",
     "device_id", "user_id",
 ]
-DEMO_TEXT = ["channel", "country", "page_name", "demo_hour", "demo_day"]
 USER_TEXT = ["user_id", "name", "email", "phone", "avatar"]
 
 # Columns with a parser of their own, by name.
@@ -48,6 +49,21 @@ EVENT_SCHEMA = T.StructType(
 )
 
 
+# Columns that rows carry beside their properties, and that folders are named by.
+RESERVED = ["seq", "pos", "received_at", "props", "other", "payload_hash", "ds_month", "batch_id", "unconverted"]
+
+
+def taken_names(columns: Iterable[str] = (), core: Iterable[str] = EVENT_CORE) -> set[str]:
+    """Names that no new column may have; Parquet readers and Spark don't tell case apart."""
+    return {name.lower() for name in (*core, *RESERVED, *columns)}
+
+
+def other_properties(props: Column, columns: Iterable[str], core: Iterable[str] = EVENT_CORE) -> Column:
+    """The properties that no column holds: refused names, clashing ones, those beyond the limit."""
+    held = sorted({*columns, *core} - {"ds"})
+    return F.map_filter(props, lambda key, _: ~key.isin(held))
+
+
 def column_value(name: str, props: Column) -> Column:
     """One stored value, parsed by its column name; other columns are text."""
     raw = props[name]
@@ -68,17 +84,24 @@ def event_rows(
     timed = once(records, time=coerce.event_time(props["time"], F.col("received_at")))
     # Two steps, so that the generated code of each stays small enough to be compiled.
     parsed = once(timed, **{name: column_value(name, props) for name in PARSED})
-    texts = [*EVENT_TEXT, *[n for n in extra if n not in EVENT_CORE]]
     return parsed.select(
         *keep,
         "time",
         coerce.event_date(F.col("time"), tz).alias("ds"),
         "event",
         *PARSED,
-        *[column_value(name, props).alias(name) for name in texts],
+        *[column_value(name, props).alias(name) for name in EVENT_TEXT],
+        *[text_column(name) for name in extra if name not in EVENT_CORE],
     )
 
 
+def text_column(name: str) -> Column:
+    """A property beyond the core columns, as one expression; tables may have many."""
+    if name == "revenue":
+        return column_value(name, F.col("props")).alias(name)
+    return F.expr(f"coalesce(props['{name}'], '') AS `{name}`")
+
+
 def user_rows(
     merged: DataFrame, extra: list[str] | tuple[str, ...] = (), tz: str = "UTC", keep: tuple[str, ...] = ()
 ) -> DataFrame:

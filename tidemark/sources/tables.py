@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 SORT = ["distinct_id", "event", "time"]
 BLOOM = ["event", "distinct_id", "user_id"]
@@ -42,6 +44,57 @@ def append_events(events: DataFrame, path: str, mode: str = "append") -> None:
     _writer(with_month(events).sortWithinPartitions("ds_month", *SORT), mode).parquet(path)
 
 
+def stored_schema(spark: SparkSession, path: str) -> dict[str, tuple[str, bool]]:
+    """Column -> (Spark type, whether absent reads as empty text), as the table's record has them.
+
+    The record lies beside the table, one small file for each batch that brought a column; it
+    spares readers the footers of all files. The first type a column had stays. Empty if the
+    table has no record.
+    """
+    try:
+        rows = spark.read.schema("name STRING, type STRING, empty BOOLEAN, place INT").json(f"{path.rstrip('/')}_schema")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    found: dict[str, tuple[str, bool]] = {}
+    for row in sorted(rows.collect(), key=lambda r: (r["place"], r["name"])):
+        found.setdefault(row["name"], (row["type"], row["empty"]))
+    return found
+
+
+def append_batch(events: DataFrame, path: str, batch: str, empty_text: bool = False) -> None:
+    """Write a batch under its own key, replacing what an earlier try wrote.
+
+    Columns that are new to the table go into its record before the rows are written, so a
+    reader never lacks a column that it finds. With ``empty_text`` text that older rows lack
+    reads as empty.
+    """
+    spark = events.sparkSession
+    known = stored_schema(spark, path)
+    fresh = [
+        (field.name, field.dataType.simpleString(), empty_text and isinstance(field.dataType, T.StringType), len(known) + i)
+        for i, field in enumerate(f for f in events.schema if f.name not in known)
+    ]
+    if fresh:
+        record = spark.createDataFrame(fresh, "name STRING, type STRING, empty BOOLEAN, place INT")
+        record.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}_schema/batch={batch}")
+    append_events(events, f"{path}/batch_id={batch}", mode="overwrite")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    schema = stored_schema(spark, path)
+    if not schema:
+        return spark.read.option("mergeSchema", "true").parquet(path)
+    text = ", ".join(f"`{name}` {kind}" for name, (kind, _) in schema.items())
+    events = spark.read.schema(text).parquet(path)
+    shown = [
+        f"coalesce(`{name}`, '') AS `{name}`" if schema.get(name, ("", False))[1] else f"`{name}`"
+        for name in events.columns
+    ]
+    return events.selectExpr(*shown)
+
+
 def read_events(
     spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None
 ) -> DataFrame:
@@ -50,7 +103,7 @@ def read_events(
     A filter on ``ds`` alone does not prune the derived month folders, so the matching month
     range is added to it.
     """
-    events = spark.read.option("mergeSchema", "true").parquet(path)
+    events = _stored(spark, path)
     if start is not None:
         events = events.filter(
             (F.col("ds_month") >= start.year * 100 + start.month) & (F.col("ds") >= F.lit(start))
@@ -68,45 +121,131 @@ def retained(events: DataFrame, as_of: Column) -> DataFrame:
     return events.filter(F.col("time") >= as_of - F.expr("INTERVAL 1 YEAR"))
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path
+    return target, target(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _month_folders(spark: SparkSession, path: str) -> list[tuple[str | None, int]]:
+    """(batch key, month) of every month folder, with or without batches above it."""
+    target, fs = _file_system(spark, path)
+    found = []
+    for pattern in ("ds_month=*", "batch_id=*/ds_month=*"):
+        for status in fs.globStatus(target(f"{path}/{pattern}")) or []:
+            folder = status.getPath()
+            above = folder.getParent().getName()
+            batch = above.removeprefix("batch_id=") if "/" in pattern else None
+            found.append((batch, int(folder.getName().split("=")[1])))
+    return sorted(found, key=str)
+
+
+def _folder(path: str, batch: str | None, month: int) -> str:
+    return f"{path}/ds_month={month}" if batch is None else f"{path}/batch_id={batch}/ds_month={month}"
+
+
+def _rewrite(spark: SparkSession, path: str, folders: list[tuple[str | None, int]], kept) -> None:
+    """Replace the folders' rows by those that ``kept`` leaves of them.
+
+    The new files are complete in a hidden folder before the first old one goes; then folders
+    are renamed, without copying.
+    """
+    if not folders:
+        return
+    target, fs = _file_system(spark, path)
+    hidden = f"{path}/_rewrite-{uuid.uuid4().hex}"
+    old = _stored(spark, path)
+    keys = ["batch_id", "ds_month"] if "batch_id" in old.columns else ["ds_month"]
+    wanted = spark.createDataFrame(folders, "batch STRING, month INT")
+    here = F.col("ds_month") == F.col("month")
+    if len(keys) == 2:
+        here &= F.col("batch_id").cast("string").eqNullSafe(F.col("batch"))
+    rows = kept(old.join(F.broadcast(wanted), here, "left_semi")).sortWithinPartitions(*keys, *SORT)
+    rows.write.partitionBy(*keys).parquet(hidden)
+    for batch, month in folders:
+        fs.delete(target(_folder(path, batch, month)), True)
+        new = target(_folder(hidden, batch, month))
+        if fs.exists(new):
+            fs.rename(new, target(_folder(path, batch, month)))
+    fs.delete(target(hidden), True)
+
+
 def apply_retention(spark: SparkSession, path: str, as_of: dt.datetime) -> list[int]:
-    """Delete expired rows from the stored table; returns the months removed whole.
+    """Delete rows older than a year from the stored table; returns the months it removed whole.
 
-    Month folders before the cutoff's month go as folders, the cutoff's month is rewritten
-    alone, later months are not touched. The months are folder names, listed by the driver.
-    Times and folder dates may differ by the table's zone, so only months that ended two
-    days before the cutoff go unread.
+    Month folders before the cutoff's month go as folders, wherever they lie; those around the
+    cutoff are rewritten if they hold an expired row; later ones are not touched. The folders are
+    listed by the driver. Times and folder dates may differ by the table's zone, so only months
+    that ended two days before the cutoff go unread.
     """
     try:
         cutoff = as_of.replace(year=as_of.year - 1)
     except ValueError:
         cutoff = as_of.replace(year=as_of.year - 1, day=28)
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    months = sorted(
-        int(status.getPath().getName().split("=")[1])
-        for status in fs.listStatus(root)
-        if status.getPath().getName().startswith("ds_month=")
-    )
-    first_kept = cutoff - dt.timedelta(days=2)
-    expired = [m for m in months if m < first_kept.year * 100 + first_kept.month]
-    last_cut = cutoff + dt.timedelta(days=2)
-    boundary = [
-        m for m in months if m not in expired and m <= last_cut.year * 100 + last_cut.month
-    ]
-    if boundary:
-        table = spark.read.option("mergeSchema", "true").parquet(path)
-        events = table.filter(F.col("ds_month").isin(boundary))
-        kept = events.filter(F.col("time") >= F.lit(cutoff))
-        _writer(kept.sortWithinPartitions("ds_month", *SORT), "overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).parquet(path)
-        left = spark.read.parquet(path).filter(F.col("ds_month").isin(boundary))
-        emptied = left.filter(F.col("time") < F.lit(cutoff)).select("ds_month").distinct()
-        expired += [row["ds_month"] for row in emptied.collect()]
-    for month in expired:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"ds_month={month}"), True)
-    return expired
+    first_kept, last_cut = cutoff - dt.timedelta(days=2), cutoff + dt.timedelta(days=2)
+    target, fs = _file_system(spark, path)
+    folders = _month_folders(spark, path)
+    expired = [x for x in folders if x[1] < first_kept.year * 100 + first_kept.month]
+    near = [x for x in folders if x not in expired and x[1] <= last_cut.year * 100 + last_cut.month]
+    for batch, month in expired:
+        fs.delete(target(_folder(path, batch, month)), True)
+    if near:
+        old = _stored(spark, path).filter(F.col("ds_month").isin([m for _, m in near]) & (F.col("time") < F.lit(cutoff)))
+        batch = F.col("batch_id").cast("string") if "batch_id" in old.columns else F.lit(None).cast("string")
+        holding = [(r["batch"], r["ds_month"]) for r in old.select(batch.alias("batch"), "ds_month").distinct().collect()]
+        _rewrite(spark, path, holding, lambda rows: rows.filter(F.col("time") >= F.lit(cutoff)))
+    left = {month for _, month in _month_folders(spark, path)}
+    return sorted({month for _, month in folders} - left)
+
+
+def delete_from_events(spark: SparkSession, path: str, ids: DataFrame) -> None:
+    """Delete the rows of the given valid ids (``distinct_id``) from the stored table.
+
+    Only folders that hold such a row are rewritten.
+    """
+    rows = _stored(spark, path)
+    batch = F.col("batch_id").cast("string") if "batch_id" in rows.columns else F.lit(None).cast("string")
+    hit = rows.join(ids.select("distinct_id"), "distinct_id", "left_semi")
+    holding = [(r["batch"], r["ds_month"]) for r in hit.select(batch.alias("batch"), "ds_month").distinct().collect()]
+    _rewrite(spark, path, holding, lambda kept: kept.join(ids.select("distinct_id"), "distinct_id", "left_anti"))
+
+
+def compact(spark: SparkSession, path: str) -> list[str]:
+    """Merge batch folders into one, sorted as a bulk write; returns the keys that went.
+
+    Keys are ``writer-number``. The newest batch of each writer stays as it is, since only that
+    one can be written again.
+    """
+    target, fs = _file_system(spark, path)
+    keys = sorted({batch for batch, _ in _month_folders(spark, path) if batch is not None})
+    newest: dict[str, int] = {}
+    for key in keys:
+        writer, _, number = key.rpartition("-")
+        if number.isdigit():
+            newest[writer] = max(newest.get(writer, -1), int(number))
+    live = {f"{writer}-{number}" for writer, number in newest.items()}
+    old = [key for key in keys if key not in live]
+    if len(old) < 2:
+        return []
+    merged, hidden = f"merged{uuid.uuid4().hex}", f"{path}/_compact-{uuid.uuid4().hex}"
+    rows = _stored(spark, path).filter(F.col("batch_id").isin(old)).drop("batch_id", "ds_month")
+    write_events(rows, hidden)
+    for key in old:
+        fs.delete(target(f"{path}/batch_id={key}"), True)
+    fs.rename(target(hidden), target(f"{path}/batch_id={merged}"))
+    return old
+
+
+USER_SORT = ["distinct_id"]
+
+
+def write_users(users: DataFrame, path: str) -> None:
+    """The user table: sorted by id, with a membership index on the ids."""
+    ordered = users.repartitionByRange(*USER_SORT).sortWithinPartitions(*USER_SORT)
+    writer = ordered.write.mode("overwrite")
+    for name in ("distinct_id", "user_id"):
+        if name in users.columns:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
 
 
 def register_views(spark: SparkSession, events: DataFrame, users: DataFrame) -> None:

@@ -1,20 +1,23 @@
 """Streaming jobs: event flush, profile flush, live counts.
 
 Input streams carry raw messages as ``tidemark.sources.messages`` describes them. Every sink
-writes one folder per batch id in overwrite mode, so a batch that is replayed after a
-failure replaces its own output.
+writes one folder per stream and batch id in overwrite mode, so a batch that is replayed after
+a failure replaces its own output.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.dedup import drop_exact_duplicates, with_hash
-from tidemark.operators.evolve import collect_columns, new_text_columns
+from tidemark.operators.dedup import drop_exact_duplicates
+from tidemark.operators.evolve import MAX_COLUMNS
+from tidemark.operators.ingest import store_records
 from tidemark.operators.profiles import ProfileStore
-from tidemark.schema import EVENT_CORE, event_rows
-from tidemark.session import configure
+from tidemark.session import configure, staged
 from tidemark.sources.messages import (
     MAX_PAYLOAD_BYTES,
     decode,
@@ -22,7 +25,7 @@ from tidemark.sources.messages import (
     profile_records,
     rejects,
 )
-from tidemark.sources.tables import append_events
+from tidemark.sources.tables import read_events
 
 MESSAGE_SCHEMA = "seq BIGINT, received_at TIMESTAMP, data_list STRING, data STRING"
 
@@ -30,8 +33,6 @@ MESSAGE_SCHEMA = "seq BIGINT, received_at TIMESTAMP, data_list STRING, data STRI
 EVENT_FLUSH = "6 seconds"
 PROFILE_FLUSH = "5 seconds"
 
-SALTS = 32
-
 
 def read_messages(
     spark: SparkSession, path: str, files_per_batch: int = 1000, file_format: str = "parquet"
@@ -46,19 +47,59 @@ def read_messages(
     )
 
 
-def drop_recent_duplicates(records: DataFrame, horizon: str) -> DataFrame:
-    """Keep one of each payload within the horizon, across batches.
+def writer_name(spark: SparkSession, checkpoint: str) -> str:
+    """A name for the stream that owns the checkpoint; a new checkpoint gets a new one.
 
-    State is kept per (event, payload). Copies of a hot payload would all meet in one task,
-    so a first pass removes most of them per salt.
+    Batch numbers start again with a new checkpoint, so folders carry this name as well.
     """
-    salted = (
-        with_hash(records)
-        .withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(SALTS)))
-        .withWatermark("received_at", horizon)
+    path = f"{checkpoint.rstrip('/')}_writer"
+    try:
+        return spark.read.schema("name STRING").json(path).first()["name"]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    name = uuid.uuid4().hex
+    spark.createDataFrame([(name,)], "name STRING").coalesce(1).write.json(path)
+    return name
+
+
+SEEN_SCHEMA = "event STRING, payload_hash STRING, received_at TIMESTAMP, ds DATE, batch_id STRING"
+
+
+def drop_seen(records: DataFrame, path: str, batch: str, horizon: str) -> DataFrame:
+    """Records without those stored by an earlier flush within the horizon, before or after.
+
+    ``records`` are free of duplicates themselves. What was stored is looked up in a table of
+    digests by receipt day, not in stream state: a record is never dropped for being late, only
+    for being a copy. A batch that is written again doesn't see its own digests.
+    """
+    spark = records.sparkSession
+    try:
+        seen = spark.read.schema(SEEN_SCHEMA).parquet(f"{path}/seen")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return records
+    span = F.expr(f"INTERVAL {horizon}")
+    days = records.agg(F.min("received_at").alias("a"), F.max("received_at").alias("b")).select(
+        F.to_date(F.col("a") - span).alias("a"), F.to_date(F.col("b") + span).alias("b")
+    ).first()
+    if days["a"] is None:
+        return records
+    near = seen.filter(F.col("ds").between(days["a"], days["b"]) & (F.col("batch_id") != batch))
+    old = near.select("event", "payload_hash", F.col("received_at").alias("seen_at"))
+    copy = (
+        records["event"].eqNullSafe(old["event"])
+        & (records["payload_hash"] == old["payload_hash"])
+        & (F.col("seen_at") >= F.col("received_at") - span)
+        & (F.col("seen_at") <= F.col("received_at") + span)
     )
-    fewer = salted.dropDuplicatesWithinWatermark(["event", "payload_hash", "salt"])
-    return fewer.dropDuplicatesWithinWatermark(["event", "payload_hash"]).drop("salt")
+    return records.join(old, copy, "left_anti")
+
+
+def _remember(records: DataFrame, path: str, batch: str) -> None:
+    digests = records.select("event", "payload_hash", "received_at", F.to_date("received_at").alias("ds"))
+    digests.write.mode("overwrite").partitionBy("ds").parquet(f"{path}/seen/batch_id={batch}")
 
 
 def _start(writer, query_name: str, checkpoint: str, every: str | None) -> StreamingQuery:
@@ -77,38 +118,40 @@ def start_event_flush(
     max_bytes: int = MAX_PAYLOAD_BYTES,
     tz: str = "UTC",
     name: str = "event_flush",
+    typed: bool = False,
+    max_columns: int = MAX_COLUMNS,
 ) -> StreamingQuery:
-    """Decode, drop duplicates, add new columns, store.
+    """Decode, drop duplicates, add new columns, store events and refusals.
 
     Without a horizon, duplicates are dropped among the messages of one flush, and a repeat
-    after the flush is stored again. With one, they are dropped across flushes as well.
-    Event times are kept however late a message is.
+    after the flush is stored again. With one, copies of what was stored within it are dropped
+    as well. Of copies in one flush the first arrival stays. No message is dropped for being
+    late, and event times are kept however late it is.
     """
+    writer = writer_name(messages.sparkSession, checkpoint)
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        if horizon is None:
-            decoded = decode(batch, max_bytes).persist()
+        key = f"{writer}-{batch_id}"
+        with staged(decode(batch, max_bytes), "decoded") as decoded:
+            rejects(decoded).write.mode("overwrite").parquet(f"{path}/rejects/batch_id={key}")
             records = drop_exact_duplicates(event_records(decoded))
-            rejects(decoded).write.mode("overwrite").parquet(f"{path}/rejects/batch_id={batch_id}")
-        else:
-            decoded = batch.persist()
-            records = decoded
-        columns = collect_columns(new_text_columns(records, EVENT_CORE))
-        rows = event_rows(
-            records, [column for column, _ in columns], tz, ("seq", "pos", "received_at")
-        )
-        append_events(rows, f"{path}/events/batch_id={batch_id}", mode="overwrite")
-        decoded.unpersist()
-
-    source = messages
-    if horizon is not None:
-        source = drop_recent_duplicates(event_records(decode(messages, max_bytes)), horizon)
-    return _start(source.writeStream.foreachBatch(flush), name, checkpoint, every)
+            if horizon is not None:
+                records = drop_seen(records, path, key, horizon)
+            with staged(records, "records") as kept:
+                store_records(kept, f"{path}/events", key, typed, tz, max_columns)
+                if horizon is not None:
+                    _remember(kept, path, key)
+
+    return _start(messages.writeStream.foreachBatch(flush), name, checkpoint, every)
 
 
 def read_flushed(spark: SparkSession, path: str) -> DataFrame:
-    """All flushed events; batches may have different columns."""
-    return spark.read.option("mergeSchema", "true").parquet(f"{path}/events")
+    """All flushed events, with the columns of all batches."""
+    return read_events(spark, f"{path}/events")
+
+
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/rejects")
 
 
 def start_profile_flush(
@@ -118,19 +161,19 @@ def start_profile_flush(
     every: str | None = PROFILE_FLUSH,
     name: str = "profile_flush",
 ) -> StreamingQuery:
-    """Merge each batch of profile messages into the store, as version = batch id."""
+    """Append each batch of profile messages to the store."""
+    writer = writer_name(messages.sparkSession, checkpoint)
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        store.upsert(profile_records(decode(batch)), batch_id)
+        store.upsert(profile_records(decode(batch)), f"{writer}-{batch_id}")
 
     return _start(messages.writeStream.foreachBatch(flush), name, checkpoint, every)
 
 
-def live_counts(events: DataFrame, width: str, watermark: str) -> DataFrame:
-    """Rows per tumbling window and event, kept up to date until the watermark passes."""
+def window_counts(events: DataFrame, width: str) -> DataFrame:
+    """Rows per tumbling window and event."""
     return (
-        events.withWatermark("time", watermark)
-        .groupBy(F.window("time", width).alias("w"), "event")
+        events.groupBy(F.window("time", width).alias("w"), "event")
         .agg(F.count(F.lit(1)).alias("events"))
         .select(F.col("w.start").alias("window_start"), "event", "events")
     )
@@ -141,22 +184,20 @@ def start_live_counts(
     path: str,
     checkpoint: str,
     width: str = "1 hour",
-    watermark: str = "1 hour",
     every: str | None = EVENT_FLUSH,
     name: str = "live_counts",
 ) -> StreamingQuery:
-    """Write changed window counts per batch; ``read_live_counts`` takes the newest of each."""
+    """Write each batch's share of the window counts; ``read_live_counts`` adds them up.
+
+    No state is kept and no watermark drops rows, so a row counts however late it is.
+    """
+    writer = writer_name(events.sparkSession, checkpoint)
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        window_counts(batch, width).write.mode("overwrite").parquet(f"{path}/batch_id={writer}-{batch_id}")
 
-    counts = live_counts(events, width, watermark)
-    return _start(counts.writeStream.outputMode("update").foreachBatch(flush), name, checkpoint, every)
+    return _start(events.writeStream.foreachBatch(flush), name, checkpoint, every)
 
 
 def read_live_counts(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        spark.read.parquet(path)
-        .groupBy("window_start", "event")
-        .agg(F.max_by("events", "batch_id").alias("events"))
-    )
+    return spark.read.parquet(path).groupBy("window_start", "event").agg(F.sum("events").alias("events"))

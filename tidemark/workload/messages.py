@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.sources.messages import MAX_PAYLOAD_BYTES
 from tidemark.workload.fixture import event_view
 
-# The size limit used with these messages; the padded ones are longer.
-MAX_BYTES = 4096
+# The size limit used with these messages, the product's own; the padded ones are longer.
+MAX_BYTES = MAX_PAYLOAD_BYTES
 
 TIME_JSON = """CASE event_id % 5
   WHEN 0 THEN CAST(ms DIV 1000 AS STRING)
@@ -58,10 +59,10 @@ PROFILE_JSON = """CONCAT('{"type":"',
   CASE WHEN event_id % 16 = 1 THEN CONCAT(',"phone":"p-', CAST(event_id AS STRING), '"') ELSE '' END,
   '}}')"""
 
-REFUSED_JSON = """CASE (event_id DIV 16) % 8
+REFUSED_JSON = f"""CASE (event_id DIV 16) % 8
   WHEN 0 THEN '[]' WHEN 1 THEN '[1]' WHEN 2 THEN 'bad' WHEN 3 THEN ''
-  WHEN 4 THEN CONCAT('[{"event":"big","pad":"', REPEAT('x', 5000), '"}]')
-  WHEN 5 THEN '{"type":"track","event":7}' WHEN 6 THEN 'null' ELSE '"text"' END"""
+  WHEN 4 THEN CONCAT('[{{"event":"big","pad":"', REPEAT('x', {MAX_BYTES}), '"}}]')
+  WHEN 5 THEN '{{"type":"track","event":7}}' WHEN 6 THEN 'null' ELSE '"text"' END"""
 
 DATA_LIST = f"""CASE
   WHEN event_id % 16 IN (0, 1, 2, 3, 6) THEN ''

@@ -7,10 +7,10 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators import dedup, evolve, migrate, profiles
-from tidemark.operators.ingest import ingest_events
+from tidemark.operators.ingest import ingest_events, store_records
 from tidemark.plans import quality
 from tidemark.schema import EVENT_CORE
-from tidemark.session import scratch_dir, stage
+from tidemark.session import scratch_dir, stage, staged
 from tidemark.sources import demo, tables
 from tidemark.sources import messages as source
 from tidemark.streaming import flush
@@ -101,19 +101,41 @@ def evolve_schema_typed(spark, sf_dir):
     return evolve.new_typed_columns(source.event_records(decoded(spark, sf_dir)), EVENT_CORE)
 
 
+CORE_TEXT = [
+    "distinct_id", "device_id", "os", "app_id", "app_version", "network_type", "lib", "lib_method",
+    "lib_version", "anonymous_id",
+]
+
+
 def typed_sink(spark, sf_dir):
-    records = stage(source.event_records(decoded(spark, sf_dir)), "decoded")
-    found = evolve.collect_columns(evolve.new_typed_columns(records, EVENT_CORE))
-    rows = evolve.typed_table(records, found, "received_at", "seq", "pos", "event")
-    rows = rows.withColumn("distinct_id", F.lit("")).withColumn("user_id", F.lit(""))
+    """Core and extra columns of the typed table, as it is read back."""
     path = scratch_dir(spark, "typed-sink")
-    tables.append_events(rows, path)
+    with staged(source.event_records(decoded(spark, sf_dir)), "decoded") as records:
+        store_records(records, path, "batch-0", typed=True)
     return tables.read_events(spark, path).select(
         "seq", "pos", "event", F.unix_millis("time").alias("time_ms"),
-        F.col("ds").cast("string").alias("ds"), "k", "value", "tags", "type",
+        F.col("ds").cast("string").alias("ds"), *CORE_TEXT, "screen_width", "screen_height",
+        F.col("timezone_offset").cast("int").alias("timezone_offset"), "wifi", "is_first_day",
+        F.col("_flush_time").cast("string").alias("flush_time"), "k", "value", "tags", "type",
+        F.size("other").alias("others"), "unconverted",
     )
 
 
+TYPED_SINK_ORACLE = f"""{MESSAGE_SQL}, r AS (SELECT *, CASE WHEN event_id % 5 IN (1, 4) THEN rms ELSE ms END // 1000 * 1000 AS t FROM main)
+SELECT event_id AS seq, 0 AS pos, event, t AS time_ms, strftime(make_timestamp(t * 1000), '%Y-%m-%d') AS ds,
+  distinct_id, device_id, os, app_id, app_version, network_type, 'js' AS lib, 'code' AS lib_method,
+  concat('1.', event_id % 3) AS lib_version, '' AS anonymous_id,
+  CASE WHEN screen_width_text IN ('', 'abc') THEN 0 ELSE CAST(screen_width_text AS INTEGER) END AS screen_width,
+  CAST(CASE event_id % 4 WHEN 0 THEN 65535 WHEN 3 THEN event_id % 1000 ELSE 0 END AS INTEGER) AS screen_height,
+  CAST(CASE event_id % 3 WHEN 0 THEN -480 WHEN 1 THEN 32767 ELSE 0 END AS INTEGER) AS timezone_offset,
+  event_id % 6 < 3 AS wifi, event_id % 2 = 0 AS is_first_day,
+  CASE event_id % 3 WHEN 0 THEN CAST(ms AS VARCHAR) WHEN 1 THEN '18446744073709551615' ELSE '0' END AS flush_time,
+  CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value,
+  concat('["t', event_id % 7, '",{{"a":1.5,"b":', event_id % 3, '}},100]') AS tags, 'track' AS type, 1 AS others, 0 AS unconverted FROM r
+UNION ALL SELECT event_id, 1, 'heartbeat', ms // 1000 * 1000, strftime(make_timestamp(ms * 1000), '%Y-%m-%d'), distinct_id,
+  '', '', '', '', '', '', '', '', '', 0, 0, 0, false, false, '0', NULL, NULL, NULL, NULL, 0, 0 FROM beat"""
+
+
 def property_profile(spark, sf_dir):
     records = stage(source.event_records(decoded(spark, sf_dir)), "decoded")
     total = records.agg(F.count(F.lit(1))).scalar()
@@ -257,9 +279,9 @@ def profile_upsert(spark, sf_dir):
     configured(spark, sf_dir)
     store = profiles.ProfileStore(spark, scratch_dir(spark, "profiles"), buckets=8)
     orders = order_records(spark, sf_dir)
-    store.upsert(customer_records(spark, sf_dir), 0)
-    store.upsert(orders.filter(F.col("seq") % 2 == 1), 1)
-    store.upsert(orders.filter(F.col("seq") % 2 == 0), 2)
+    store.upsert(customer_records(spark, sf_dir), "seed-0")
+    store.upsert(orders.filter(F.col("seq") % 2 == 1), "orders-1")
+    store.upsert(orders.filter(F.col("seq") % 2 == 0), "orders-2")
     return props_columns(store.read(), "name", "segment", "level", "status", "spend")
 
 
@@ -352,13 +374,13 @@ def append_1000(spark, sf_dir):
 
 
 def storage_report(spark, sf_dir):
+    """Rows and value bytes of both copies; file sizes depend on the writer and are not compared."""
     path = scratch_dir(spark, "storage")
-    legacy = legacy_table(spark, sf_dir)
+    legacy = legacy_table(spark, sf_dir).select(*LEGACY_SHOWN)
     legacy.write.parquet(f"{path}/text")
     migrate.typed_events(legacy).write.parquet(f"{path}/typed")
-    return migrate.storage_report(
-        {name: spark.read.parquet(f"{path}/{name}") for name in ("text", "typed")}
-    )
+    stored = {name: spark.read.parquet(f"{path}/{name}") for name in ("text", "typed")}
+    return migrate.storage_report(stored).select("table", "rows", "value_bytes")
 
 
 def migrate_event(spark, sf_dir):
@@ -375,6 +397,15 @@ def migrate_verify(spark, sf_dir):
     return migrate.migrate(spark, legacy_table(spark, sf_dir), scratch_dir(spark, "verify"), 1)
 
 
+LEGACY_SHOWN = ["event", "distinct_id", "os", "screen_width", "wifi"]
+
+STORAGE_ORACLE = f"""WITH ev AS ({VIEW_SQL})
+SELECT 'text' AS "table", count(*) AS rows, CAST(sum(strlen(event) + strlen(distinct_id) + strlen(os) + strlen(screen_width_text) + strlen(wifi_text)) AS BIGINT) AS value_bytes FROM ev
+UNION ALL SELECT 'typed', count(*), CAST(sum(strlen(event) + strlen(distinct_id) + strlen(os)
+  + CASE WHEN TRY_CAST(screen_width_text AS INTEGER) IS NOT NULL THEN 4 ELSE 0 END
+  + CASE WHEN wifi_text IN ('true', 'false') THEN 1 ELSE 0 END) AS BIGINT) FROM ev"""
+
+
 # Streaming: the input arrives in two parts, each followed by a run to its end.
 
 SPLIT = "2024-01-15 12:00:00"
@@ -511,12 +542,7 @@ ORACLES = {
       (SELECT count(*) FROM main) AS samples, CASE WHEN t = 'String' THEN concat('`', c, '` String DEFAULT ''''')
         ELSE concat('`', c, '` Nullable(', t, ')') END AS definition
       FROM (VALUES ('k', 'Int64'), ('tags', 'String'), ('type', 'String'), ('value', 'Float64')) v(c, t)""",
-    "typed_sink": f"""{MESSAGE_SQL}, r AS (SELECT *, CASE WHEN event_id % 5 IN (1, 4) THEN rms ELSE ms END // 1000 * 1000 AS t FROM main)
-    SELECT event_id AS seq, 0 AS pos, event, t AS time_ms, strftime(make_timestamp(t * 1000), '%Y-%m-%d') AS ds,
-      CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value,
-      concat('["t', event_id % 7, '",{{"a":1.5,"b":', event_id % 3, '}},100]') AS tags, 'track' AS type FROM r
-    UNION ALL SELECT event_id, 1, 'heartbeat', ms // 1000 * 1000, strftime(make_timestamp(ms * 1000), '%Y-%m-%d'),
-      NULL, NULL, NULL, NULL FROM beat""",
+    "typed_sink": TYPED_SINK_ORACLE,
     "property_profile": PROPERTY_ORACLE,
     "profile_merge": PROFILE_MERGE_ORACLE,
     "profile_upsert": PROFILE_UPSERT_ORACLE,
@@ -546,6 +572,7 @@ ORACLES = {
       UNION ALL SELECT 'wifi', count(*) FILTER (WHERE wifi_text <> ''),
         count(*) FILTER (WHERE wifi_text IN ('true', 'false')) FROM ev)
     SELECT "check", legacy, typed, legacy - typed AS lost, true AS ok FROM c""",
+    "storage_report": STORAGE_ORACLE,
     "stream_ingest": STREAM_INGEST_ORACLE,
     "stream_dedup": f"""{MESSAGE_SQL}, r AS (SELECT event FROM main UNION ALL SELECT 'heartbeat' FROM beat)
       SELECT event, count(*) AS events FROM r GROUP BY event""",
