@@ -27,15 +27,17 @@ class Settings:
     similarity: float = 0.98
     sample_rows: int = 20_000
     """Vectors that the centroids are fitted on."""
-    shard_rows: int = 2_000
+    shard_rows: int = 400
     """Vectors per centroid; a shard that grows beyond twice that is cut into blocks."""
     most_centroids: int = 2_048
     overlap: int = 3
     """Centroids that a vector may go to: the nearest, and those not much farther."""
-    degree: int = 24
-    candidates: int = 64
+    degree: int = 16
+    candidates: int = 48
     alpha: float = 1.2
-    width: int = 48
+    far: int = 4
+    """Random neighbours besides, so that groups larger than ``candidates`` stay within reach."""
+    width: int = 32
     audited: int = 200
     """Vectors that the audit compares with all others."""
     recall: float = 0.95
@@ -124,10 +126,13 @@ def pruned_graph(rows: np.ndarray, settings: Settings) -> np.ndarray:
     """Neighbours of each row, -1 where there are fewer than ``degree``.
 
     Candidates are the nearest rows. The nearest is kept; candidates that are nearer to it, by the
-    factor ``alpha``, than to the row go; and so on.
+    factor ``alpha``, than to the row go; and so on. Some random rows come on top.
     """
     n, wide = len(rows), min(settings.candidates, len(rows) - 1)
+    near_most = settings.degree - settings.far
     out = np.full((n, settings.degree), -1)
+    if n > settings.degree:
+        out[:, near_most:] = np.random.default_rng(n).integers(0, n, (n, settings.far))
     for at in range(0, n, 256):
         own = np.arange(at, min(at + 256, n))
         dots = rows[own] @ rows.T
@@ -139,7 +144,7 @@ def pruned_graph(rows: np.ndarray, settings: Settings) -> np.ndarray:
         between = 1 - np.einsum("qcd,qed->qce", rows[near], rows[near])
         open_ = np.ones(near.shape, bool)
         lines = np.arange(len(own))
-        for k in range(min(settings.degree, wide)):
+        for k in range(min(near_most if n > settings.degree else settings.degree, wide)):
             some = open_.any(axis=1)
             pick_ = open_.argmax(axis=1)
             out[own[some], k] = near[some, pick_[some]]
@@ -173,9 +178,12 @@ def range_search(rows: np.ndarray, graph: list[np.ndarray], queries: np.ndarray,
     neighbours of the nearest one not yet looked at; rows within the range are looked at too.
     """
     n, q = len(rows), len(queries)
-    most = max((len(x) for x in graph), default=0)
+    most = min(2 * settings.degree, max((len(x) for x in graph), default=0))
     table = np.full((n, most), -1)
     for i, x in enumerate(graph):
+        if len(x) > most:  # united lists are cut again: the nearest, and some far ones
+            order = np.argsort(-(rows[x] @ rows[i]), kind="stable")
+            x = x[np.concatenate((order[: most - settings.far], order[-settings.far :]))]
         table[i, : len(x)] = x
     medoid = int((rows @ rows.mean(axis=0)).argmax())
     seen = np.zeros((q, n), bool)
