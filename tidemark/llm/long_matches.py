@@ -31,9 +31,9 @@ from tidemark.llm.common import pick, stage
 from tidemark.llm.run_index import repeated_starts
 
 LENGTH = 400
-GRAM = 200
+GRAM = 100
 WINDOW = LENGTH - GRAM + 1
-MOST_PERIOD = 100
+MOST_PERIOD = GRAM // 2
 SHARD_BYTES = 1 << 20
 CROWDED = 1_000
 """Different surroundings of an anchor from which they are counted by digest."""
@@ -197,6 +197,7 @@ def _indexed(windows: DataFrame) -> DataFrame:
 
     def run(batches):
         held: list[tuple[int, int, int, bytes]] = []
+        known: set[tuple[int, int]] = set()  # a repeated row of a document gives its windows again
         size = 0
 
         def given():
@@ -209,8 +210,11 @@ def _indexed(windows: DataFrame) -> DataFrame:
                 if size >= SHARD_BYTES and row[0] != held[-1][0]:
                     yield given()
                     held, size = [], 0
-                held.append(row)
-                size += len(row[3])
+                    known.clear()
+                if row[:2] not in known:
+                    known.add(row[:2])
+                    held.append(row)
+                    size += len(row[3])
         if held:
             yield given()
 
@@ -233,8 +237,8 @@ def _counted(windows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("anchor").take(take), batch.column("around").take(take), pa.array(start, pa.int64()), pa.array(digest, pa.binary())], ["anchor", "around", "start", "digest"])
 
     strings = stage(windows.mapInArrow(run, "anchor long, around long, start long, digest binary"))
-    often = strings.groupBy("anchor", "digest").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    hits = strings.join(often, ["anchor", "digest"])
+    often = strings.groupBy("anchor", "digest").agg(F.min("around").alias("a"), F.max("around").alias("b")).filter("a <> b")
+    hits = strings.join(often.select("anchor", "digest"), ["anchor", "digest"], "left_semi").dropDuplicates(["anchor", "around", "start"])
     return hits.select("anchor", "around", "start", (F.col("start") + LENGTH).alias("end"))
 
 
@@ -259,7 +263,7 @@ def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield _window_rows(out)
 
     kind = "anchor long, around long, place long, crowded boolean, data binary"
-    return both.mapInArrow(run, kind).dropDuplicates(["anchor", "around"])
+    return both.mapInArrow(run, kind)
 
 
 def _window_rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -271,14 +275,20 @@ def _spans(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, start, end``: repeated bytes of each text, possibly overlapping."""
     found = stage(_all_anchors(docs))
     stretches = found.filter("anchor is null").select("doc_id", "text_hash", F.col("place").alias("start"), F.col("around").alias("end"))
-    found = found.filter("anchor is not null")
 
+    # Most anchors occur once; counts alone are shuffled to tell which.
+    often = found.filter("anchor is not null").groupBy("anchor").agg(F.count("*").alias("all")).filter("all > 1")
+    found = stage(found.join(often.select("anchor"), "anchor", "left_semi"))
     first = F.min(F.struct("doc_id", "text_hash", "place")).alias("first")
     different = stage(found.groupBy("anchor", "around").agg(F.count("*").alias("n"), first))
-    kinds = different.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).filter("all > 1 and kinds > 1")
-    mixed = different.join(kinds, "anchor").select("anchor", "around", "n", "first.*", (F.col("kinds") > CROWDED).alias("crowded"))
-    windows = stage(_surroundings(docs, mixed))
-    some = _indexed(windows.filter("not crowded").drop("crowded")).union(_counted(windows.filter("crowded").drop("crowded")))
+    kinds = different.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    mixed = stage(different.join(kinds, "anchor").select("anchor", "around", "first.*", (F.col("kinds") > CROWDED).alias("crowded")))
+    windows = _surroundings(docs, mixed)
+    if mixed.filter("crowded").isEmpty():
+        some = _indexed(windows)
+    else:
+        windows = stage(windows)
+        some = _indexed(windows.filter("not crowded")).union(_counted(windows.filter("crowded")))
 
     # Surroundings that occur once have their place beside them; the others are repeated whole.
     once = some.join(different.filter("n = 1"), ["anchor", "around"]).select("first.*", "start", "end")
