@@ -71,7 +71,7 @@ def small(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[p
             at += len(piece)
 
 
-def text_udf(run: Callable[[list[str | None]], pa.Array], kind: str, limit: int = 4 << 20) -> Callable[[Column], Column]:
+def text_udf(run: Callable[[list[str | None]], pa.Array], kind: str, limit: int = 1 << 20) -> Callable[[Column], Column]:
     """A column function that gives ``run`` lists of texts of about ``limit`` bytes."""
 
     def whole(texts: pa.Array) -> pa.Array:

@@ -321,5 +321,5 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), t
         x = np.array([[*summary(restore(t or "", model.trigrams, settings.swap, known), weights.__getitem__), 1.0] for t in texts]).reshape(-1, 5)
         return pa.array(1 / (1 + np.exp(-np.clip(x @ model.coefficients, -30, 30))), pa.float64())
 
-    found = pick(docs, "doc_id", "text").select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), text_udf(run, "double", 16 << 20)("text").alias("score"))
+    found = pick(docs, "doc_id", "text").select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), text_udf(run, "double", 4 << 20)("text").alias("score"))
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
