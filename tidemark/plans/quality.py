@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions import detect
 from tidemark.functions.coerce import event_date
 
-QUANTILE_BUCKETS = 4096
+QUANTILE_BUCKETS = 256
+SKETCH_ACCURACY = 10_000
 
 
 def window_start(time: Column, width: str) -> Column:
@@ -35,23 +36,21 @@ def field_diff(sent: DataFrame, stored: DataFrame) -> DataFrame:
     return joined.select("record_id", "key", status.alias("status"))
 
 
-def field_diff_summary(diff: DataFrame) -> DataFrame:
-    return diff.groupBy("key", "status").agg(F.count(F.lit(1)).alias("fields"))
-
-
 def normal_name(name: Column) -> Column:
-    return F.lower(F.regexp_replace(name, "[^A-Za-z0-9]", ""))
+    """The letters and digits of a name, of any script, in lower case."""
+    return F.lower(F.regexp_replace(name, r"[^\p{L}\p{N}]", ""))
 
 
 def name_variants(df: DataFrame) -> DataFrame:
     """Event names that differ only in case or punctuation, one row per spelling.
 
-    Rows are reduced to one per spelling first; spellings are never gathered in a list.
+    Rows are reduced to one per spelling first; spellings are never gathered in a list. Names
+    without a letter or digit are no spellings of each other.
     """
     names = df.groupBy("event").agg(F.count(F.lit(1)).alias("rows"))
     names = names.withColumn("norm", normal_name(F.col("event")))
     groups = names.groupBy("norm").agg(F.count(F.lit(1)).alias("spellings"))
-    several = groups.filter(F.col("spellings") > 1)
+    several = groups.filter((F.col("spellings") > 1) & (F.col("norm") != ""))
     return names.join(several, "norm").select("norm", "event", "spellings", "rows")
 
 
@@ -65,25 +64,34 @@ def identity_split(df: DataFrame, by: str, id_column: str) -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
-    """One row ``q0, q1, ...`` of exact interpolated quantiles of an integer column.
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """``v, n``: how often each value of a column that isn't null occurs."""
+    known = df.filter(F.col(column).isNotNull())
+    return known.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+
 
-    Equal values are counted before the shuffle. Their counts fall into a fixed number of
-    equal-width buckets; a running total over the buckets tells which ones hold the wanted
-    ranks, and only those are put in order. No task sorts more than the distinct values of
-    one bucket.
+def quantile_buckets(counts: DataFrame) -> DataFrame:
+    """``v, n, total, bucket``: values dealt to buckets that hold about equally many.
+
+    The cuts come from a quantile sketch of the distinct values, so an outlier takes no more room
+    than any other value.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    bounds = counts.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("total"))
-    low, high, total = (bounds.select(name).scalar() for name in ("low", "high", "total"))
-    spread = (
-        counts.withColumn("low", low)
-        .withColumn("width", F.expr("1L") + F.floor((high - F.col("low")) / QUANTILE_BUCKETS))
-        .withColumn("bucket", F.expr("(v - low) div width"))
-        .select("v", "n", "bucket")
+    cuts = [i / QUANTILE_BUCKETS for i in range(1, QUANTILE_BUCKETS)]
+    bounds = counts.agg(
+        F.sum("n").alias("total"), F.percentile_approx("v", cuts, SKETCH_ACCURACY).alias("cuts")
     )
+    marked = counts.withColumn("b", bounds.select(F.struct("*")).scalar())
+    bucket = F.size(F.filter("b.cuts", lambda cut: cut <= F.col("v")))
+    return marked.select("v", "n", F.col("b.total").alias("total"), bucket.alias("bucket"))
+
+
+def count_quantiles(counts: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """One row ``q0, q1, ...`` of exact interpolated quantiles of counted integer values.
+
+    A running total over the buckets tells which ones hold the wanted ranks, and only those are
+    put in order. No task sorts more than the distinct values of one bucket.
+    """
+    spread = quantile_buckets(counts)
     positions = [F.lit(float(p)) * (F.col("total") - 1).cast("double") for p in probabilities]
     ranks = F.array_distinct(
         F.array(*[f(p).cast("bigint") for p in positions for f in (F.floor, F.ceil)])
@@ -91,19 +99,17 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
     in_order = Window.orderBy("bucket")
     hit = (
         spread.groupBy("bucket")
-        .agg(F.sum("n").alias("size"))
+        .agg(F.sum("n").alias("size"), F.max("total").alias("total"))
         .withColumn("before", F.sum("size").over(in_order) - F.col("size"))
-        .withColumn("total", total)
-        .withColumn("ranks", ranks)
         .withColumn(
             "ranks",
             F.filter(
-                "ranks",
+                ranks,
                 lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("size")),
             ),
         )
         .filter(F.size("ranks") > 0)
-        .select("bucket", "before", "total", "ranks")
+        .select("bucket", "before", "ranks")
     )
     # At most two buckets per probability, so the broadcast is bounded.
     inside = Window.partitionBy("bucket").orderBy("v")
@@ -130,15 +136,21 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
     return found.agg(*quantiles)
 
 
+def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
+    """One row ``q0, q1, ...`` of exact interpolated quantiles of an integer column."""
+    return count_quantiles(value_counts(df, column), probabilities)
+
+
 def delay_distribution(df: DataFrame, late_s: int, delay: str = "delay_s") -> DataFrame:
-    """Receipt minus event time: extremes, exact quantiles, late rows."""
-    summary = df.agg(
-        F.count(delay).alias("rows"),
-        F.min(delay).alias("min_s"),
-        F.max(delay).alias("max_s"),
-        F.count_if(F.col(delay) > late_s).alias("late_rows"),
-    )
-    quantiles = exact_quantiles(df, delay, [0.5, 0.95, 0.99])
+    """Receipt minus event time: extremes, exact quantiles, late rows; all from one count by value."""
+    counts = value_counts(df, delay)
+    summary = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.min("v").alias("min_s"),
+        F.max("v").alias("max_s"),
+        F.coalesce(F.sum(F.when(F.col("v") > late_s, F.col("n"))), F.lit(0)).alias("late_rows"),
+    )
+    quantiles = count_quantiles(counts, [0.5, 0.95, 0.99])
     both = summary.withColumn("q", quantiles.select(F.struct("*")).scalar())
     named = [
         F.round(F.col(f"q.q{i}"), 6).alias(name) for i, name in enumerate(["p50", "p95", "p99"])

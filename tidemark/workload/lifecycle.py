@@ -12,6 +12,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.functions import coerce
 from tidemark.operators import ingest, migrate, profiles
 from tidemark.operators.evolve import MAX_COLUMNS
 from tidemark.session import scratch_dir
@@ -38,6 +39,10 @@ GROWTH_JSON = f"""CONCAT('[{{"event":"', event, '","distinct_id":"', distinct_id
   {WIDE_JSON}, '}}}}]')"""
 
 
+# The typed table of the growth query has room for fewer columns.
+TYPED_COLUMNS = 100
+
+
 def growth_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = event_view(spark, sf_dir).withColumn("ms", F.unix_millis("time"))
     return view.select(F.col("event_id").alias("seq"), received_at().alias("received_at"), F.expr(GROWTH_JSON).alias("data_list"), F.lit("").alias("data"))
@@ -49,13 +54,14 @@ def _listed(other: str) -> Column:
 
 
 def _grown(events: DataFrame) -> DataFrame:
-    return events.select("seq", "event", "distinct_id", "os", F.unix_millis("time").alias("time_ms"), "Level", "shift", "k0000", "k0997", _listed("other").alias("other"))
+    return events.select("seq", "event", "distinct_id", "os", F.unix_millis("time").alias("time_ms"), "Level", "shift", "k0000", "k0097", _listed("other").alias("other"))
 
 
 def _batches(spark, sf_dir, typed: bool) -> DataFrame:
     root, sent = scratch_dir(spark, "growth"), growth_messages(spark, sf_dir)
     for n in (0, 1):
-        ingest.ingest(sent.filter(F.col("seq") % 2 == n), root, f"batch-{n}", typed=typed)
+        limit = TYPED_COLUMNS if typed else MAX_COLUMNS
+        ingest.ingest(sent.filter(F.col("seq") % 2 == n), root, f"batch-{n}", typed=typed, max_columns=limit)
     return tables.read_events(spark, f"{root}/events")
 
 
@@ -80,8 +86,9 @@ def growth_stream(spark, sf_dir):
 def _growth_oracle(level: str, shift: str, k: str, typed: bool) -> str:
     failed = "CASE WHEN event_id % 2 = 1 THEN concat(';shift=t-', event_id) ELSE '' END" if typed else "''"
     return f"""WITH ev AS ({VIEW_SQL}) SELECT event_id AS seq, event, distinct_id, 'b' AS os, epoch_us(time) // 1000 {'// 1000 * 1000' if typed else ''} AS time_ms,
-  {level} AS "Level", {shift} AS shift, {k.format(0)} AS k0000, {k.format(997)} AS k0997,
-  concat('OS=A', event_id % 7, ';ds_month=m', CASE WHEN event_id % 5000 = 0 AND event_id % 2 = 0 THEN ';k0998=998;k0999=999;k1000=1000' ELSE '' END,
+  {level} AS "Level", {shift} AS shift, {k.format(0)} AS k0000, {k.format(97)} AS k0097,
+  concat('OS=A', event_id % 7, ';ds_month=m', CASE WHEN event_id % 5000 = 0 THEN (SELECT string_agg(concat(';k', lpad(CAST(n AS VARCHAR), 4, '0'), '=', n), '' ORDER BY n)
+      FROM range({TYPED_COLUMNS - 2 if typed else MAX_COLUMNS - 2}, {WIDE}) t(n)) ELSE '' END,
     CASE WHEN event_id % 2 = 1 THEN ';later=true' ELSE '' END, ';level=l;seq=s', event_id, {failed}) AS other
   {', CAST(event_id % 2 AS INTEGER) AS unconverted' if typed else ''} FROM ev"""
 
@@ -236,7 +243,15 @@ def safe_text(spark, sf_dir):
     return parts.filter(F.col("seq") % 16 < 3)
 
 
+def zone_times(spark, sf_dir):
+    """Local times as text, read in a zone of their own."""
+    view = event_view(spark, sf_dir).withColumn("local", F.date_format("time", "yyyy-MM-dd HH:mm:ss"))
+    parsed = coerce.zone_time(F.col("local"), "yyyy-MM-dd HH:mm:ss", "Asia/Shanghai")
+    return view.select("event_id", F.unix_seconds(parsed).alias("seconds"))
+
+
 QUERIES = {
+    "zone_times": zone_times,
     "growth_batch": growth_batch,
     "growth_typed": growth_typed,
     "growth_stream": growth_stream,
@@ -251,6 +266,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "zone_times": "SELECT event_id, epoch_us(ts) // 1000000 - 28800 AS seconds FROM events",
     "growth_batch": TEXT_GROWTH,
     "growth_typed": TYPED_GROWTH,
     "growth_stream": TEXT_GROWTH,

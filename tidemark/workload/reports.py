@@ -97,11 +97,21 @@ def identity_split(spark, sf_dir):
 def name_variants(spark, sf_dir):
     view = event_view(spark, sf_dir)
     spelled = F.expr(
-        """CASE event_id % 3 WHEN 0 THEN UPPER(event) WHEN 1 THEN CONCAT(event, '-') ELSE event END"""
+        """CASE event_id % 8 WHEN 0 THEN UPPER(event) WHEN 1 THEN CONCAT(event, '-') WHEN 2 THEN '登录'
+        WHEN 3 THEN '登-录' WHEN 4 THEN '注销' WHEN 5 THEN '!?' WHEN 6 THEN '--' ELSE event END"""
     )
     return quality.name_variants(view.withColumn("event", spelled))
 
 
+OUTLIER = "CASE WHEN event_id = 0 THEN 4000000000000000 ELSE event_id * 3 + delay_s END"
+
+
+def delay_outlier(spark, sf_dir):
+    """The distribution of values of which one is far beyond all others."""
+    view = event_view(spark, sf_dir).withColumn("delay_s", F.expr(OUTLIER))
+    return quality.delay_distribution(view, 3600)
+
+
 def field_diff(spark, sf_dir):
     view = event_view(spark, sf_dir)
     fields = F.array(
@@ -214,6 +224,7 @@ QUERIES = {
     "name_variants": name_variants,
     "identity_split": identity_split,
     "delay_distribution": lambda s, d: quality.delay_distribution(event_view(s, d), 3600),
+    "delay_outlier": delay_outlier,
     "two_path_totals": two_path_totals,
     "ordered_funnel": ordered_funnel(6),
     "ordered_funnel_24h": ordered_funnel(24),
@@ -272,16 +283,19 @@ ORACLES = {
     "bench_days_text": f"{EV} SELECT CAST(ds AS VARCHAR) AS ds, count(*) AS events FROM ev GROUP BY 1 ORDER BY 1 DESC LIMIT 10",
     "bench_days_typed": f"{EV} SELECT CAST(ds AS VARCHAR) AS ds, count(*) AS events FROM ev GROUP BY 1 ORDER BY 1 DESC LIMIT 10",
     "field_diff": FIELD_DIFF_ORACLE,
-    "name_variants": f"""{EV}, n AS (SELECT CASE event_id % 3 WHEN 0 THEN upper(event)
-        WHEN 1 THEN concat(event, '-') ELSE event END AS event FROM ev),
-      r AS (SELECT event, lower(regexp_replace(event, '[^A-Za-z0-9]', '', 'g')) AS norm, count(*) AS rows FROM n GROUP BY 1, 2),
+    "name_variants": f"""{EV}, n AS (SELECT CASE event_id % 8 WHEN 0 THEN upper(event)
+        WHEN 1 THEN concat(event, '-') WHEN 2 THEN '登录' WHEN 3 THEN '登-录' WHEN 4 THEN '注销' WHEN 5 THEN '!?' WHEN 6 THEN '--' ELSE event END AS event FROM ev),
+      r AS (SELECT event, lower(regexp_replace(event, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS norm, count(*) AS rows FROM n GROUP BY 1, 2),
       c AS (SELECT *, count(*) OVER (PARTITION BY norm) AS spellings FROM r)
-    SELECT norm, event, spellings, rows FROM c WHERE spellings > 1""",
+    SELECT norm, event, spellings, rows FROM c WHERE spellings > 1 AND norm <> ''""",
     "identity_split": f"""{EV} SELECT device_id, count(DISTINCT distinct_id) AS ids FROM ev
       GROUP BY device_id HAVING count(DISTINCT distinct_id) > 1""",
     "delay_distribution": f"""{EV} SELECT count(*) AS rows, min(delay_s) AS min_s, max(delay_s) AS max_s,
       count(*) FILTER (WHERE delay_s > 3600) AS late_rows, round(quantile_cont(delay_s, 0.5), 6) AS p50,
       round(quantile_cont(delay_s, 0.95), 6) AS p95, round(quantile_cont(delay_s, 0.99), 6) AS p99 FROM ev""",
+    "delay_outlier": f"""{EV}, d AS (SELECT {OUTLIER} AS v FROM ev) SELECT count(*) AS rows, min(v) AS min_s, max(v) AS max_s,
+      count(*) FILTER (WHERE v > 3600) AS late_rows, round(quantile_cont(v, 0.5), 6) AS p50,
+      round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.99), 6) AS p99 FROM d""",
     "two_path_totals": f"""{EV}, a AS (SELECT CAST(epoch(ds) AS BIGINT) AS w, event, count(*) AS n,
         count(DISTINCT distinct_id) AS u FROM ev GROUP BY 1, 2),
       b AS (SELECT CAST(epoch(ds) AS BIGINT) AS w, event, count(*) AS n, count(DISTINCT distinct_id) AS u FROM ev
