@@ -1,8 +1,8 @@
 """Time the headline queries and print one JSON line.
 
 Tables are written to a scratch folder first, so the timings cover the queries alone: the
-event table in its all-text and its typed form, the sorted event layout, and raw messages.
-Each query runs once to warm up and then ``BENCH_RUNS`` times; the median counts.
+event table in its all-text and its typed form (repeated twenty times), the sorted event layout,
+and raw messages. ``ingest``, ``append_batch`` and ``stream_flush`` include their writes. Each query runs once to warm up and then ``BENCH_RUNS`` times; the median counts.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ import time
 from pyspark.sql import functions as F
 
 from tidemark.operators import dedup, migrate, profiles
+from tidemark.operators.ingest import ingest
 from tidemark.plans import behavior, metrics, quality
 from tidemark.schema import event_rows
-from tidemark.session import get_session, scratch_dir
+from tidemark.session import ensure_checkpoint_dir, get_session, scratch_dir
 from tidemark.sources import messages as source
 from tidemark.sources import tables
+from tidemark.streaming import flush
 from tidemark.workload import pipelines, reports
 from tidemark.workload.fixture import APP_ID, FUNNEL, PURCHASE, event_view, with_first_day
 from tidemark.workload.messages import MAX_BYTES, messages, with_copies
@@ -27,6 +29,7 @@ from tidemark.workload.messages import MAX_BYTES, messages, with_copies
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+COPIES = 20
 
 
 def prepare(spark):
@@ -34,7 +37,9 @@ def prepare(spark):
     root = scratch_dir(spark, "bench")
     view = with_first_day(event_view(spark, SF_DIR)).withColumn("user_id", F.col("distinct_id"))
     tables.write_events(view, f"{root}/events")
-    legacy = reports.legacy_table(spark, SF_DIR)
+    # Repeated, so that the scan outweighs the start of a job.
+    copies = F.explode(F.sequence(F.lit(1), F.lit(COPIES)))
+    legacy = reports.legacy_table(spark, SF_DIR).withColumn("copy", copies).drop("copy")
     legacy.repartition(int(CPUS)).write.parquet(f"{root}/text")
     migrate.typed_events(spark.read.parquet(f"{root}/text")).write.parquet(f"{root}/typed")
     with_copies(messages(spark, SF_DIR)).repartition(int(CPUS)).write.parquet(f"{root}/messages")
@@ -54,6 +59,24 @@ def workloads(spark, root):
     def decoded():
         return source.decode(spark.read.parquet(f"{root}/messages"), MAX_BYTES)
 
+    def ingested():
+        """The whole job: decode, refusals, duplicates, new columns, sorted write."""
+        path = scratch_dir(spark, "bench-ingest")
+        ingest(spark.read.parquet(f"{root}/messages"), path, "batch-0", max_bytes=MAX_BYTES)
+        return tables.read_events(spark, f"{path}/events").limit(1)
+
+    def appended():
+        path = scratch_dir(spark, "bench-append")
+        tables.append_batch(events().drop("ds_month"), path, "batch-0")
+        return tables.read_events(spark, path).limit(1)
+
+    def streamed():
+        """One flush of all messages, with a horizon."""
+        path = scratch_dir(spark, "bench-stream")
+        stream = flush.read_messages(spark, f"{root}/messages")
+        flush.start_event_flush(stream, f"{path}/out", f"{path}/checkpoint", every=None, horizon="10 minutes").awaitTermination()
+        return flush.read_flushed(spark, f"{path}/out").limit(1)
+
     def upsert():
         store = profiles.ProfileStore(spark, scratch_dir(spark, "bench-profiles"), buckets=8)
         store.upsert(pipelines.customer_records(spark, SF_DIR), "seed-0")
@@ -81,7 +104,10 @@ def workloads(spark, root):
         "retention": lambda: behavior.retention(events(), "signup"),
         "segment_rollup": lambda: behavior.segment_rollup(events(), ["os", "app_version"]),
         "delay_distribution": lambda: quality.delay_distribution(events(), 3600),
-        "ingest": lambda: event_rows(source.event_records(decoded())),
+        "decode": lambda: event_rows(source.event_records(decoded())),
+        "ingest": ingested,
+        "append_batch": appended,
+        "stream_flush": streamed,
         "dedup_exact": lambda: dedup.drop_exact_duplicates(source.event_records(decoded())),
         "profile_merge": lambda: profiles.profile_changes(pipelines.order_records(spark, SF_DIR)),
         "profile_upsert": upsert,
@@ -104,7 +130,9 @@ def main() -> None:
     }
     spark = get_session("tidemark-bench", **settings)
     spark.sparkContext.setLogLevel("ERROR")
+    ensure_checkpoint_dir(spark)
     root = prepare(spark)
+    stored = {r["table"]: r["file_bytes"] for r in migrate.storage_report({n: spark.read.parquet(f"{root}/{n}") for n in ("text", "typed")}).collect()}
     seconds = {}
     for name, query in workloads(spark, root).items():
         run(query)
@@ -118,6 +146,7 @@ def main() -> None:
                 "queries": seconds,
                 "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
                 "cpus": int(CPUS),
+                "file_bytes": stored,
                 "spark": spark.version,
             }
         )

@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark.sources.messages import MAX_PAYLOAD_BYTES
 from tidemark.workload.fixture import event_view
 
-# The size limit used with these messages, the product's own; the padded ones are longer.
-MAX_BYTES = MAX_PAYLOAD_BYTES
+# A size limit that keeps the padded messages short. Some queries take the product's own
+# limit (``FULL_BYTES``) and messages padded beyond it.
+MAX_BYTES = 4096
+FULL_BYTES = MAX_PAYLOAD_BYTES
 
 TIME_JSON = """CASE event_id % 5
   WHEN 0 THEN CAST(ms DIV 1000 AS STRING)
@@ -59,10 +61,10 @@ PROFILE_JSON = """CONCAT('{"type":"',
   CASE WHEN event_id % 16 = 1 THEN CONCAT(',"phone":"p-', CAST(event_id AS STRING), '"') ELSE '' END,
   '}}')"""
 
-REFUSED_JSON = f"""CASE (event_id DIV 16) % 8
+REFUSED_JSON = """CASE (event_id DIV 16) % 8
   WHEN 0 THEN '[]' WHEN 1 THEN '[1]' WHEN 2 THEN 'bad' WHEN 3 THEN ''
-  WHEN 4 THEN CONCAT('[{{"event":"big","pad":"', REPEAT('x', {MAX_BYTES}), '"}}]')
-  WHEN 5 THEN '{{"type":"track","event":7}}' WHEN 6 THEN 'null' ELSE '"text"' END"""
+  WHEN 4 THEN CONCAT('[{"event":"big","pad":"', REPEAT('x', pad), '"}]')
+  WHEN 5 THEN '{"type":"track","event":7}' WHEN 6 THEN 'null' ELSE '"text"' END"""
 
 DATA_LIST = f"""CASE
   WHEN event_id % 16 IN (0, 1, 2, 3, 6) THEN ''
@@ -78,9 +80,9 @@ DATA = f"""CASE
   ELSE '' END"""
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq, received_at, data_list, data), one row per event row."""
-    view = event_view(spark, sf_dir).withColumn("ms", F.unix_millis("time"))
+def messages(spark: SparkSession, sf_dir: str, limit: int = MAX_BYTES) -> DataFrame:
+    """(seq, received_at, data_list, data), one row per event row; some exceed the limit."""
+    view = event_view(spark, sf_dir).withColumn("ms", F.unix_millis("time")).withColumn("pad", F.lit(limit))
     return view.select(
         F.col("event_id").alias("seq"),
         received_at().alias("received_at"),

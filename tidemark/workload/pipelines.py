@@ -16,7 +16,7 @@ from tidemark.sources import messages as source
 from tidemark.streaming import flush
 from tidemark.workload import edges
 from tidemark.workload.fixture import VIEW_SQL, event_view, table
-from tidemark.workload.messages import MAX_BYTES, messages, with_copies
+from tidemark.workload.messages import FULL_BYTES, MAX_BYTES, messages, with_copies
 from tidemark.workload.reports import legacy_table
 
 # Expected values of the messages, straight from the table: ms and rms are the event's own
@@ -28,12 +28,12 @@ MESSAGE_SQL = f"""WITH ev AS (SELECT *, epoch_us(time) // 1000 AS ms,
 """
 
 
-def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.decode(messages(spark, sf_dir), MAX_BYTES)
+def decoded(spark: SparkSession, sf_dir: str, limit: int = MAX_BYTES) -> DataFrame:
+    return source.decode(messages(spark, sf_dir, limit), limit)
 
 
 def ingest_roundtrip(spark, sf_dir):
-    rows = ingest_events(messages(spark, sf_dir), MAX_BYTES)
+    rows = ingest_events(messages(spark, sf_dir, FULL_BYTES))
     return rows.select(
         "seq",
         "pos",
@@ -423,11 +423,10 @@ def stream_ingest(spark, sf_dir):
 
     def run():
         return flush.start_event_flush(
-            flush.read_messages(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint", every=None,
-            max_bytes=MAX_BYTES,
+            flush.read_messages(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint", every=None
         )
 
-    _in_two_parts(with_copies(messages(spark, sf_dir)), "received_at", f"{root}/in", run)
+    _in_two_parts(with_copies(messages(spark, sf_dir, FULL_BYTES)), "received_at", f"{root}/in", run)
     return flush.read_flushed(spark, f"{root}/out").select(
         "event", "distinct_id", F.unix_millis("time").alias("time_ms"), "k", "tags"
     )
@@ -492,7 +491,7 @@ def stream_hourly(spark, sf_dir):
 
 QUERIES = {
     "ingest_roundtrip": ingest_roundtrip,
-    "ingest_rejects_by_reason": lambda s, d: source.rejects_by_reason(decoded(s, d)),
+    "ingest_rejects_by_reason": lambda s, d: source.rejects_by_reason(decoded(s, d, FULL_BYTES)),
     "dedup_exact": dedup_exact,
     "duplicate_rate": duplicate_rate,
     "event_registry": event_registry,
