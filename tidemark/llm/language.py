@@ -93,12 +93,16 @@ def _sample(docs: DataFrame, settings: Settings) -> tuple[list[str], np.ndarray,
     numbers, however long the texts are.
     """
     learn = docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    languages = sorted(x.lang for x in learn.select("lang").distinct().collect())
+    counts = {x.lang: x.n for x in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(counts)
     if not languages:
         return [], np.zeros((0, settings.buckets), np.float16), np.zeros(0, int)
     each = max(1, settings.sample_rows // len(languages))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = learn.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each)
+    # Hashes are even, so a share of them holds enough rows, and a frequent language isn't sorted whole.
+    share = F.element_at(F.create_map(*[F.lit(y) for x, n in counts.items() for y in (x, min(1.0, 4 * each / n))]), F.col("lang"))
+    low = F.xxhash64("doc_id").cast("double") < (share * 2 - 1) * 2.0**63
+    ids = learn.filter(low | (share >= 1)).select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each)
     chosen = learn.join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"]).select("doc_id", "lang", "text")
 
     def count(texts):

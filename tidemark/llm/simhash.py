@@ -196,6 +196,5 @@ def one_of_each(docs: DataFrame, words: int = 5, distance: int = 4) -> DataFrame
     prints = rows.select(F.col(place_of(docs, "doc_id")).alias("doc_id"), "fp", "row")
     placed = prints.join(components_of(prints, distance).select("fp", "root"), "fp")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    first = placed.groupBy("root").agg(F.min(rank).alias("first"))
-    others = placed.join(first, "root").filter("row <> first.row").select("row")
-    return rows.join(others, "row", "left_anti").drop("row", "fp").toDF(*docs.columns)
+    kept = placed.groupBy("root").agg(F.min(rank).alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").drop("row", "fp").toDF(*docs.columns)
