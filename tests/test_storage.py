@@ -3,12 +3,13 @@
 import datetime as dt
 import random
 import uuid
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import dedup, migrate, profiles
-from tidemark.operators.ingest import ingest_events
+from tidemark.operators.ingest import ingest, ingest_events
 from tidemark.sources import messages as source
 from tidemark.sources import tables
 from tidemark.session import scratch_dir
@@ -48,6 +49,29 @@ def test_profiles_do_not_depend_on_batching(spark, tmp_path, cuts):
     assert {r["distinct_id"]: r["props"] for r in store.read().collect()} == model(rows)
 
 
+def one_profile(spark, user, at, **props):
+    return spark.createDataFrame([(at, AT + dt.timedelta(seconds=at), user, "profile_set", props)], RECORDS)
+
+
+def test_writers_with_equal_numbers_do_not_meet(spark, tmp_path):
+    store = profiles.ProfileStore(spark, str(tmp_path / "s"), buckets=2, fold_after=3)
+    seed = one_profile(spark, "a", 1, x="1", y="1").union(one_profile(spark, "b", 1, x="2"))
+    for name, batch in (("seed-0", seed), ("one-0", one_profile(spark, "a", 5, x="3")), ("two-0", one_profile(spark, "c", 6, x="4")), ("one-0", one_profile(spark, "a", 9, x="lost"))):
+        store.upsert(batch, name)
+    want = {"a": {"x": "3", "y": "1"}, "b": {"x": "2"}, "c": {"x": "4"}}
+    assert {r["distinct_id"]: r["props"] for r in store.read().collect()} == want
+    store.compact()
+    assert {r["distinct_id"]: r["props"] for r in store.read().collect()} == want
+
+
+def test_deleted_profiles_start_anew(spark, tmp_path):
+    store = profiles.ProfileStore(spark, str(tmp_path / "s"), buckets=2)
+    store.upsert(one_profile(spark, "a", 1, x="1", y="1").union(one_profile(spark, "b", 1, x="2")), "w-0")
+    store.delete(spark.createDataFrame([("a",), ("b c",), ("b",)], "distinct_id STRING"), "gone-0")
+    store.upsert(one_profile(spark, "a", 5, x="9"), "w-1")
+    assert {r["distinct_id"]: r["props"] for r in store.read().collect()} == {"a": {"x": "9"}}
+
+
 def test_marked_user_without_profile_gets_no_row(spark, tmp_path):
     store = profiles.ProfileStore(spark, str(tmp_path / "s"), buckets=2)
     store.upsert(spark.createDataFrame([(1, AT, "u", "profile_increment", {"a": "1"})], RECORDS), "w-0")
@@ -183,6 +207,34 @@ def test_stream_horizon_spans_flushes(spark, tmp_path):
     assert sorted(r["event"] for r in rows) == ["a", "b", "hot"]
 
 
+def test_a_key_that_changes_type_stays_readable(spark, tmp_path):
+    root = str(tmp_path)
+    texts = ['[{"event":"e","n":5,"Os":"x"}]', '[{"event":"e","n":"five"}]', '[{"event":"e","n":"7","N":1}]']
+    for i, text in enumerate(texts):
+        ingest(spark.createDataFrame([(i, AT, text, "")], flush.MESSAGE_SCHEMA), root, f"b-{i}", typed=True)
+    rows = tables.read_events(spark, f"{root}/events").orderBy("seq").collect()
+    assert [(r["n"], r["other"], r["unconverted"]) for r in rows] == [(5, {"Os": "x"}, 0), (None, {"n": "five"}, 1), (7, {"N": "1"}, 0)]
+
+
+def test_ingest_stores_refusals_and_removes_staged_copies(spark, tmp_path):
+    before = set(Path(spark.conf.get("spark.checkpoint.dir")).iterdir())
+    rows = [message(1, 0, "a"), message(1, 0, "a"), (2, AT, "bad", "")]
+    for _ in range(2):  # the same batch again replaces itself
+        ingest(spark.createDataFrame(rows, flush.MESSAGE_SCHEMA), str(tmp_path), "b-0")
+    assert tables.read_events(spark, f"{tmp_path}/events").count() == 1
+    assert spark.read.parquet(f"{tmp_path}/rejects").count() == 1
+    assert set(Path(spark.conf.get("spark.checkpoint.dir")).iterdir()) == before
+
+
+def test_compaction_keeps_rows_and_the_newest_batch(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for i in range(4):
+        tables.append_batch(event_rows(spark).filter(F.month("ds") == i + 1), path, f"w-{i}")
+    rows = tables.read_events(spark, path).count()
+    assert tables.compact(spark, path) == ["w-0", "w-1", "w-2"]
+    assert tables.read_events(spark, path).count() == rows and (tmp_path / "t" / "batch_id=w-3").exists()
+
+
 def test_ingest_keeps_a_record_with_a_bad_key(spark):
     df = spark.createDataFrame([message(1, 0, "a", **{"no-column": "x", "fine": "y"})], flush.MESSAGE_SCHEMA)
     row = ingest_events(df).first()
@@ -208,7 +260,7 @@ class Cluster:
     """Just the parts of a session that choose the scratch folder."""
 
     def __init__(self, master, folder):
-        self.sparkContext = type("Context", (), {"master": master})
+        self.sparkContext = type("Context", (), {"master": master, "getCheckpointDir": staticmethod(lambda: None)})
         self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: folder)})
 
 

@@ -158,7 +158,7 @@ class ProfileStore:
         if not parts:
             return self.spark.createDataFrame([], STATE_SCHEMA)
         if len(parts) == 1:
-            return parts[0].filter("not deleted").drop("deleted", "version")
+            return parts[0].filter("not deleted and size(props) > 0").drop("deleted", "version")
         rows = parts[0]
         for part in parts[1:]:
             rows = rows.unionByName(part)
