@@ -37,6 +37,8 @@ MOST_PERIOD = GRAM // 2
 SHARD_BYTES = 1 << 20
 CROWDED = 1_000
 """Different surroundings of an anchor from which they are counted by digest."""
+BLOCK = 30
+"""Starts of strings whose common core is counted first."""
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPLIT = np.uint64(0xBF58476D1CE4E5B9)
@@ -221,24 +223,57 @@ def _indexed(windows: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(run, _MARKS)
 
 
+def _blocks(place: int, size: int) -> Iterator[tuple[int, range]]:
+    """Blocks of starts in a surrounding, counted back from the anchor; the starts of each."""
+    left = min(place, LENGTH - GRAM)
+    for block in range((LENGTH - GRAM) // BLOCK + 1):
+        first, last = left - BLOCK * block - BLOCK + 1, left - BLOCK * block
+        starts = range(max(0, first), min(last, size - LENGTH) + 1)
+        if starts:
+            yield block, starts
+
+
 def _counted(windows: DataFrame) -> DataFrame:
-    """Marks of surroundings whose anchors have many, by digests of all their strings."""
+    """Marks of surroundings whose anchors have many, by counts of digests; no group meets.
 
-    def run(batches):
+    All strings that start in a block have a core of bytes in common, so only cores that occur
+    in two surroundings are looked into; of those, all strings are counted one by one.
+    """
+
+    def cores(batches):
         for batch in batches:
-            rows, start, digest = [], [], []
-            for i, (place, data) in enumerate(zip(batch.column("place").to_pylist(), batch.column("data").to_pylist(), strict=True)):
-                left = min(place, LENGTH - GRAM)
-                for s in range(len(data) - LENGTH + 1):
-                    rows.append(i)
-                    start.append(s)
-                    digest.append(xxhash.xxh3_128_digest(data[s : s + LENGTH] + (s - left).to_bytes(4, "little", signed=True)))
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("anchor").take(take), batch.column("around").take(take), pa.array(start, pa.int64()), pa.array(digest, pa.binary())], ["anchor", "around", "start", "digest"])
-
-    strings = stage(windows.mapInArrow(run, "anchor long, around long, start long, digest binary"))
-    often = strings.groupBy("anchor", "digest").agg(F.min("around").alias("a"), F.max("around").alias("b")).filter("a <> b")
-    hits = strings.join(often.select("anchor", "digest"), ["anchor", "digest"], "left_semi").dropDuplicates(["anchor", "around", "start"])
+            rows = []
+            for row in zip(*(batch.column(x).to_pylist() for x in ("anchor", "around", "place", "data")), strict=True):
+                left = min(row[2], LENGTH - GRAM)
+                for block, _ in _blocks(row[2], len(row[3])):
+                    core = row[3][left - BLOCK * block : left - BLOCK * (block + 1) + 1 + LENGTH]
+                    rows.append((row[0], row[1], block, xxhash.xxh3_128_digest(core)))
+            if rows:
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["anchor", "around", "block", "core"])
+
+    def strings(batches):
+        for batch in batches:
+            rows = []
+            for row in zip(*(batch.column(x).to_pylist() for x in ("anchor", "around", "place", "data", "blocks")), strict=True):
+                left, wanted = min(row[2], LENGTH - GRAM), set(row[4])
+                for block, starts in _blocks(row[2], len(row[3])):
+                    if block in wanted:
+                        rows += [(row[0], row[1], s, xxhash.xxh3_128_digest(row[3][s : s + LENGTH] + (s - left).to_bytes(4, "little", signed=True))) for s in starts]
+            if rows:
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["anchor", "around", "start", "digest"])
+
+    def several(rows: DataFrame, *keys: str) -> DataFrame:
+        """Rows whose keys occur in more than one surrounding."""
+        ends = rows.groupBy(*keys).agg(F.min("around").alias("a"), F.max("around").alias("b")).filter("a <> b")
+        return rows.join(ends.select(*keys), list(keys), "left_semi")
+
+    found = stage(windows.mapInArrow(cores, "anchor long, around long, block int, core binary"))
+    wanted = several(found, "anchor", "block", "core").groupBy("anchor", "around").agg(F.collect_set("block").alias("blocks"))
+    some = windows.join(wanted, ["anchor", "around"]).select("anchor", "around", "place", "data", "blocks")
+    digests = stage(some.mapInArrow(strings, "anchor long, around long, start long, digest binary"))
+    hits = several(digests, "anchor", "digest").dropDuplicates(["anchor", "around", "start"])
     return hits.select("anchor", "around", "start", (F.col("start") + LENGTH).alias("end"))
 
 
@@ -283,12 +318,8 @@ def _spans(docs: DataFrame) -> DataFrame:
     different = stage(found.groupBy("anchor", "around").agg(F.count("*").alias("n"), first))
     kinds = different.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     mixed = stage(different.join(kinds, "anchor").select("anchor", "around", "first.*", (F.col("kinds") > CROWDED).alias("crowded")))
-    windows = _surroundings(docs, mixed)
-    if mixed.filter("crowded").isEmpty():
-        some = _indexed(windows)
-    else:
-        windows = stage(windows)
-        some = _indexed(windows.filter("not crowded")).union(_counted(windows.filter("crowded")))
+    windows = stage(_surroundings(docs, mixed))
+    some = _indexed(windows.filter("not crowded")).union(_counted(windows.filter("crowded")))
 
     # Surroundings that occur once have their place beside them; the others are repeated whole.
     once = some.join(different.filter("n = 1"), ["anchor", "around"]).select("first.*", "start", "end")
