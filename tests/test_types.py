@@ -66,7 +66,7 @@ CONVERT_ERRORS = [
     *[("float", "-8.75", target, target == "Bool") for target in ("Bool", "Int64", "Float64", "String")],
     *[("null", "", target, False) for target in ("Bool", "Int64", "Float64", "String")],
     *[("string", "eight", target, target != "String") for target in ("Bool", "Int64", "Float64", "String")],
-    ("string", "yes", "Bool", False), ("string", "8.75", "Int64", True), ("string", "8.75", "Float64", False),
+    ("string", "yes", "Bool", True), ("string", "8.75", "Int64", True), ("string", "8.75", "Float64", False),
 ]
 
 
