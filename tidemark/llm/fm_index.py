@@ -20,10 +20,17 @@ def suffix_array(seq: np.ndarray, step: int = 1) -> np.ndarray:
         # Within a run of equal ranks, order by the rank one step on.
         places = order[open_]
         ahead = places + step
-        key = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0) + rank[places] * (n + 1)
-        sort = np.argsort(key)
+        next_ = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        if n < 1 << 21:  # ranks and place fit one number, and numbers sort faster than places
+            packed = rank[places] << 42 | next_ << 21 | np.arange(len(places))
+            packed.sort()
+            sort, key = packed & (1 << 21) - 1, packed >> 21
+        else:
+            key = rank[places] * (n + 1) + next_
+            sort = np.argsort(key)
+            key = key[sort]
         order[open_] = places[sort]
-        rank, open_ = _ranked(order, key[sort], open_, n, rank)
+        rank, open_ = _ranked(order, key, open_, n, rank)
         step *= 2
     return order
 
