@@ -57,6 +57,14 @@ def test_cut_lines_leave_other_columns(spark, lined):
     assert texts[4] == lined[4] and texts[6] == "" and texts[5] == "short line"
 
 
+def test_every_line_with_text_may_repeat(spark):
+    han = "\u6240\u6709\u6743\u5229\u4fdd\u7559" * 40
+    texts = [f"les.\n\n{han}\n \t\nx", f"Les. \n\n{han}\n\t"]
+    got = {(r.doc_id, r.unit) for r in lines.repeated_lines(documents(spark, texts), 1).collect()}
+    assert got == {(1, 0), (1, 2)}
+    assert [r[1] for r in sorted(lines.without_repeats(documents(spark, texts).select("doc_id", "text"), 1).collect())] == [texts[0], "\n\t"]
+
+
 # 2, decontamination
 
 

@@ -27,11 +27,14 @@ def normalised(line: str) -> str:
 
 
 def units(text: str | None, fewest_words: int) -> list[dict]:
-    """Lines of at least that many words: number, begin, end and digest."""
+    """Lines of at least that many words: number, begin, end and digest.
+
+    With 1 every line counts, also in scripts without blanks; a line without text never does.
+    """
     out, start = [], 0
     for i, line in enumerate((text or "").split("\n")):
         plain = normalised(line)
-        if plain.count(" ") + 1 >= fewest_words:
+        if plain and plain.count(" ") + 1 >= fewest_words:
             digest = hashlib.blake2b(plain.encode(errors="surrogatepass"), digest_size=16).digest()
             out.append({"unit": i, "start": start, "end": start + len(line), "digest": digest})
         start += len(line) + 1
@@ -61,7 +64,7 @@ def repeated_lines(docs: DataFrame, fewest_words: int = FEWEST_WORDS) -> DataFra
     """One row for each line of ``docs(doc_id, text)`` that an earlier one repeats:
 
     ``doc_id, unit, start, end, kept_doc_id, kept_start``, places in characters of the text,
-    ``unit`` the line's number from 0. Lines of fewer words stay. Null and empty texts have no
+    ``unit`` the line's number from 0. Lines of fewer words stay; 1 takes every line with text. Null and empty texts have no
     line; a repeated row's lines repeat the first one's. An empty table gives no rows.
     """
     rows = pick(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
