@@ -193,6 +193,40 @@ def test_toxic_words_are_learnt_and_undisguised(spark):
     assert got[403].score == got[404].score
 
 
+@pytest.fixture(scope="module")
+def trigrams(spark):
+    return toxicity.language_model(documents(spark, ["stupid idiot function hello you are a thing " * 20]))
+
+
+DISGUISED_WORDS = [
+    ("st" + "u" * 300 + "pid", "stupid"),
+    ("$t" + "u" * 300 + "p1d", "stupid"),
+    ("1d10t)", "idiot)"),
+    ("x/1d10t", "x/idiot"),
+    ("\u201c1d10t\u201d", "\u201cidiot\u201d"),
+    ("1d10t\u2026", "idiot\u2026"),
+    ('"i d i o t"', '"idiot"'),
+    ("(i.d.i.o.t)", "(idiot)"),
+    ("i  d  i  o  t", "idiot"),
+    ("h\u20acllo", "hello"),
+    ("h \u20ac l l o", "hello"),
+    ("(1d10t)", "(idiot)"),
+    ("<hello>", "<hello>"),
+    ("function(hello)", "function(hello)"),
+    ("i d i o t  y o u", "idiot  you"),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), DISGUISED_WORDS)
+def test_disguised_words_of_any_length_and_bounds(trigrams, text, want):
+    assert toxicity.restore(text, trigrams, 3.0) == want
+
+
+@pytest.mark.parametrize("text", ["a1" * 50_000, "a$b(" * 25_000, "a " * 50_000, "a" + "-" * 100_000, "aaa" + "1" * 100_000])
+def test_long_stretches_are_decoded_in_little_time(trigrams, text):
+    toxicity.restore(text, trigrams, 3.0)
+
+
 def test_held_out_labels_teach_nothing(spark):
     texts, marks = toxic_rows()
     turned = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 3 == 1 else t) for i, q, t in marks]

@@ -32,15 +32,17 @@ CHANNEL = {
 _SIGNS = re.escape("".join(CHANNEL))
 _CHAR = rf"[A-Za-z{_SIGNS}]"
 # A word with letters and signs within, a word with a letter three times, letters set apart.
-_MIXED = re.compile(rf"(?<![^\s\"'.,;:?*_-])(?=[{_SIGNS}]*[A-Za-z])(?=[A-Za-z]*[{_SIGNS}]+[A-Za-z]|[A-Za-z]+[{_SIGNS}]){_CHAR}{{3,40}}(?![^\s\"'.,;:?*_-])")
-_REPEATED = re.compile(rf"(?<![^\W_])(?=[A-Za-z{_SIGNS}]*([A-Za-z])\1\1)[A-Za-z{_SIGNS}]{{3,60}}(?![^\W_])")
-_APART = re.compile(rf"(?<![^\s]){_CHAR}(?:([ .*_-]){_CHAR})(?:\1{_CHAR}){{1,40}}(?![^\s.,;:!?])")
+_MIXED = re.compile(rf"(?<![^\W\d_])(?<![{_SIGNS}])(?=[{_SIGNS}]*[A-Za-z])(?=[A-Za-z]*[{_SIGNS}]+[A-Za-z]|[A-Za-z]+[{_SIGNS}]){_CHAR}{{3,}}+(?![^\W\d_])")
+_REPEATED = re.compile(rf"(?<![^\W_])(?=[A-Za-z{_SIGNS}]*([A-Za-z])\1\1)[A-Za-z{_SIGNS}]{{3,}}(?![^\W_])")
+_APART = re.compile(rf"(?<![^\W\d_])(?<![{_SIGNS.replace(re.escape('('), '').replace('<', '')}]){_CHAR}( +|\.+|\*+|_+|-+){_CHAR}(?:\1{_CHAR})+(?![^\W\d_])(?![{_SIGNS.replace('!', '')}])")
+_OPENER = {")": "(", ">": "<"}
 
 LETTERS = 27
 """Boundary and a to z."""
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = 1
 _CLASS[[ord(c) for c in CHANNEL if ord(c) < 128]] = 2
+_WIDE = [c for c in CHANNEL if ord(c) > 127]
 _BLANK = np.isin(np.arange(256), [ord(c) for c in " .*_-"])
 _CODE = np.zeros(256, np.int32)
 _CODE[97:123] = np.arange(1, 27)
@@ -112,13 +114,15 @@ def decode(word: str, model: np.ndarray, swap: float) -> str:
     word = word.lower()
     runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", word, re.S)]
     last = max((i for i, (c, _) in enumerate(runs) if c.isalpha()), default=-1)
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # Of each state the score and the letters so far, as (before, letters) back to the last single state.
+    done: list[str] = []
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for i, (char, count) in enumerate(runs):
-        step: dict[tuple[int, int], tuple[float, str]] = {}
+        step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         options = list(_options(char, count, swap))
         if i > last:
             options.append(("", swap / 3))
-        for (a, b), (score, text) in best.items():
+        for (a, b), (score, path) in best.items():
             for letters, cost in options:
                 x, y, value = a, b, score - cost
                 for c in letters:
@@ -126,9 +130,21 @@ def decode(word: str, model: np.ndarray, swap: float) -> str:
                     value += model[x, y, z]
                     x, y = y, z
                 if (x, y) not in step or value > step[x, y][0]:
-                    step[x, y] = (value, text + letters)
+                    step[x, y] = (value, (path, letters))
         best = step
-    return max((value + model[a, b, 0], text) for (a, b), (value, text) in best.items())[1]
+        if len(best) == 1:
+            ((state, (score, path)),) = best.items()
+            done.append(_spelled(path))
+            best = {state: (score, None)}
+    return "".join(done) + max((value + model[a, b, 0], _spelled(path)) for (a, b), (value, path) in best.items())[1]
+
+
+def _spelled(path: tuple | None) -> str:
+    parts = []
+    while path:
+        path, letters = path
+        parts.append(letters)
+    return "".join(reversed(parts))
 
 
 def likelihood(word: str, model: np.ndarray) -> float:
@@ -143,11 +159,15 @@ def _suspicious(text: str) -> tuple[bool, bool, bool]:
     if len(data) < 3:
         return False, False, False
     kind = _CLASS[data]
-    mixed = bool(((kind[:-1] == 1) & (kind[1:] == 2)).any() or ((kind[:-1] == 2) & (kind[1:] == 1)).any())
+    wide = any(c in text for c in _WIDE)
+    mixed = wide or bool(((kind[:-1] == 1) & (kind[1:] == 2)).any() or ((kind[:-1] == 2) & (kind[1:] == 1)).any())
     low = data | 32
     repeated = bool(((low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & (kind[2:] == 1)).any())
     gap = _BLANK[data]
-    apart = len(data) >= 5 and bool((gap[1:-3] & gap[3:-1] & (kind[:-4] > 0) & (kind[2:-2] > 0) & (kind[4:] > 0)).any())
+    once = np.concatenate(([True], ~(gap[1:] & (data[1:] == data[:-1]))))
+    if not once.all():
+        data, kind, gap = data[once], kind[once], gap[once]
+    apart = wide or len(data) >= 5 and bool((gap[1:-3] & gap[3:-1] & (kind[:-4] > 0) & (kind[2:-2] > 0) & (kind[4:] > 0)).any())
     return mixed, repeated, apart
 
 
@@ -155,14 +175,21 @@ def restore(text: str, model: np.ndarray, swap: float, known: dict[str, str] | N
     """The text with every disguised word as its likeliest letters."""
     known = {} if known is None else known
 
-    def clear(m: re.Match) -> str:
-        word = m[0]
+    def letters_of(word: str) -> str:
+        if len(word) > 60:
+            return decode(word, model, swap)
         if word not in known:
             if len(known) > 50_000:
                 known.clear()
             known[word] = decode(word, model, swap)
         return known[word]
 
+    def clear(m: re.Match) -> str:
+        word, opener = m[0], _OPENER.get(m.string[m.end() : m.end() + 1])
+        if opener and opener in word:  # a bracket, no letter
+            return opener.join(letters_of(x) if m.re.fullmatch(x) else x for x in word.rsplit(opener, 1))
+        return letters_of(word)
+
     def join(m: re.Match) -> str:
         letters = m[0].replace(m[1], "")
         if not any(c.isalpha() for c in letters):
