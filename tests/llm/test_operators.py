@@ -448,6 +448,34 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     assert not base and [(k, text[a:b]) for k, a, b in spans] == [(kind, found)]
 
 
+SPELLED = [
+    ("write john at firma dot pl now", "email", "john at firma dot pl"),
+    ("john at mail dot ru", "email", "john at mail dot ru"),
+    ("john at firma [dot] se", "email", "john at firma [dot] se"),
+    ("john at firma (dot) museum", "email", "john at firma (dot) museum"),
+    ("john at firma dot shop", "email", "john at firma dot shop"),
+    ("john at mail dot firma dot example", "email", "john at mail dot firma dot example"),
+    ("john at mail dot firma.se", "email", "john at mail dot firma.se"),
+    ("call plus 49 30 1234567", "phone", "plus 49 30 1234567"),
+]
+
+
+@pytest.mark.parametrize(("text", "kind", "found"), SPELLED)
+def test_spelled_addresses_and_numbers_are_found_alone(text, kind, found):
+    assert [(k, text[a:b]) for k, a, b in pii.find(text)[1]] == [(kind, found)]
+    assert found not in pii.redacted(text)
+
+
+@pytest.mark.parametrize("text", ["at this point in time", "we met at some point we knew", "look at the dot in it", "at West Point in May", "at each dot on it"])
+def test_prose_is_no_address(text):
+    assert pii.find(text)[1] == []
+
+
+@pytest.mark.parametrize("text", ["x at " + "a." * 60_000, "x at " + "a dot " * 20_000, "x at a dot b " * 10_000])
+def test_long_chains_take_little_time(text):
+    pii.find(text)
+
+
 @pytest.mark.parametrize("text", ["look at example.com and dot it", "meet at noon dot matrix", "one two three four", "a (dot) b", "5 at 7", "", words(500)])
 def test_clean_text_is_left_alone(text):
     assert pii.find(text) == ([], []) and pii.redacted(text) == text

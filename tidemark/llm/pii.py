@@ -110,8 +110,25 @@ _DOT_BRACKETS = re.compile(r" {0,2}[\[({<] {0,2}(?:dot|punkt|point|punto) {0,2}[
 _DOT_WORD = re.compile(r"(?<=[A-Za-z0-9]) {1,2}(?:dot|punkt|point|punto) {1,2}(?=[A-Za-z0-9])", re.I)
 # Top-level domains behind which spelled-out "at" and "dot" are taken for an address.
 _TOP = "com|net|org|edu|gov|info|biz|io|co|eu|uk|us|de|at|ch|fr|es|it|nl|pt|mx|ca|au|dev|app"
-_NEXT = r"(?:\.| {0,2}[\[({<] {0,2}(?:dot|punkt|point|punto) {0,2}[\])}>] {0,2}| {1,2}(?:dot|punkt|point|punto) {1,2})"
-_AT_WORD = re.compile(rf"(?<=[A-Za-z0-9]) {{1,2}}(?:at|arroba|arobase) {{1,2}}(?=(?:[A-Za-z0-9-]{{1,63}}{_NEXT}){{0,4}}[A-Za-z0-9-]{{1,63}}(?!\.){_NEXT}(?:{_TOP})(?![A-Za-z0-9]))", re.I)
+# Those that count behind "dot", where any two letters do (behind "point" they are prose).
+_GENERIC = "mil|int|arpa|name|pro|mobi|asia|tel|jobs|travel|museum|aero|coop|cat|xyz|online|site|shop|store|tech|cloud|club|blog|email|live|news|world|space|website|agency|digital|studio|berlin|wien|koeln|london|paris|click|link|icu|vip|top|art|page"
+_THE = "the|a|an|this|that|each|every|one|some|any|no|which|what|his|her|its|my|your|our|their"
+_LABEL = "[A-Za-z0-9-]{1,63}"
+_BRACKETED = r" {0,2}[\[({<] {0,2}(?:dot|punkt|point|punto) {0,2}[\])}>] {0,2}"
+_WORD = " {1,2}(?:dot|punkt|punto) {1,2}"
+_NEXT = rf"(?:\.|{_BRACKETED}|{_WORD}| {{1,2}}point {{1,2}})"
+_CHAIN = rf"(?:{_LABEL}{_NEXT}){{0,126}}"
+_END = "(?![A-Za-z0-9])"
+# Behind "at": any label once a separator is bracketed or two are spelled, else two letters or a listed name.
+_ADDRESS = "|".join(
+    (
+        rf"(?:{_LABEL}{_NEXT}){{0,4}}{_LABEL}(?!\.){_NEXT}(?:{_TOP}){_END}",
+        rf"{_CHAIN}{_LABEL}{_BRACKETED}{_CHAIN}[A-Za-z]{{2,}}{_END}",
+        rf"{_CHAIN}{_LABEL}{_WORD}(?:{_LABEL}{_NEXT}){{0,126}}{_LABEL}{_WORD}[A-Za-z]{{2,}}{_END}",
+        rf"(?!(?:{_THE}){_WORD}){_CHAIN}{_LABEL}(?:{_WORD}(?:{_LABEL}\.){{0,126}})(?:[A-Za-z]{{2}}|{_TOP}|{_GENERIC}){_END}",
+    )
+)
+_AT_WORD = re.compile(rf"(?<=[A-Za-z0-9]) {{1,2}}(?:at|arroba|arobase) {{1,2}}(?={_ADDRESS})", re.I)
 # What a text must hold for a transducer to have anything to do, as cheap tests on its bytes.
 _HINTS = tuple(x.encode() for x in ("dot", "punkt", "point", "punto", "at]", "at)", "at}", "at>", "at ]", "at )", "at }", "at >", "arroba", "arobase"))
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
@@ -211,8 +228,9 @@ def undisguised(text: str) -> Rewritten | None:
     data = now.text.encode(errors="surrogatepass")
     if sum(map(_NUMERAL_BYTES.__contains__, data.translate(_LETTERS).split())) >= _FEWEST:
         now.replace(_SPELLED, lambda m: "".join(_NUMERALS.get(x.lower(), ".") for x in _SINGLE.findall(m[0])))
-        now.replace(_PLUS, lambda m: "+")
     lowered = data.translate(_LOWER)
+    if b"plus" in lowered:
+        now.replace(_PLUS, lambda m: "+")
     if any(x in lowered for x in _HINTS):
         now.replace(_AT_BRACKETS, lambda m: "@")
         now.replace(_AT_WORD, lambda m: "@")
