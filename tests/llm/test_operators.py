@@ -416,6 +416,30 @@ def test_many_shards_and_blocks_find_most_links(spark):
     assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.9 * sum(want.values())
 
 
+def test_labels_under_the_bound_are_compared_in_full(spark):
+    own = np.random.default_rng(6)
+    centres = own.normal(size=(150, 12))
+    rows = [(i, (centres[i % 150] + own.normal(size=12) * 0.08).tolist(), i % 2) for i in range(900)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    settings = vectors.Settings(shard_rows=20, overlap=1, tries=1)
+    got = vectors.near_duplicates(table, settings).collect()
+    assert {r.vec_id: r.n_links for r in got} == {i: n for (i, _, _), (n, _) in zip(rows, vector_links(rows, 0.98), strict=True)}
+    assert {r.audited_recall for r in got} == {1.0}
+
+
+def test_audit_counts_vectors_and_says_when_it_knows_nothing(spark):
+    own = np.random.default_rng(7)
+    hot, small = own.normal(size=16), own.normal(size=(20, 16))
+    rows = [(i, 16, i, (hot + own.normal(size=16) * 0.01).tolist()) for i in range(100)]
+    rows += [(0, 16, 100 + i, (small[i // 2] + own.normal(size=16) * 0.01).tolist()) for i in range(40)]
+    table = spark.createDataFrame([(0, *r[1:]) for r in rows], "label int, dim int, group long, v array<double>")
+    links = spark.createDataFrame([(a, b) for a in range(100) for b in range(a)], "a long, b long")
+    shares = vectors.audit(table, links, vectors.Settings())[0, 16]
+    assert len(shares) == 140 and abs(sum(shares) / 140 - 100 / 140) < 1e-9
+    apart = spark.createDataFrame([(i, np.eye(8)[i].tolist(), 0) for i in range(8)], "vec_id long, embedding array<double>, label int")
+    assert {r.audited_recall for r in vectors.near_duplicates(apart).collect()} == {None}
+
+
 def test_no_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 

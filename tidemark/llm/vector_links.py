@@ -7,7 +7,8 @@ that a vector got in its shards are united. Then each shard searches the united
 search from the shard's medoid finds a vector's surroundings, and as long as vectors within the
 range turn up, the search goes on through their neighbours. Every link is verified in double
 precision. An audit compares a bounded sample of vectors with all others by brute force; if too
-few links were found, everything is done again with wider overlap and search.
+few links were found, everything is done again with wider overlap and search, and labels that
+still miss some are compared pair by pair.
 """
 
 from __future__ import annotations
@@ -39,7 +40,9 @@ class Settings:
     """Random neighbours besides, so that groups larger than ``candidates`` stay within reach."""
     width: int = 32
     audited: int = 200
-    """Vectors that the audit compares with all others."""
+    """Vectors that the audit compares with all others at first; more until ``linked`` have links."""
+    linked: int = 50
+    most_audited: int = 3_200
     recall: float = 0.95
     tries: int = 3
 
@@ -269,43 +272,100 @@ def _searched(dealt: DataFrame, edges: DataFrame, settings: Settings) -> DataFra
     return both.groupBy("label", "dim", "shard", "block", "asking").applyInArrow(search, "a long, b long").distinct()
 
 
-def audit(vectors: DataFrame, links: DataFrame, settings: Settings) -> float:
-    """Share of the links of some vectors, found by brute force, that are in ``links``.
+def _compared(vectors: DataFrame, settings: Settings) -> DataFrame:
+    """Links ``a, b`` as of ``_searched``, by comparing every block of a label with every other."""
+    sizes = vectors.groupBy("label", "dim").agg(F.ceil(F.count("*") / (4 * settings.shard_rows)).cast("int").alias("blocks"))
+    dealt = vectors.join(F.broadcast(sizes), ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("group"), "blocks").cast("int"))
+    dealt = stage(dealt.select("label", "dim", "group", "v", "block", "blocks"))
+    holds = dealt.withColumn("asking", F.explode(F.sequence("block", F.col("blocks") - 1))).withColumn("query", F.lit(False))
+    asks = dealt.withColumn("asking", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), "asking"))).withColumn("query", F.lit(True))
 
-    The vectors with the lowest hash are compared with all others, in blocks.
+    def compare(part: pa.Table) -> pa.Table:
+        asks = part.column("query").to_numpy()
+        group, rows = part.column("group").to_numpy(), _matrix(part.column("v").combine_chunks())
+        held, asked = np.flatnonzero(~asks), np.flatnonzero(asks)
+        unit, left, right = _unit(rows), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(asked), 512):
+            q, r = np.nonzero(unit[asked[at : at + 512]] @ unit[held].T >= settings.similarity - 1e-6)
+            a, b = asked[at + q], held[r]
+            hit = (group[a] != group[b]) & (cosine(rows[a], rows[b]) >= settings.similarity)
+            left.append(np.maximum(group[a[hit]], group[b[hit]]))
+            right.append(np.minimum(group[a[hit]], group[b[hit]]))
+        return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+    return holds.unionByName(asks).groupBy("label", "dim", "block", "asking").applyInArrow(compare, "a long, b long").distinct()
+
+
+def audit(vectors: DataFrame, links: DataFrame, settings: Settings) -> dict[tuple[int, int], list[float]]:
+    """Of audited vectors that have links by brute force, the share of each one's in ``links``.
+
+    By label and length. The vectors with the lowest hash are compared with all others, in blocks;
+    four times as many each time, until ``linked`` have links or ``most_audited`` were compared.
     """
-    probe = vectors.orderBy(F.xxhash64("group", F.lit(1)), "group").limit(settings.audited).select("label", "dim", "group", "v").collect()
-    if not probe:
-        return 1.0
-    shared = vectors.sparkSession.sparkContext.broadcast([(r.label, r.dim, r.group, np.array(r.v)) for r in probe])
+    size = settings.audited
+    while True:
+        shares = _shares(vectors, links, size, settings)
+        if sum(map(len, shares.values())) >= settings.linked or size >= settings.most_audited:
+            return shares
+        size = min(4 * size, settings.most_audited)
+
+
+def _shares(vectors: DataFrame, links: DataFrame, size: int, settings: Settings) -> dict[tuple[int, int], list[float]]:
+    probes: dict[tuple[int, int], tuple[list[int], list[np.ndarray]]] = {}
+    for r in vectors.orderBy(F.xxhash64("group", F.lit(1)), "group").limit(size).select("label", "dim", "group", "v").collect():
+        groups, rows = probes.setdefault((r.label, r.dim), ([], []))
+        groups.append(r.group)
+        rows.append(np.array(r.v))
+    shared = vectors.sparkSession.sparkContext.broadcast({k: (np.array(g), np.array(v)) for k, (g, v) in probes.items()})
 
     def compare(batches):
         for batch in batches:
             label, dim, group = (batch.column(x).to_numpy() for x in ("label", "dim", "group"))
-            left, right = [], []
-            for l, d, g, v in shared.value:
-                own = np.flatnonzero((label == l) & (dim == d) & (group != g))
+            out: list[list] = [[], [], [], []]
+            for (l, d), (probe, v) in shared.value.items():
+                own = np.flatnonzero((label == l) & (dim == d))
                 if len(own):
                     rows = _matrix(batch.column("v").take(pa.array(own)))
-                    hit = group[own[cosine(rows, np.broadcast_to(v, rows.shape)) >= settings.similarity]]
-                    left += np.maximum(hit, g).tolist()
-                    right += np.minimum(hit, g).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+                    p, q = np.nonzero(_unit(v) @ _unit(rows).T >= settings.similarity - 1e-6)
+                    hit = (probe[p] != group[own[q]]) & (cosine(v[p], rows[q]) >= settings.similarity)
+                    p, other = probe[p[hit]], group[own[q[hit]]]
+                    for column, values in zip(out, (np.full(len(p), l), np.full(len(p), d), p, other), strict=True):
+                        column += values.tolist()
+            arrays = [pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["label", "dim", "probe", "other"])
+
+    true = vectors.select("label", "dim", "group", "v").mapInArrow(compare, "label int, dim int, probe long, other long")
+    true = true.withColumn("a", F.greatest("probe", "other")).withColumn("b", F.least("probe", "other"))
+    seen = true.join(links.select("a", "b", F.lit(1).alias("found")), ["a", "b"], "left").groupBy("label", "dim", "probe")
+    shares: dict[tuple[int, int], list[float]] = {}
+    for r in seen.agg((F.count("found") / F.count("*")).alias("share")).collect():
+        shares.setdefault((r.label, r.dim), []).append(r.share)
+    return shares
 
-    true = vectors.select("label", "dim", "group", "v").mapInArrow(compare, "a long, b long").distinct()
-    seen = true.join(links.withColumn("found", F.lit(1)), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("found").alias("found")).first()
-    return seen.found / seen.n if seen.n else 1.0
 
+def _mean(shares: dict[tuple[int, int], list[float]]) -> float | None:
+    every = [x for own in shares.values() for x in own]
+    return float(np.mean(every)) if every else None
 
-def near_links(vectors: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, float]:
-    """Links between different vectors, and the share of the audited ones that were found."""
+
+def near_links(vectors: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, float | None]:
+    """Links between different vectors, and the mean share found of an audited vector's links.
+
+    None where no audited vector has a link, so that nothing is known.
+    """
     for more in range(settings.tries):
         wider = replace(settings, overlap=settings.overlap * 2**more, width=settings.width * 2**more)
         dealt = stage(_in_blocks(stage(_dealt(vectors, centroids(vectors, wider), wider)), wider))
         links = stage(_searched(dealt, stage(_edges(dealt, wider)), wider))
-        recall = audit(vectors, links, wider)
-        if recall >= settings.recall:
+        shares = audit(vectors, links, wider)
+        recall = _mean(shares)
+        if recall is None or recall >= settings.recall:
             break
+    weak = [key for key, own in shares.items() if np.mean(own) < settings.recall]
+    if weak:
+        these = F.broadcast(vectors.sparkSession.createDataFrame(weak, "label int, dim int"))
+        links = stage(links.union(_compared(vectors.join(these, ["label", "dim"]), settings)).distinct())
+        recall = _mean(audit(vectors, links, settings))
     return links, recall
 
 
@@ -315,7 +375,8 @@ def near_duplicates(table: DataFrame, settings: Settings = Settings()) -> DataFr
     Vectors link when their labels are equal and not null, their lengths are equal, and their
     cosine is at least ``similarity``. Null and zero vectors and those with null or non-finite
     components, or without a label, link with nothing. Equal vectors of a label are one group:
-    it counts all its rows as linked, without a list of pairs. ``component_id`` is the smallest id
+    it counts all its rows as linked, without a list of pairs. ``audited_recall`` is null where no
+    audited vector links with a different one. ``component_id`` is the smallest id
     that links reach; repeated ids are rows of their own that share a component only by links.
     """
     rows = pick(table, "vec_id", "embedding", "label").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
@@ -340,4 +401,4 @@ def near_duplicates(table: DataFrame, settings: Settings = Settings()) -> DataFr
     placed = placed.join(lowest, "root").join(linked, "group", "left")
     own = placed.select("label", "same", (F.col("n") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), "component_id")
     done = member.join(own, ["label", "same"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return done.union(unlinked).withColumn("audited_recall", F.lit(recall))
+    return done.union(unlinked).withColumn("audited_recall", F.lit(recall).cast("double"))
