@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, lines, long_matches, packing, pii, simhash, toxicity, url_rules, vector_links
+from tidemark.llm import decontaminate, filter_audit, frequent_lines, language, lines, long_matches, packing, pii, simhash, toxicity, url_rules, vector_links
 from tidemark.llm.common import LOWER, UPPER, read
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -76,6 +76,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_frequent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = frequent_lines.without_frequent_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 DECONTAMINATE_SQL = f"""
@@ -140,6 +149,64 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN fits USING (page_id)
 """
 
+AUDIT_SQL = f"""
+WITH facts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+),
+marks AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+),
+fails AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CAST(len(w) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER)
+    + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS INTEGER)
+    + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER)
+    + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INTEGER) AS mask
+  FROM facts LEFT JOIN marks USING (doc_id)
+),
+sums AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY part, mask),
+letters(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+),
+steps AS (
+  SELECT filter_order, step, bit, (SELECT coalesce(sum(p.bit), 0) FROM letters p WHERE strpos(filter_order, p.f) < step) AS before
+  FROM orders, range(1, 6) AS s(step), letters WHERE f = filter_order[step]
+),
+done AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, bit,
+    sum(n) FILTER (mask & (before | bit) = 0) AS kept,
+    sum(n) FILTER (mask & before = 0 AND mask & bit <> 0) AS removed,
+    sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0) AS redundant,
+    sum(n) FILTER (mask = bit) AS unique_fails,
+    sum(good) FILTER (mask & before = 0 AND mask & bit <> 0) AS good_lost,
+    sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0) AS toxic_lost
+  FROM sums, (SELECT filter_order, step, bit, CAST(before AS INTEGER) AS before FROM steps) GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM done
+"""
+
+_BLANKS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+
+FREQUENT_SQL = f"""
+WITH parted AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+numbered AS (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS unit FROM parted),
+keyed AS (SELECT doc_id, unit, parts[unit] AS line, translate(trim(parts[unit], {_BLANKS}), '{UPPER}', '{LOWER}') AS key FROM numbered),
+often AS (
+  SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (last <> doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (last IS NULL OR last = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN often USING (key) GROUP BY doc_id
+"""
+
 QUERIES = {
     "op1_lines": op1_lines,
     "op2_decontaminate": op2_decontaminate,
@@ -151,10 +218,14 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_vectors": op9_vectors,
     "op10_pii": op10_pii,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_frequent_lines": op13_frequent_lines,
 }
 
 ORACLES: dict[str, str] = {
     "op1_lines": LINES_SQL,
     "op2_decontaminate": DECONTAMINATE_SQL,
     "op3_url_rules": URL_SQL,
+    "op11_filter_audit": AUDIT_SQL,
+    "op13_frequent_lines": FREQUENT_SQL,
 }
