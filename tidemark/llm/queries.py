@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, filter_audit, frequent_lines, language, lines, long_matches, packing, pii, simhash, toxicity, url_rules, vector_links
+from tidemark.llm import conversations, decontaminate, filter_audit, frequent_lines, language, lines, long_matches, packing, pii, simhash, toxicity, url_rules, vector_links
 from tidemark.llm.common import LOWER, UPPER, read
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -80,6 +80,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.repaired_blocks(read(spark, sf_dir, "conversations")))
+
+
 def op13_frequent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = frequent_lines.without_frequent_lines(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -195,6 +199,86 @@ FROM done
 
 _BLANKS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 
+#: From each grammar state: state after a kept row with that initial, and after the next row.
+_KEPT = {"su": "CASE initial WHEN 's' THEN f1 WHEN 'u' THEN f2 END", "u": "CASE initial WHEN 'u' THEN f2 END", "a": "CASE initial WHEN 'a' THEN f3 END"}
+
+
+def _row_edits(state: int, kept: str, after: int) -> str:
+    """Cheapest of delete, keep and rerole from the state: cost in nine digits, then the edits."""
+    add = lambda f, cost, edit: f"(lpad(CAST(CAST({f}[1:9] AS BIGINT) + {cost} AS VARCHAR), 9, '0') || '{edit}' || {f}[10:])"
+    stays = f"CASE WHEN must_go THEN NULL ELSE least({add(f'({kept})', 'cut', 'K')}, {add(f'f{after}', '3 + cut', 'R')}) END"
+    return f"least({add(f'f{state}', 4, 'D')}, {stays})"
+
+
+def _insert(f: str) -> str:
+    return f"(lpad(CAST(CAST({f}[1:9] AS BIGINT) + 3 AS VARCHAR), 9, '0') || 'I' || {f}[10:])"
+
+
+CONVERSATIONS_SQL = f"""
+WITH RECURSIVE marked AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS place
+  FROM conversations
+),
+bits(place, crc, rest) AS (
+  SELECT DISTINCT place, CAST(4294967295 AS BIGINT), place FROM marked
+  UNION ALL
+  SELECT place, list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, xor(crc, CAST(ascii(rest[1]) AS BIGINT))), rest[2:]
+  FROM bits WHERE rest <> ''
+),
+kinds AS (SELECT place, xor(crc, 4294967295) % 20 AS kind FROM bits WHERE rest = ''),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM marked JOIN kinds USING (place), range(CASE WHEN kind = 3 THEN 2 ELSE 1 END) WHERE kind <> 0
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM hurt),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, role[1] AS initial,
+    trim(text, {_BLANKS}) AS core, lead(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS following
+  FROM placed
+),
+faults AS (
+  SELECT *, CASE WHEN core = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(core, '[.!?]$') THEN 'truncated' END AS fault FROM seen
+),
+symbols AS (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS must_go, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS cut FROM faults),
+backward AS (
+  SELECT conv_id, max(n) + 1 AS i, '000000000' AS f0, '000000006II' AS f1, '000000003I' AS f2, '000000000' AS f3 FROM symbols GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, least(p0, {_insert("g2")}), least(p1, {_insert("g2")}), g2, g3 FROM (
+    SELECT *, least(p2, {_insert("p3")}) AS g2, least(p3, {_insert("p2")}) AS g3 FROM (
+      SELECT b.conv_id, s.i, {_row_edits(0, _KEPT["su"], 2)} AS p0, {_row_edits(1, _KEPT["u"], 2)} AS p1,
+        {_row_edits(2, _KEPT["a"], 3)} AS p2, {_row_edits(3, _KEPT["u"], 2)} AS p3
+      FROM backward b JOIN symbols s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.i = b.i - 1
+    )
+  )
+),
+plans AS (SELECT conv_id, CAST(f0[1:9] AS BIGINT) AS cost, f0[10:] AS audit FROM backward WHERE i = 1),
+edits AS (SELECT conv_id, audit, k, audit[k] AS edit, length(replace(audit[1:k], 'I', '')) AS i FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS k FROM plans)),
+kept AS (
+  SELECT e.*, s.role, s.text, row_number() OVER (PARTITION BY e.conv_id ORDER BY k) AS spot,
+    max(CASE WHEN edit = 'K' AND s.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS led
+  FROM edits e LEFT JOIN symbols s ON s.conv_id IS NOT DISTINCT FROM e.conv_id AND s.i = e.i WHERE edit <> 'D'
+),
+repaired AS (
+  SELECT conv_id, string_agg(CASE edit WHEN 'K' THEN role ELSE CASE WHEN (spot - led) % 2 = 1 THEN 'user' ELSE 'assistant' END END
+    || ':' || CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS whole
+  FROM kept GROUP BY conv_id
+),
+figures AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i < n AND initial || following NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM symbols GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN figures f ON c.conv_id IS NOT DISTINCT FROM f.conv_id
+LEFT JOIN plans p ON c.conv_id IS NOT DISTINCT FROM p.conv_id
+LEFT JOIN repaired r ON c.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
 FREQUENT_SQL = f"""
 WITH parted AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 numbered AS (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS unit FROM parted),
@@ -219,6 +303,7 @@ QUERIES = {
     "op9_vectors": op9_vectors,
     "op10_pii": op10_pii,
     "op11_filter_audit": op11_filter_audit,
+    "op12_conversations": op12_conversations,
     "op13_frequent_lines": op13_frequent_lines,
 }
 
@@ -227,5 +312,6 @@ ORACLES: dict[str, str] = {
     "op2_decontaminate": DECONTAMINATE_SQL,
     "op3_url_rules": URL_SQL,
     "op11_filter_audit": AUDIT_SQL,
+    "op12_conversations": CONVERSATIONS_SQL,
     "op13_frequent_lines": FREQUENT_SQL,
 }
