@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 import uuid
 from pathlib import Path
 
@@ -207,6 +208,38 @@ def test_stream_horizon_spans_flushes(spark, tmp_path):
     assert sorted(r["event"] for r in rows) == ["a", "b", "hot"]
 
 
+def remembered(spark, root):
+    """Digests in the stream's state."""
+    rows = spark.read.format("statestore").option("stateVarName", "seen").load(f"{root}/cp")
+    entries = rows.selectExpr("explode(list_value) AS e") if "list_value" in rows.columns else rows.selectExpr("list_element AS e")
+    digests = F.col("e.value.digests") if "value" in entries.schema["e"].dataType.names else F.col("e.digests")
+    return entries.agg(F.coalesce(F.sum(F.length(digests) / 24), F.lit(0))).first()[0]
+
+
+def test_remembered_digests_expire_and_late_rows_stay(spark, tmp_path):
+    root = str(tmp_path)
+    options = {"horizon": "10 days", "remember": "3 seconds"}
+    for round_no in range(2):
+        late = [message(100 * round_no + i, -86_400 * i, f"day{round_no}-{i}") for i in range(5)]
+        write(spark, [*late, message(100 * round_no + 9, round_no, "again"), (7 + round_no, AT, "", "bad")], f"{root}/in")
+        run_events(spark, root, **options)
+        # Only what this flush brought is left, however many flushes went before.
+        assert remembered(spark, root) == 6
+        time.sleep(4)
+    events = [r["event"] for r in flush.read_flushed(spark, f"{root}/out").collect()]
+    assert events.count("again") == 2 and len(events) == 12
+    assert flush.read_rejects(spark, f"{root}/out").count() == 2
+
+
+def test_copies_beyond_the_horizon_are_kept(spark, tmp_path):
+    root = str(tmp_path)
+    for at in (0, 7200, 3702):
+        write(spark, [message(at, at, "a")], f"{root}/in")
+        run_events(spark, root, horizon="1 hour", remember="1 day")
+    seqs = sorted(r["seq"] for r in flush.read_flushed(spark, f"{root}/out").collect())
+    assert seqs == [0, 7200] and remembered(spark, root) == 2
+
+
 def test_a_key_that_changes_type_stays_readable(spark, tmp_path):
     root = str(tmp_path)
     texts = ['[{"event":"e","n":5,"Os":"x"}]', '[{"event":"e","n":"five"}]', '[{"event":"e","n":"7","N":1}]']

@@ -26,6 +26,7 @@ from tidemark.sources.messages import (
     rejects,
 )
 from tidemark.sources.tables import read_events
+from tidemark.streaming.seen import STATE_SETTINGS, unpacked, without_seen
 
 MESSAGE_SCHEMA = "seq BIGINT, received_at TIMESTAMP, data_list STRING, data STRING"
 
@@ -63,50 +64,24 @@ def writer_name(spark: SparkSession, checkpoint: str) -> str:
     return name
 
 
-SEEN_SCHEMA = "event STRING, payload_hash STRING, received_at TIMESTAMP, ds DATE, batch_id STRING"
-
-
-def drop_seen(records: DataFrame, path: str, batch: str, horizon: str) -> DataFrame:
-    """Records without those stored by an earlier flush within the horizon, before or after.
+def start_stream(
+    stream: DataFrame, flush, query_name: str, checkpoint: str, every: str | None, settings: dict[str, str] | None = None
+) -> StreamingQuery:
+    """Run continuously every so often, or once over what is there when ``every`` is None.
 
-    ``records`` are free of duplicates themselves. What was stored is looked up in a table of
-    digests by receipt day, not in stream state: a record is never dropped for being late, only
-    for being a copy. A batch that is written again doesn't see its own digests.
+    ``settings`` hold for this query alone, which takes its own copy of the session at its start.
     """
-    spark = records.sparkSession
-    try:
-        seen = spark.read.schema(SEEN_SCHEMA).parquet(f"{path}/seen")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return records
-    span = F.expr(f"INTERVAL {horizon}")
-    days = records.agg(F.min("received_at").alias("a"), F.max("received_at").alias("b")).select(
-        F.to_date(F.col("a") - span).alias("a"), F.to_date(F.col("b") + span).alias("b")
-    ).first()
-    if days["a"] is None:
-        return records
-    near = seen.filter(F.col("ds").between(days["a"], days["b"]) & (F.col("batch_id") != batch))
-    old = near.select("event", "payload_hash", F.col("received_at").alias("seen_at"))
-    copy = (
-        records["event"].eqNullSafe(old["event"])
-        & (records["payload_hash"] == old["payload_hash"])
-        & (F.col("seen_at") >= F.col("received_at") - span)
-        & (F.col("seen_at") <= F.col("received_at") + span)
-    )
-    return records.join(old, copy, "left_anti")
-
-
-def _remember(records: DataFrame, path: str, batch: str) -> None:
-    digests = records.select("event", "payload_hash", "received_at", F.to_date("received_at").alias("ds"))
-    digests.write.mode("overwrite").partitionBy("ds").parquet(f"{path}/seen/batch_id={batch}")
-
-
-def _start(writer, query_name: str, checkpoint: str, every: str | None) -> StreamingQuery:
-    """Run continuously every so often, or once over what is there when ``every`` is None."""
-    writer = writer.queryName(query_name).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(flush).queryName(query_name).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
-    return writer.trigger(**trigger).start()
+    conf = stream.sparkSession.conf
+    before = {key: conf.get(key, None) for key in settings or {}}
+    try:
+        for key, value in (settings or {}).items():
+            conf.set(key, value)
+        return writer.trigger(**trigger).start()
+    finally:
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
 
 
 def start_event_flush(
@@ -120,29 +95,42 @@ def start_event_flush(
     name: str = "event_flush",
     typed: bool = False,
     max_columns: int = MAX_COLUMNS,
+    remember: str | None = None,
 ) -> StreamingQuery:
     """Decode, drop duplicates, add new columns, store events and refusals.
 
     Without a horizon, duplicates are dropped among the messages of one flush, and a repeat
     after the flush is stored again. With one, copies of what was stored within it are dropped
-    as well. Of copies in one flush the first arrival stays. No message is dropped for being
-    late, and event times are kept however late it is.
+    as well, by keyed state (``seen.without_seen``, which explains ``remember``). Of copies in
+    one flush the first arrival stays. No message is dropped for being late, and event times are
+    kept however late it is.
     """
     writer = writer_name(messages.sparkSession, checkpoint)
 
+    def store(records: DataFrame, key: str) -> None:
+        store_records(records, f"{path}/events", key, typed, tz, max_columns)
+
+    def refuse(refused: DataFrame, key: str) -> None:
+        refused.write.mode("overwrite").parquet(f"{path}/rejects/batch_id={key}")
+
     def flush(batch: DataFrame, batch_id: int) -> None:
         key = f"{writer}-{batch_id}"
         with staged(decode(batch, max_bytes), "decoded") as decoded:
-            rejects(decoded).write.mode("overwrite").parquet(f"{path}/rejects/batch_id={key}")
-            records = drop_exact_duplicates(event_records(decoded))
-            if horizon is not None:
-                records = drop_seen(records, path, key, horizon)
-            with staged(records, "records") as kept:
-                store_records(kept, f"{path}/events", key, typed, tz, max_columns)
-                if horizon is not None:
-                    _remember(kept, path, key)
+            refuse(rejects(decoded), key)
+            with staged(drop_exact_duplicates(event_records(decoded)), "records") as records:
+                store(records, key)
+
+    def flush_unseen(batch: DataFrame, batch_id: int) -> None:
+        key = f"{writer}-{batch_id}"
+        # One action on the stateful plan; everything else reads what it wrote.
+        with staged(unpacked(batch), "records") as rows:
+            refuse(rows.filter("reason IS NOT NULL").select("seq", "pos", "received_at", "reason"), key)
+            store(rows.filter("reason IS NULL").drop("reason"), key)
 
-    return _start(messages.writeStream.foreachBatch(flush), name, checkpoint, every)
+    if horizon is None:
+        return start_stream(messages, flush, name, checkpoint, every)
+    fresh = without_seen(decode(messages, max_bytes), horizon, remember)
+    return start_stream(fresh, flush_unseen, name, checkpoint, every, STATE_SETTINGS)
 
 
 def read_flushed(spark: SparkSession, path: str) -> DataFrame:
@@ -167,7 +155,7 @@ def start_profile_flush(
     def flush(batch: DataFrame, batch_id: int) -> None:
         store.upsert(profile_records(decode(batch)), f"{writer}-{batch_id}")
 
-    return _start(messages.writeStream.foreachBatch(flush), name, checkpoint, every)
+    return start_stream(messages, flush, name, checkpoint, every)
 
 
 def window_counts(events: DataFrame, width: str) -> DataFrame:
@@ -196,7 +184,7 @@ def start_live_counts(
     def flush(batch: DataFrame, batch_id: int) -> None:
         window_counts(batch, width).write.mode("overwrite").parquet(f"{path}/batch_id={writer}-{batch_id}")
 
-    return _start(events.writeStream.foreachBatch(flush), name, checkpoint, every)
+    return start_stream(events, flush, name, checkpoint, every)
 
 
 def read_live_counts(spark: SparkSession, path: str) -> DataFrame:

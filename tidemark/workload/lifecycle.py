@@ -18,8 +18,8 @@ from tidemark.operators.evolve import MAX_COLUMNS
 from tidemark.session import scratch_dir
 from tidemark.sources import messages as source
 from tidemark.sources import tables
-from tidemark.streaming import flush
-from tidemark.workload.fixture import VIEW_SQL, event_view, table
+from tidemark.streaming import flush, live
+from tidemark.workload.fixture import APP_ID, VIEW_SQL, event_view, table
 from tidemark.workload.messages import MAX_BYTES, messages, received_at, with_copies
 from tidemark.workload.pipelines import (
     MESSAGE_SQL,
@@ -149,6 +149,62 @@ def stream_hourly_late(spark, sf_dir):
     return flush.read_live_counts(spark, f"{root}/out").withColumn("window_start", F.unix_seconds("window_start"))
 
 
+# Live measures: the later half of the events arrives first here too.
+
+
+def _live(spark, sf_dir, label: str, columns: list[str], start) -> str:
+    root = scratch_dir(spark, label)
+    events = event_view(spark, sf_dir).filter(F.col("app_id") == APP_ID).select("time", *columns)
+
+    def run():
+        incoming = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        return start(incoming, f"{root}/out", f"{root}/checkpoint")
+
+    _late_half_last(events, "time", f"{root}/in", run)
+    return f"{root}/out"
+
+
+def stream_daily_active(spark, sf_dir):
+    path = _live(spark, sf_dir, "live-users", ["distinct_id"], lambda e, out, at: live.start_live_users(e, out, at, every=None))
+    users = live.read_live_users(spark, path)
+    return users.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "users")
+
+
+def stream_weekly_active(spark, sf_dir):
+    """Weeks united from days, then all days in one."""
+    path = _live(spark, sf_dir, "live-weeks", ["distinct_id"], lambda e, out, at: live.start_live_users(e, out, at, every=None))
+    weeks = live.read_live_users(spark, path, by=F.date_format(F.date_trunc("week", "window_start"), "yyyy-MM-dd"))
+    return weeks.union(live.read_live_users(spark, path, by=F.lit("all")))
+
+
+def _live_lists(spark, sf_dir) -> str:
+    columns = ["event", "country", "app_version"]
+    return _live(spark, sf_dir, "live-top", columns, lambda e, out, at: live.start_live_top(e, out, at, columns, width="1 day", every=None))
+
+
+def stream_top_events(spark, sf_dir):
+    return live.read_live_top(spark, _live_lists(spark, sf_dir), "event", 25)
+
+
+def stream_app_versions(spark, sf_dir):
+    start, end = dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 25)
+    return live.read_live_top(spark, _live_lists(spark, sf_dir), "app_version", 20, start, end)
+
+
+def stream_share_country(spark, sf_dir):
+    return live.read_live_share(spark, _live_lists(spark, sf_dir), "country")
+
+
+def stream_delay_quantiles(spark, sf_dir):
+    """Of all hours, and of a range of hours."""
+    path = _live(spark, sf_dir, "live-delays", ["delay_s"], lambda e, out, at: live.start_live_values(e, out, at, "delay_s", every=None))
+    wanted = [0.5, 0.95, 0.99]
+    spans = {"all": (None, None), "days": (dt.datetime(2024, 1, 5, 3), dt.datetime(2024, 1, 9, 17))}
+    rows = [live.read_live_quantiles(spark, path, wanted, *span).select(F.lit(name).alias("hours"), "*") for name, span in spans.items()]
+    both = rows[0].union(rows[1])
+    return both.select("hours", "rows", F.col("low").alias("min_s"), F.col("high").alias("max_s"), *[F.round(f"q{i}", 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+
+
 # Profiles: seeded by a batch, then two streams, the second with a checkpoint of its own.
 
 LEVELS = ["name", "level", "phone", "segment"]
@@ -257,6 +313,12 @@ QUERIES = {
     "growth_stream": growth_stream,
     "stream_late": stream_late,
     "stream_hourly_late": stream_hourly_late,
+    "stream_daily_active": stream_daily_active,
+    "stream_weekly_active": stream_weekly_active,
+    "stream_top_events": stream_top_events,
+    "stream_app_versions": stream_app_versions,
+    "stream_share_country": stream_share_country,
+    "stream_delay_quantiles": stream_delay_quantiles,
     "user_table": user_table,
     "delete_stored": delete_stored,
     "retention_streamed": retention_streamed,
@@ -265,7 +327,21 @@ QUERIES = {
     "safe_text": safe_text,
 }
 
+_APP = f"WITH ev AS (SELECT * FROM ({VIEW_SQL}) WHERE app_id = '{APP_ID}')"
+_DELAYS = """count(*) AS rows, min(delay_s) AS min_s, max(delay_s) AS max_s, round(quantile_cont(delay_s, 0.5), 6) AS p50,
+  round(quantile_cont(delay_s, 0.95), 6) AS p95, round(quantile_cont(delay_s, 0.99), 6) AS p99 FROM ev"""
+
 ORACLES = {
+    "stream_daily_active": f"{_APP} SELECT strftime(time, '%Y-%m-%d') AS day, count(DISTINCT distinct_id) AS users FROM ev GROUP BY 1",
+    "stream_weekly_active": f"""{_APP} SELECT strftime(date_trunc('week', time), '%Y-%m-%d') AS period, count(DISTINCT distinct_id) AS users
+      FROM ev GROUP BY 1 UNION ALL SELECT 'all', count(DISTINCT distinct_id) FROM ev""",
+    "stream_top_events": f"{_APP} SELECT event, count(*) AS events FROM ev GROUP BY event ORDER BY events DESC, event LIMIT 25",
+    "stream_app_versions": f"""{_APP} SELECT app_version, count(*) AS events FROM ev
+      WHERE time >= TIMESTAMP '2024-01-05' AND time < TIMESTAMP '2024-01-25' GROUP BY 1 ORDER BY events DESC, app_version LIMIT 20""",
+    "stream_share_country": f"""{_APP}, top AS (SELECT country, count(*) AS events FROM ev GROUP BY 1 ORDER BY events DESC, country LIMIT 10)
+      SELECT country, events, round(CAST(events AS DOUBLE) * 100 / CAST(sum(events) OVER () AS DOUBLE), 6) AS percent FROM top""",
+    "stream_delay_quantiles": f"""{_APP} SELECT 'all' AS hours, {_DELAYS} UNION ALL SELECT 'days', {_DELAYS}
+      WHERE time >= TIMESTAMP '2024-01-05 03:00:00' AND time < TIMESTAMP '2024-01-09 17:00:00'""",
     "zone_times": "SELECT event_id, epoch_us(ts) // 1000000 - 28800 AS seconds FROM events",
     "growth_batch": TEXT_GROWTH,
     "growth_typed": TYPED_GROWTH,
