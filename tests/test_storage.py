@@ -50,12 +50,37 @@ def test_profiles_do_not_depend_on_batching(spark, tmp_path, cuts):
     assert {r["distinct_id"]: r["props"] for r in store.read().collect()} == model(rows)
 
 
+def test_parts_fold_by_size(spark, tmp_path):
+    store = profiles.ProfileStore(spark, str(tmp_path / "s"), buckets=1, fan=3)
+    seed = [(i, AT, f"s{i}", "profile_set", {"x": "y" * 40 + str(i)}) for i in range(3000)]
+    store.upsert(spark.createDataFrame(seed, RECORDS), "seed-0")
+    store.compact()
+    store.upsert(spark.createDataFrame(seed[:1], RECORDS), "seed-1")
+    store.compact()
+    rows = [(10_000 + i, AT + dt.timedelta(seconds=i), f"u{i % 4}", "profile_set", {"k": str(i)}) for i in range(10)]
+    for n, row in enumerate(rows):
+        store.upsert(spark.createDataFrame([row], RECORDS), f"w-{n}")
+        if n == 4:
+            store.delete(spark.createDataFrame([("u0",), ("s7",)], "distinct_id STRING"), "d-0")
+    parts = store.parts()
+    # Small changes fold among themselves: few parts are left and the base is not written again.
+    assert len(parts) <= 1 + 2 * 3 and [p["kind"] for p in parts].count("base") == 1
+    assert sum(1 for _ in (tmp_path / "s" / "base").glob("version=*")) == 1
+    assert any(p["kind"].startswith("level") for p in parts)
+    written = sum(f.stat().st_size for kind in ("level1", "level2") for f in (tmp_path / "s").glob(f"{kind}/*/*.parquet"))
+    assert written < next(p["bytes"] for p in parts if p["kind"] == "base")
+    got = {r["distinct_id"]: r["props"] for r in store.read().collect()}
+    assert len(got) == 3000 - 1 + 4 and "s7" not in got and got["u0"] == {"k": "8"} and got["u1"] == {"k": "9"}
+    store.compact()
+    assert {r["distinct_id"]: r["props"] for r in store.read().collect()} == got
+
+
 def one_profile(spark, user, at, **props):
     return spark.createDataFrame([(at, AT + dt.timedelta(seconds=at), user, "profile_set", props)], RECORDS)
 
 
 def test_writers_with_equal_numbers_do_not_meet(spark, tmp_path):
-    store = profiles.ProfileStore(spark, str(tmp_path / "s"), buckets=2, fold_after=3)
+    store = profiles.ProfileStore(spark, str(tmp_path / "s"), buckets=2, fan=3)
     seed = one_profile(spark, "a", 1, x="1", y="1").union(one_profile(spark, "b", 1, x="2"))
     for name, batch in (("seed-0", seed), ("one-0", one_profile(spark, "a", 5, x="3")), ("two-0", one_profile(spark, "c", 6, x="4")), ("one-0", one_profile(spark, "a", 9, x="lost"))):
         store.upsert(batch, name)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from tidemark.operators.evolve import MAX_COLUMNS, collect_columns, valid_name
 from tidemark.schema import USER_CORE, other_properties, user_rows
@@ -103,90 +103,121 @@ def latest_versions(rows: DataFrame) -> DataFrame:
 CHANGE_SCHEMA = f"{STATE_SCHEMA}, deleted BOOLEAN"
 
 
+PART_SCHEMA = "version BIGINT, kind STRING, name STRING, first BIGINT, bytes BIGINT"
+
+
 class ProfileStore:
-    """Current profiles in Parquet: a base, and the changes of later batches.
+    """Current profiles in Parquet: a base, and parts with the changes of later batches.
 
     A batch appends its changes alone and then one line to the log; nothing that a reader may be
-    reading is replaced. Reading folds the changes over the base by user. ``compact`` writes a
-    new base from time to time, and ``upsert`` does so by itself after ``fold_after`` batches.
+    reading is replaced. Parts fold by size: ``fan`` neighbours of one level become one part of
+    the next, and all become a new base once they hold ``base_share`` of its bytes. So a reader
+    meets few parts, and a byte of change is rewritten once a level and ``1 / base_share`` times
+    on average with a base, whatever the size of the base. ``compact`` writes a base at once.
 
     Batches are named by their writer (``writer-number``, as ``streaming.flush`` does). A name
     that the log has was applied before, and is passed over; so a replay changes nothing, and
     two writers never meet under one number. One process writes at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, fold_after: int = 64):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, fan: int = 8, base_share: float = 0.5):
         self.spark = spark
         self.path = path.rstrip("/")
         self.buckets = buckets
-        self.fold_after = fold_after
+        self.fan = fan
+        self.base_share = base_share
 
-    def _log(self) -> list[tuple[int, str, str]]:
-        """(version, kind, name) of the newest base and all that came after it, in order."""
+    def _lines(self) -> DataFrame | None:
         try:
-            log = self.spark.read.schema("version BIGINT, kind STRING, name STRING").json(f"{self.path}/log")
+            return self.spark.read.schema(PART_SCHEMA).json(f"{self.path}/log")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
+            return None
+
+    def parts(self) -> list[Row]:
+        """The parts that make up the profiles, in order: a base or the first change, then later ones.
+
+        A part covers the versions from its ``first`` on; parts it covers are read no more.
+        """
+        lines = self._lines()
+        if lines is None:
             return []
-        base = log.filter(F.col("kind") == "base").agg(F.max("version")).scalar()
-        rows = log.filter(F.col("version") >= F.coalesce(base, F.lit(0))).collect()
-        return sorted((r["version"], r["kind"], r["name"]) for r in rows)
+        base = lines.filter(F.col("kind") == "base").agg(F.max("version")).scalar()
+        rows = lines.filter(F.col("version") >= F.coalesce(base, F.lit(0))).collect()
+        live: list[Row] = []
+        for row in sorted(rows, key=lambda r: r["version"]):
+            live = [x for x in live if x["version"] < row["first"]] + [row]
+        return live
 
     def applied(self, name: str) -> bool:
-        try:
-            log = self.spark.read.schema("name STRING").json(f"{self.path}/log")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return False
-        return not log.filter(F.col("name") == name).isEmpty()
-
-    def _record(self, version: int, kind: str, name: str) -> None:
-        line = self.spark.createDataFrame([(version, kind, name)], "version BIGINT, kind STRING, name STRING")
+        lines = self._lines()
+        return lines is not None and not lines.filter(F.col("name") == name).isEmpty()
+
+    def _add(self, rows: DataFrame, version: int, kind: str, name: str, first: int) -> None:
+        """Write a part, then its line in the log; before that nobody reads it."""
+        path = f"{self.path}/{kind}/version={version}"
+        rows.repartition(self.buckets, "distinct_id").write.mode("overwrite").parquet(path)
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        size = target.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+        line = self.spark.createDataFrame([(version, kind, name, first, size)], PART_SCHEMA)
         line.coalesce(1).write.mode("append").json(f"{self.path}/log")
 
-    def _next(self) -> int:
-        return max((version for version, _, _ in self._log()), default=-1) + 1
+    def _folded(self, parts: list[Row]) -> DataFrame:
+        """One row per user: later versions over earlier ones, deletions ending what came before.
 
-    def _folded(self, log: list[tuple[int, str, str]]) -> DataFrame:
-        """One row per user: later versions over earlier ones, deletions ending what came before."""
-        parts = []
-        for version, kind, _ in log:
-            rows = self.spark.read.schema(CHANGE_SCHEMA).parquet(f"{self.path}/{kind}/version={version}")
-            parts.append(rows.withColumn("version", F.lit(version).cast("bigint")))
+        ``deleted`` says that a deletion ended all that earlier parts hold of the user.
+        """
         if not parts:
-            return self.spark.createDataFrame([], STATE_SCHEMA)
+            return self.spark.createDataFrame([], CHANGE_SCHEMA)
+        rows = None
+        for part in parts:
+            own = self.spark.read.schema(CHANGE_SCHEMA).parquet(f"{self.path}/{part['kind']}/version={part['version']}")
+            own = own.withColumn("version", F.lit(part["version"]).cast("bigint"))
+            rows = own if rows is None else rows.unionByName(own)
         if len(parts) == 1:
-            return parts[0].filter("not deleted and size(props) > 0").drop("deleted", "version")
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
-        # At most one row per user and version: the list is as long as the log since the base.
+            return rows.drop("version")
+        # At most one row per user and part, and parts are few.
         versions = F.array_sort(F.collect_list(F.struct("version", "deleted", F.map_entries("props").alias("entries"), "received_at")))
         empty = F.create_map().cast("map<string,string>")
 
         def step(state: Column, change: Column) -> Column:
-            return F.when(change["deleted"], empty).otherwise(overlay(state, F.map_from_entries(change["entries"])))
+            own = F.map_from_entries(change["entries"])
+            return F.when(change["deleted"], own).otherwise(overlay(state, own))
 
         users = rows.groupBy("distinct_id").agg(versions.alias("versions"))
-        merged = users.select(
+        return users.select(
             "distinct_id",
             F.aggregate("versions", empty, step).alias("props"),
             F.element_at("versions", -1)["received_at"].alias("received_at"),
+            F.exists("versions", lambda v: v["deleted"]).alias("deleted"),
         )
-        return merged.filter(F.size("props") > 0)
 
     def read(self) -> DataFrame:
-        return self._folded(self._log())
+        return self._folded(self.parts()).filter(F.size("props") > 0).drop("deleted")
+
+    def _level(self, part: Row) -> int:
+        return int(part["kind"].removeprefix("level")) if part["kind"] != "change" else 0
+
+    def _fold(self) -> None:
+        """Fold the newest parts while their sizes ask for it."""
+        while True:
+            parts = self.parts()
+            later = [x for x in parts if x["kind"] != "base"]
+            held = sum(x["bytes"] for x in parts if x["kind"] == "base")
+            if len(later) >= self.fan and sum(x["bytes"] for x in later) >= self.base_share * held:
+                return self.compact()
+            newest = later[-self.fan :]
+            if len(newest) < self.fan or len({self._level(x) for x in newest}) > 1:
+                return None
+            version, kind = newest[-1]["version"] + 1, f"level{self._level(newest[0]) + 1}"
+            merged = self._folded(newest).filter(F.col("deleted") | (F.size("props") > 0))
+            self._add(merged, version, kind, f"{kind} {version}", newest[0]["first"])
 
     def _append(self, changes: DataFrame, name: str) -> None:
-        version = self._next()
-        path = f"{self.path}/change/version={version}"  # not in the log yet, so nobody reads it
-        changes.repartition(self.buckets, "distinct_id").write.mode("overwrite").parquet(path)
-        self._record(version, "change", name)
-        if sum(kind == "change" for _, kind, _ in self._log()) >= self.fold_after:
-            self.compact()
+        version = max((x["version"] for x in self.parts()), default=-1) + 1
+        self._add(changes, version, "change", name, version)
+        self._fold()
 
     def upsert(self, records: DataFrame, name: str) -> None:
         """Apply profile records under the batch's name; safe to repeat."""
@@ -203,12 +234,11 @@ class ProfileStore:
 
     def compact(self) -> None:
         """Write the current profiles as a new base."""
-        log = self._log()
-        if len(log) > 1:
-            version = self._next()
-            base = self._folded(log).withColumn("deleted", F.lit(False))
-            base.repartition(self.buckets, "distinct_id").write.mode("overwrite").parquet(f"{self.path}/base/version={version}")
-            self._record(version, "base", f"base {version}")
+        parts = self.parts()
+        if len(parts) > 1:
+            version = parts[-1]["version"] + 1
+            base = self._folded(parts).filter(F.size("props") > 0).withColumn("deleted", F.lit(False))
+            self._add(base, version, "base", f"base {version}", 0)
 
     def write_user_table(self, path: str, tz: str = "UTC", max_columns: int = MAX_COLUMNS) -> None:
         """The typed user table of the current profiles, sorted and indexed by id."""
