@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,24 +85,32 @@ class WordIds:
         for word in stopped:
             self._add(word, self._ids(word[:-1]) + self._ids(word[-1]))
 
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text, ``END`` behind them."""
-        split = [_folded(x or "").replace("\n", " ").split(" ") for x in texts]
-        words = set().union(*split)
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, ``END`` behind each, and each text's number of ids.
+
+        A batch's words are told apart once; only distinct ones are looked up.
+        """
+        folded = pc.replace_substring(pa.array([_folded(x or "") for x in texts], pa.string()), "\n", " ")
+        split = pc.split_pattern(folded, " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.place) + len(words) > CACHED_WORDS:
             self.clear()
-        self.learn(words.difference(self.place))
+        known = list(map(self.place.get, words))
+        if None in known:
+            self.learn({x for x, at in zip(words, known, strict=True) if at is None})
+            known = list(map(self.place.__getitem__, words))
+        places = np.array(known, np.int64)
+        rows = places[coded.indices.to_numpy(zero_copy_only=False)]
         begins = np.frombuffer(self.begins, np.int64)
         flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
-        out = []
-        for words in split:
-            rows = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            sizes = begins[rows + 1] - begins[rows]
-            ends = np.cumsum(sizes)
-            take = np.arange(int(ends[-1])) + np.repeat(begins[rows] - (ends - sizes), sizes)
-            out.append(np.append(flat[take], np.uint32(END)))
+        sizes = begins[rows + 1] - begins[rows]
+        ends = np.cumsum(sizes)
+        take = np.arange(int(ends[-1])) + np.repeat(begins[rows] - (ends - sizes), sizes)
+        last = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)) - 1
+        ids = np.insert(flat[take], ends[last], np.uint32(END))
         del begins, flat  # arrays in use as buffers cannot grow
-        return out
+        return ids, np.diff(ends[last], prepend=0) + 1
 
 
 def _plain(word: str) -> bool:
@@ -134,11 +143,12 @@ def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
         part, before = TaskContext.get().partitionId(), 0
         encode = _word_ids(tokenizer)
         for batch in small(batches, limit=2 << 20):
-            found = encode(batch.column("text").to_pylist())
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            starts = before + np.cumsum(sizes) - sizes
-            before += int(sizes.sum())
-            arrays = [batch.column("doc_id"), pa.array(np.full(len(found), part)), pa.array(starts), pa.array(sizes), pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())]
+            ids, sizes = encode(batch.column("text").to_numpy(zero_copy_only=False).tolist())
+            ends = np.cumsum(sizes)
+            bounds = pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32))
+            held = pa.Array.from_buffers(pa.binary(), len(sizes), [None, bounds, pa.py_buffer(ids.astype("<u4"))])
+            arrays = [batch.column("doc_id"), pa.array(np.full(len(sizes), part)), pa.array(before + ends - sizes), pa.array(sizes), held]
+            before += int(ends[-1])
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "part", "before", "n", "ids"])
 
     return docs.mapInArrow(run, "doc_id long, part long, before long, n long, ids binary")
