@@ -132,7 +132,8 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     root = prepare(spark)
-    stored = {r["table"]: r["file_bytes"] for r in migrate.storage_report({n: spark.read.parquet(f"{root}/{n}") for n in ("text", "typed")}).collect()}
+    report = migrate.storage_report(spark, {n: f"{root}/{n}" for n in ("text", "typed")}).filter("column = '*'")
+    stored = {r["table"]: r["compressed_bytes"] for r in report.collect()}
     seconds = {}
     for name, query in workloads(spark, root).items():
         run(query)

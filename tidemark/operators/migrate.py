@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -138,27 +141,59 @@ def append_rows(spark: SparkSession, path: str, rows: int = 1000) -> None:
     spark.read.parquet(path).limit(rows).write.mode("append").parquet(path)
 
 
-def storage_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """File bytes, value bytes and their ratio per stored table.
+_CHUNKS = "column string, rows bigint, compressed bigint, uncompressed bigint"
 
-    File sizes come from the scan's own metadata, one row per file after the first
-    aggregate. Value bytes are text lengths plus the widths of fixed-size columns.
-    """
-    reports = None
-    for name, table in tables.items():
-        report = _file_bytes(name, table)
-        reports = report if reports is None else reports.unionAll(report)
-    return reports
 
+def _open(path: str):
+    """A file of any file system that pyarrow knows, by the path Spark has for it."""
+    from pyarrow import fs
 
-def value_bytes(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows and value bytes per table, the part of the report that doesn't depend on files."""
-    reports = None
-    for name, table in tables.items():
-        size = sum((_value_bytes(field) for field in table.schema.fields), F.lit(0).cast("bigint"))
-        report = table.agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("value_bytes")).select(F.lit(name).alias("table"), "*")
-        reports = report if reports is None else reports.unionAll(report)
-    return reports
+    uri = path if "://" in path else "file://" + path.removeprefix("file:")
+    system, place = fs.FileSystem.from_uri(uri)
+    return system.open_input_file(place)
+
+
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows and bytes of every column in every file, from the footers alone."""
+    import pyarrow.parquet as pq
+
+    for batch in batches:
+        sums: dict[str, list[int]] = {}
+        for path in batch.column("path").to_pylist():
+            with _open(path) as source:
+                footer = pq.ParquetFile(source).metadata
+            for group in range(footer.num_row_groups):
+                for k in range(footer.num_columns):
+                    chunk = footer.row_group(group).column(k)
+                    own = sums.setdefault(chunk.path_in_schema, [0, 0, 0])
+                    own[0] += footer.row_group(group).num_rows
+                    own[1] += chunk.total_compressed_size
+                    own[2] += chunk.total_uncompressed_size
+        rows = [(name, *own) for name, own in sums.items()]
+        columns = zip(*rows, strict=True) if rows else [[]] * 4
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["column", "rows", "compressed", "uncompressed"])
+
+
+def storage_report(spark: SparkSession, paths: dict[str, str], files_per_task: int = 256) -> DataFrame:
+    """Stored bytes per table and column, and of each table as a whole (column ``*``).
+
+    ``table, column, rows, compressed_bytes, uncompressed_bytes, ratio_percent``: the sizes of
+    the column chunks as the Parquet footers have them. Spark lists the files without reading
+    them; tasks read the footers, through a file system that pyarrow knows.
+    """
+    report = None
+    for name, path in paths.items():
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path")
+        tasks = max(1, -(-files.count() // files_per_task))
+        sums = files.repartition(tasks).mapInArrow(_footers, _CHUNKS).groupBy("column").agg(
+            F.sum("rows").alias("rows"), F.sum("compressed").alias("compressed_bytes"), F.sum("uncompressed").alias("uncompressed_bytes")
+        )
+        whole = sums.agg(F.lit("*").alias("column"), F.max("rows").alias("rows"), F.sum("compressed_bytes").alias("compressed_bytes"), F.sum("uncompressed_bytes").alias("uncompressed_bytes"))
+        own = sums.unionByName(whole).select(F.lit(name).alias("table"), "*")
+        report = own if report is None else report.unionAll(own)
+    ratio = F.try_divide(F.col("compressed_bytes").cast("double") * 100, F.col("uncompressed_bytes").cast("double"))
+    return report.withColumn("ratio_percent", F.round(ratio, 2))
 
 
 def _value_bytes(field: T.StructField) -> Column:
@@ -169,18 +204,14 @@ def _value_bytes(field: T.StructField) -> Column:
     return F.when(value.isNotNull(), size).otherwise(0).cast("bigint")
 
 
-def _file_bytes(name: str, table: DataFrame) -> DataFrame:
-    row_bytes = sum((_value_bytes(field) for field in table.schema.fields), F.lit(0).cast("bigint"))
-    per_file = table.groupBy(F.col("_metadata.file_path").alias("file")).agg(
-        F.max("_metadata.file_size").alias("file_bytes"),
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(row_bytes).alias("value_bytes"),
-    )
-    totals = per_file.agg(
-        F.count(F.lit(1)).alias("files"),
-        F.sum("rows").alias("rows"),
-        F.sum("file_bytes").alias("file_bytes"),
-        F.sum("value_bytes").alias("value_bytes"),
-    )
-    ratio = F.try_divide(F.col("file_bytes").cast("double") * 100, F.col("value_bytes").cast("double"))
-    return totals.select(F.lit(name).alias("table"), "*", F.round(ratio, 2).alias("ratio_percent"))
+def value_bytes(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table, column, rows, value_bytes``: bytes of the values alone, however they are stored.
+
+    One pass per table; fixed-size values count their width, others their text.
+    """
+    report = None
+    for name, table in tables.items():
+        sums = table.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(_value_bytes(field)).alias(field.name) for field in table.schema.fields])
+        own = sums.unpivot(["rows"], list(table.columns), "column", "value_bytes").select(F.lit(name).alias("table"), "column", "rows", "value_bytes")
+        report = own if report is None else report.unionAll(own)
+    return report

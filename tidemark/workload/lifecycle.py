@@ -295,8 +295,8 @@ def migrate_user(spark, sf_dir):
 def safe_text(spark, sf_dir):
     """Top-level members of each payload as text; null where absent or null."""
     sent = messages(spark, sf_dir).select("seq", F.try_parse_json(source.pick_payload(F.col("data_list"), F.col("data"))).alias("body"))
-    parts = sent.select("seq", *[source.get_text(F.col("body"), key).alias(name) for key, name in (("distinct_id", "user"), ("time", "time"), ("none", "none"))])
-    return parts.filter(F.col("seq") % 16 < 3)
+    keys = {"type": "type", "event": "event", "distinct_id": "user", "time": "time", "lib": "lib", "none": "none"}
+    return sent.select("seq", *[source.get_text(F.col("body"), key).alias(name) for key, name in keys.items()])
 
 
 def zone_times(spark, sf_dir):
@@ -358,5 +358,13 @@ ORACLES = {
     "compacted": """SELECT event_id % 8 < 7 AS merged, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY 1""",
     "migrate_user": """SELECT CAST(c_custkey AS VARCHAR) AS distinct_id, CAST(DATE '2024-01-01' + CAST(c_custkey % 28 AS INTEGER) AS VARCHAR) AS ds,
       'date' AS ds_type, c_name AS name, c_mktsegment AS segment FROM customer""",
-    "safe_text": f"""{MESSAGE_SQL} SELECT event_id AS seq, distinct_id AS user, CAST(ms AS VARCHAR) AS time, NULL AS none FROM ev WHERE shape < 3""",
+    "safe_text": f"""{MESSAGE_SQL}, s AS (SELECT *, shape < 4 OR (shape = 6 AND (event_id // 16) % 8 = 5) AS object FROM ev)
+      SELECT event_id AS seq,
+        CASE WHEN shape IN (3, 6) AND object THEN 'track' WHEN object THEN ['profile_set', 'track_signup', 'profile_increment'][shape + 1] END AS type,
+        CASE WHEN shape = 3 THEN event WHEN object AND shape = 6 THEN '7' END AS event,
+        CASE WHEN shape < 4 THEN distinct_id END AS user,
+        CASE WHEN shape < 3 THEN CAST(ms AS VARCHAR) WHEN shape = 3 THEN CASE event_id % 5 WHEN 0 THEN CAST(ms // 1000 AS VARCHAR)
+          WHEN 1 THEN concat(' ', ms, ' ') WHEN 4 THEN 'n/a' ELSE CAST(ms AS VARCHAR) END END AS time,
+        CASE WHEN shape = 3 THEN concat('{{"$lib":"js","$lib_method":"code","$lib_version":"1.', event_id % 3, '"}}') END AS lib,
+        NULL AS none FROM s""",
 }

@@ -184,19 +184,18 @@ PROPERTY_ORACLE = (
     FROM c, n"""
 )
 
-# Demo numbers repeat after this many, so that times stay within a few years.
-DEMO_NUMBERS = 24_000
 DEMO_ANCHOR = "2024-06-30 12:34:56.789"
 
 
 def demo_source(spark, sf_dir):
     view = event_view(spark, sf_dir)
-    numbers = view.select((F.col("event_id") % DEMO_NUMBERS).alias("number"))
+    numbers = view.select(F.col("event_id").alias("number"))
     rows = demo.seed_demo(view, numbers, F.lit(DEMO_ANCHOR).cast("timestamp"))
     return rows.withColumn("time_ms", F.unix_millis("time")).drop("time")
 
 
-DEMO_ORACLE = f"""WITH n AS (SELECT event_id % {DEMO_NUMBERS} AS number FROM events),
+# The values that the demo source must have (fixed), once more for the check.
+DEMO_ORACLE = f"""WITH n AS (SELECT event_id AS number FROM events),
   t AS (SELECT number, TIMESTAMP '{DEMO_ANCHOR}' - INTERVAL 1 HOUR * (number * 3) AS time FROM n)
 SELECT number, CASE WHEN number % 12 < 5 THEN 'demo_app_open' WHEN number % 12 < 9 THEN 'demo_product_view'
     WHEN number % 12 < 11 THEN 'demo_add_to_cart' ELSE 'demo_purchase' END AS event,
@@ -373,14 +372,22 @@ def append_1000(spark, sf_dir):
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def storage_report(spark, sf_dir):
-    """Rows and value bytes of both copies; file sizes depend on the writer and are not compared."""
+def _both_copies(spark, sf_dir) -> dict[str, str]:
     path = scratch_dir(spark, "storage")
-    legacy = legacy_table(spark, sf_dir).select(*LEGACY_SHOWN)
+    legacy = legacy_table(spark, sf_dir)
     legacy.write.parquet(f"{path}/text")
     migrate.typed_events(legacy).write.parquet(f"{path}/typed")
-    stored = {name: spark.read.parquet(f"{path}/{name}") for name in ("text", "typed")}
-    return migrate.storage_report(stored).select("table", "rows", "value_bytes")
+    return {name: f"{path}/{name}" for name in ("text", "typed")}
+
+
+def storage_report(spark, sf_dir):
+    """Compressed and uncompressed bytes of both copies by column; they depend on the writer, so SQL has none."""
+    return migrate.storage_report(spark, _both_copies(spark, sf_dir))
+
+
+def storage_values(spark, sf_dir):
+    """Bytes of the values of both copies, by column."""
+    return migrate.value_bytes({name: spark.read.parquet(path) for name, path in _both_copies(spark, sf_dir).items()})
 
 
 def migrate_event(spark, sf_dir):
@@ -397,13 +404,21 @@ def migrate_verify(spark, sf_dir):
     return migrate.migrate(spark, legacy_table(spark, sf_dir), scratch_dir(spark, "verify"), 1)
 
 
-LEGACY_SHOWN = ["event", "distinct_id", "os", "screen_width", "wifi"]
-
-STORAGE_ORACLE = f"""WITH ev AS ({VIEW_SQL})
-SELECT 'text' AS "table", count(*) AS rows, CAST(sum(strlen(event) + strlen(distinct_id) + strlen(os) + strlen(screen_width_text) + strlen(wifi_text)) AS BIGINT) AS value_bytes FROM ev
-UNION ALL SELECT 'typed', count(*), CAST(sum(strlen(event) + strlen(distinct_id) + strlen(os)
-  + CASE WHEN TRY_CAST(screen_width_text AS INTEGER) IS NOT NULL THEN 4 ELSE 0 END
-  + CASE WHEN wifi_text IN ('true', 'false') THEN 1 ELSE 0 END) AS BIGINT) FROM ev"""
+_TEXTS = ["event", "distinct_id", "os", "channel"]
+#: SQL of the bytes of each column's values in the all-text and in the typed table.
+VALUE_BYTES = {
+    "event_id": ("8", "8"),
+    "time": ("8", "8"),
+    "ds": ("10", "4"),
+    **{name: (f"strlen({name})", f"strlen({name})") for name in _TEXTS},
+    "screen_width": ("strlen(screen_width_text)", "CASE WHEN TRY_CAST(screen_width_text AS INTEGER) IS NOT NULL THEN 4 ELSE 0 END"),
+    "wifi": ("strlen(wifi_text)", "CASE WHEN wifi_text IN ('true', 'false') THEN 1 ELSE 0 END"),
+}
+STORAGE_ORACLE = f"WITH ev AS ({VIEW_SQL}) " + " UNION ALL ".join(
+    f"SELECT '{table}' AS \"table\", '{name}' AS \"column\", count(*) AS rows, CAST(sum({sizes[i]}) AS BIGINT) AS value_bytes FROM ev"
+    for i, table in enumerate(("text", "typed"))
+    for name, sizes in VALUE_BYTES.items()
+)
 
 
 # Streaming: the input arrives in two parts, each followed by a run to its end.
@@ -510,6 +525,7 @@ QUERIES = {
     "retention_1y": retention_1y,
     "append_1000": append_1000,
     "storage_report": storage_report,
+    "storage_values": storage_values,
     "migrate_event": migrate_event,
     "migrate_verify": migrate_verify,
     "stream_ingest": stream_ingest,
@@ -571,7 +587,7 @@ ORACLES = {
       UNION ALL SELECT 'wifi', count(*) FILTER (WHERE wifi_text <> ''),
         count(*) FILTER (WHERE wifi_text IN ('true', 'false')) FROM ev)
     SELECT "check", legacy, typed, legacy - typed AS lost, true AS ok FROM c""",
-    "storage_report": STORAGE_ORACLE,
+    "storage_values": STORAGE_ORACLE,
     "stream_ingest": STREAM_INGEST_ORACLE,
     "stream_dedup": f"""{MESSAGE_SQL}, r AS (SELECT event FROM main UNION ALL SELECT 'heartbeat' FROM beat)
       SELECT event, count(*) AS events FROM r GROUP BY event""",
