@@ -30,22 +30,67 @@ def lined():
     return [f"{a}\nshort line\n{b}", f"{b.upper()}\n{a}  ", None, "", f"x\n{c}", f"{a}\nshort line\n{b}", f"{c}\n{c}"]
 
 
+def plain_units(text):
+    """Lines and paragraphs with text: kind, first line, lines, begin, end, words, normalised."""
+    out, at, run = [], 0, []
+    for unit, line in enumerate([*(text or "").split("\n"), ""]):
+        plain = re.sub("[ \t]+", " ", line.lower()).strip()
+        if plain:
+            run.append((unit, at, at + len(line), plain))
+            out.append(("line", unit, 1, at, at + len(line), [(unit, plain.count(" ") + 1)], plain))
+        else:
+            if len(run) > 1:
+                out.append(("paragraph", run[0][0], len(run), run[0][1], run[-1][2], [(u, p.count(" ") + 1) for u, _, _, p in run], " ".join(p for *_, p in run)))
+            run = []
+        at += len(line) + 1
+    return out
+
+
+def plain_repeats(texts, ids):
+    by_text: dict = {}
+    for i, text in enumerate(texts):
+        for unit in plain_units(text):
+            by_text.setdefault(unit[-1], []).append((ids[i], i, unit))
+    gone = []
+    for own in by_text.values():
+        own.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2][3]))
+        gone += [(*x, own[0][0], own[0][2][3]) for x in own[1:]]
+    out = set()
+    for i, text in enumerate(texts):
+        places = [u for kind, u, *_ in plain_units(text) if kind == "line"]
+        words = {places.index(u): w for _, row, unit, *_ in gone if row == i for u, w in unit[5]}
+        stretch = {}
+        for p in words:
+            ends = [next(q for q in range(p, sign * 10**6, sign) if q + sign not in words) for sign in (-1, 1)]
+            stretch[p] = sum(words[q] for q in range(ends[0], ends[1] + 1))
+        for doc, row, (kind, u, n, a, b, own, _), kept, start in gone:
+            if row == i:
+                out.add((doc, kind, u, n, a, b, kept, start, sum(w for _, w in own), stretch[places.index(u)], max(stretch.values())))
+    return out
+
+
 def test_repeated_lines_have_their_places(spark, lined):
-    ids = [5, 3, 1, None, 4, 5, None]
+    ids = [5, 3, 1, None, 4, 6, None]
     got = {tuple(r) for r in lines.repeated_lines(clashing(spark, lined, ids)).collect()}
-    by_line: dict = {}
-    for i, text in enumerate(lined):
-        at = 0
-        for unit, line in enumerate((text or "").split("\n")):
-            plain = re.sub(" +", " ", line.lower()).strip()
-            if len(plain.split(" ")) >= lines.FEWEST_WORDS:
-                by_line.setdefault(plain, []).append((ids[i], i, unit, at, at + len(line)))
-            at += len(line) + 1
-    want = set()
-    for own in by_line.values():
-        own.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1], x[3]))
-        want |= {(doc, unit, a, b, own[0][0], own[0][3]) for doc, _, unit, a, b in own[1:]}
-    assert {x[:5] for x in got} == {x[:5] for x in want}
+    assert got == plain_repeats(lined, ids)
+
+
+@pytest.mark.parametrize("share", [1.0, 1e-9])
+def test_paragraphs_meet_copies_wrapped_elsewhere(spark, monkeypatch, share):
+    monkeypatch.setattr(lines, "HOT_SHARE", share)
+    a, b = words(30, 1).split(" "), words(9, 2)
+    wrapped = ["\n".join(" ".join(a[i : i + n]) for i in range(0, 30, n)) for n in (30, 7, 11)]
+    texts = [f"{b}\n\n{wrapped[0]}\n \t\n{b}", f"x\n\n{wrapped[1]}\n\n{b}", wrapped[2], f"{b}\n{b}\n\n\n{b}\n{b}", None, "", "\n\n", words(20_000, 3) + f"\n{b}"]
+    own = [*texts, *texts[:1]]
+    ids = list(range(len(own)))
+    assert {tuple(r) for r in lines.repeated_lines(documents(spark, own, ids)).collect()} == plain_repeats(own, ids)
+    kept = {r[0]: r[1] for r in lines.without_repeats(documents(spark, own, ids)).collect()}
+    assert kept[2] == "" and kept[1] == "x\n\n" and kept[4] is None and kept[7] == own[7].split("\n")[0]
+
+
+def test_no_lines(spark):
+    assert lines.repeated_lines(documents(spark, [])).collect() == []
+    assert lines.without_repeats(documents(spark, [])).collect() == []
 
 
 def test_cut_lines_leave_other_columns(spark, lined):
@@ -54,15 +99,15 @@ def test_cut_lines_leave_other_columns(spark, lined):
     assert got.columns == docs.columns
     texts = {r[0]: r[1] for r in got.collect()}
     assert texts[0] == lined[0] and texts[2] is None and texts[3] == "" and texts[1] == ""
-    assert texts[4] == lined[4] and texts[6] == "" and texts[5] == "short line"
+    assert texts[4] == lined[4] and texts[6] == "" and texts[5] == ""
 
 
 def test_every_line_with_text_may_repeat(spark):
     han = "\u6240\u6709\u6743\u5229\u4fdd\u7559" * 40
     texts = [f"les.\n\n{han}\n \t\nx", f"Les. \n\n{han}\n\t"]
-    got = {(r.doc_id, r.unit) for r in lines.repeated_lines(documents(spark, texts), 1).collect()}
+    got = {(r.doc_id, r.unit) for r in lines.repeated_lines(documents(spark, texts)).collect()}
     assert got == {(1, 0), (1, 2)}
-    assert [r[1] for r in sorted(lines.without_repeats(documents(spark, texts).select("doc_id", "text"), 1).collect())] == [texts[0], "\n\t"]
+    assert [r[1] for r in sorted(lines.without_repeats(documents(spark, texts).select("doc_id", "text")).collect())] == [texts[0], "\n\t"]
 
 
 # 2, decontamination
@@ -169,9 +214,10 @@ def test_nothing_to_pack(spark):
 
 def test_small_word_table_gives_the_same(monkeypatch):
     texts = [words(300, i) for i in range(6)]
-    want = [x.tolist() for x in packing.WordIds(TOKENIZER)(texts)]
+    want, sizes = (x.tolist() for x in packing.WordIds(TOKENIZER)(texts))
+    assert sum(sizes) == len(want)
     monkeypatch.setattr(packing, "CACHED_WORDS", 10)
-    assert [x.tolist() for t in texts for x in packing.WordIds(TOKENIZER)([t])] == want
+    assert [x for t in texts for x in packing.WordIds(TOKENIZER)([t])[0].tolist()] == want
 
 
 # 5, toxicity

@@ -125,13 +125,31 @@ placed AS (
   FROM numbered
 ),
 plain AS (SELECT *, {_PLAIN} AS norm FROM placed),
+texts AS (
+  SELECT doc_id, CAST(unit AS INTEGER) AS unit, start, CAST(start + length(line) AS INTEGER) AS "end", norm,
+    len(string_split(norm, ' ')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS place,
+    unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS paragraph
+  FROM plain WHERE norm <> ''
+),
+units AS (
+  SELECT doc_id, 'line' AS kind, unit, 1 AS lines, start, "end", place, place AS final, w AS n_words, norm FROM texts
+  UNION ALL
+  SELECT doc_id, 'paragraph', min(unit), CAST(count(*) AS INTEGER), min(start), max("end"), min(place), max(place), sum(w), string_agg(norm, ' ' ORDER BY unit)
+  FROM texts GROUP BY doc_id, paragraph HAVING count(*) > 1
+),
 ranked AS (
   SELECT *, first_value(doc_id) OVER earliest AS kept_doc_id, first_value(start) OVER earliest AS kept_start
-  FROM plain WHERE len(string_split(norm, ' ')) >= {lines.FEWEST_WORDS}
-  WINDOW earliest AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, start)
-)
-SELECT doc_id, CAST(unit AS INTEGER) AS unit, start, CAST(start + length(line) AS INTEGER) AS "end", kept_doc_id, kept_start
-FROM ranked WHERE doc_id <> kept_doc_id OR start <> kept_start
+  FROM units WINDOW earliest AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, start)
+),
+gone AS (SELECT * FROM ranked WHERE doc_id <> kept_doc_id OR start <> kept_start),
+runs AS (
+  SELECT doc_id, place, w, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM texts t
+  WHERE EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = t.doc_id AND t.place BETWEEN g.place AND g.final)
+),
+stretches AS (SELECT doc_id, place, sum(w) OVER (PARTITION BY doc_id, run) AS words FROM runs)
+SELECT doc_id, kind, unit, lines, start, "end", kept_doc_id, kept_start, CAST(n_words AS BIGINT) AS n_words,
+  CAST(words AS BIGINT) AS stretch_words, CAST(longest AS BIGINT) AS longest_words
+FROM gone JOIN stretches USING (doc_id, place) JOIN (SELECT doc_id, max(words) AS longest FROM stretches GROUP BY doc_id) USING (doc_id)
 """
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
