@@ -46,7 +46,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_long_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = long_matches.without_repeats(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "spans")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
