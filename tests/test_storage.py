@@ -314,6 +314,56 @@ def test_compaction_keeps_rows_and_the_newest_batch(spark, tmp_path):
     assert tables.read_events(spark, path).count() == rows and (tmp_path / "t" / "batch_id=w-3").exists()
 
 
+class Stopped(Exception):
+    pass
+
+
+def stop_after(monkeypatch, steps):
+    """Let so many folder steps happen, then fail as a killed process would."""
+    left = [steps]
+    for name in ("_move", "_drop"):
+        def step(*args, real=getattr(tables, name)):
+            if not left[0]:
+                raise Stopped
+            left[0] -= 1
+            real(*args)
+
+        monkeypatch.setattr(tables, name, step)
+
+
+@pytest.mark.parametrize("job", ["compact", "delete"])
+def test_a_stopped_replacement_is_finished_by_the_next(spark, tmp_path, monkeypatch, job):
+    rows = event_rows(spark).filter("time < '2023-02-15'").withColumn("event_id", F.unix_seconds("time"))
+    ids = rows.filter("event_id % 7 = 0").select("distinct_id").distinct()
+    kept = sorted(r[0] for r in (rows if job == "compact" else rows.join(ids, "distinct_id", "left_anti")).select("event_id").collect())
+    for steps in range(12):
+        path = str(tmp_path / f"t{steps}")
+        for i in range(3):
+            tables.append_batch(rows.filter(F.col("event_id") / 43200 % 3 == i).coalesce(1), path, f"w-{i}")
+        with monkeypatch.context() as patched:
+            stop_after(patched, steps)
+            try:
+                tables.compact(spark, path) if job == "compact" else tables.delete_from_events(spark, path, ids)
+                done = True
+            except Stopped:
+                done = False
+        tables.recover(spark, path)
+        assert sorted(r["event_id"] for r in tables.read_events(spark, path).collect()) == kept
+        assert not list((tmp_path / f"t{steps}").glob("_new-*"))
+        if done:
+            break
+    assert done and steps > 2
+
+
+def test_a_replacement_without_plan_is_undone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.append_batch(event_rows(spark), path, "w-0")
+    event_rows(spark).write.parquet(f"{path}/_new-half/rows")
+    tables.recover(spark, path)
+    assert tables.read_events(spark, path).count() == event_rows(spark).count()
+    assert not (tmp_path / "t" / "_new-half").exists()
+
+
 def test_ingest_keeps_a_record_with_a_bad_key(spark):
     df = spark.createDataFrame([message(1, 0, "a", **{"no-column": "x", "fine": "y"})], flush.MESSAGE_SCHEMA)
     row = ingest_events(df).first()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -143,16 +144,72 @@ def _folder(path: str, batch: str | None, month: int) -> str:
     return f"{path}/ds_month={month}" if batch is None else f"{path}/batch_id={batch}/ds_month={month}"
 
 
-def _rewrite(spark: SparkSession, path: str, folders: list[tuple[str | None, int]], kept) -> None:
-    """Replace the folders' rows by those that ``kept`` leaves of them.
+# Replacing folders. New files are complete in a hidden folder before a plan of moves is put beside
+# them in one rename; from then on the replacement happens, by this call or by the next one.
+
+
+def _move(fs, source, place) -> None:
+    """One folder into its place, over what is there; nothing if that was done before."""
+    if fs.exists(source):
+        fs.delete(place, True)
+        fs.rename(source, place)
+
+
+def _drop(fs, place) -> None:
+    fs.delete(place, True)
+
 
-    The new files are complete in a hidden folder before the first old one goes; then folders
-    are renamed, without copying.
+def _carry_out(spark: SparkSession, path: str, hidden: str) -> None:
+    """Follow a hidden folder's plan. Every step may be repeated, so a stop between them is no loss.
+
+    New folders come before old ones go: until the end a reader may see rows twice, none never.
     """
+    target, fs = _file_system(spark, path)
+    source = fs.open(target(f"{hidden}/_plan"))
+    plan = json.loads(bytes(source.readAllBytes()).decode())
+    source.close()
+    for name, place in plan["moves"]:
+        _move(fs, target(f"{hidden}/{name}"), target(f"{path}/{place}"))
+    for place in plan["drops"]:
+        _drop(fs, target(f"{path}/{place}"))
+    _drop(fs, target(hidden))
+
+
+def _replace(spark: SparkSession, path: str, hidden: str, moves: list[tuple[str, str]], drops: list[str]) -> None:
+    """Move folders of the complete hidden folder to their places, then drop others."""
+    target, fs = _file_system(spark, path)
+    draft = target(f"{hidden}/_draft")
+    out = fs.create(draft)
+    out.write(bytearray(json.dumps({"moves": moves, "drops": drops}).encode()))
+    out.close()
+    fs.rename(draft, target(f"{hidden}/_plan"))
+    _carry_out(spark, path, hidden)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish replacements that were stopped halfway, and remove those that had no plan yet.
+
+    Every call that replaces folders starts with it; the table has one writing process.
+    """
+    target, fs = _file_system(spark, path)
+    for status in fs.globStatus(target(f"{path}/_new-*")) or []:
+        hidden = f"{path}/{status.getPath().getName()}"
+        if fs.exists(target(f"{hidden}/_plan")):
+            _carry_out(spark, path, hidden)
+        else:
+            _drop(fs, target(hidden))
+
+
+def _relative(batch: str | None, month: int) -> str:
+    return f"ds_month={month}" if batch is None else f"batch_id={batch}/ds_month={month}"
+
+
+def _rewrite(spark: SparkSession, path: str, folders: list[tuple[str | None, int]], kept) -> None:
+    """Replace the folders' rows by those that ``kept`` leaves of them; see ``_replace``."""
     if not folders:
         return
     target, fs = _file_system(spark, path)
-    hidden = f"{path}/_rewrite-{uuid.uuid4().hex}"
+    hidden = f"{path}/_new-{uuid.uuid4().hex}"
     old = _stored(spark, path)
     keys = ["batch_id", "ds_month"] if "batch_id" in old.columns else ["ds_month"]
     wanted = spark.createDataFrame(folders, "batch STRING, month INT")
@@ -161,12 +218,9 @@ def _rewrite(spark: SparkSession, path: str, folders: list[tuple[str | None, int
         here &= F.col("batch_id").cast("string").eqNullSafe(F.col("batch"))
     rows = kept(old.join(F.broadcast(wanted), here, "left_semi")).sortWithinPartitions(*keys, *SORT)
     rows.write.partitionBy(*keys).parquet(hidden)
-    for batch, month in folders:
-        fs.delete(target(_folder(path, batch, month)), True)
-        new = target(_folder(hidden, batch, month))
-        if fs.exists(new):
-            fs.rename(new, target(_folder(path, batch, month)))
-    fs.delete(target(hidden), True)
+    places = [_relative(batch, month) for batch, month in folders]
+    left = {place for place in places if fs.exists(target(f"{hidden}/{place}"))}
+    _replace(spark, path, hidden, [(x, x) for x in places if x in left], [x for x in places if x not in left])
 
 
 def apply_retention(spark: SparkSession, path: str, as_of: dt.datetime) -> list[int]:
@@ -182,6 +236,7 @@ def apply_retention(spark: SparkSession, path: str, as_of: dt.datetime) -> list[
     except ValueError:
         cutoff = as_of.replace(year=as_of.year - 1, day=28)
     first_kept, last_cut = cutoff - dt.timedelta(days=2), cutoff + dt.timedelta(days=2)
+    recover(spark, path)
     target, fs = _file_system(spark, path)
     folders = _month_folders(spark, path)
     expired = [x for x in folders if x[1] < first_kept.year * 100 + first_kept.month]
@@ -202,6 +257,7 @@ def delete_from_events(spark: SparkSession, path: str, ids: DataFrame) -> None:
 
     Only folders that hold such a row are rewritten.
     """
+    recover(spark, path)
     rows = _stored(spark, path)
     batch = F.col("batch_id").cast("string") if "batch_id" in rows.columns else F.lit(None).cast("string")
     hit = rows.join(ids.select("distinct_id"), "distinct_id", "left_semi")
@@ -215,7 +271,7 @@ def compact(spark: SparkSession, path: str) -> list[str]:
     Keys are ``writer-number``. The newest batch of each writer stays as it is, since only that
     one can be written again.
     """
-    target, fs = _file_system(spark, path)
+    recover(spark, path)
     keys = sorted({batch for batch, _ in _month_folders(spark, path) if batch is not None})
     newest: dict[str, int] = {}
     for key in keys:
@@ -226,12 +282,10 @@ def compact(spark: SparkSession, path: str) -> list[str]:
     old = [key for key in keys if key not in live]
     if len(old) < 2:
         return []
-    merged, hidden = f"merged{uuid.uuid4().hex}", f"{path}/_compact-{uuid.uuid4().hex}"
+    merged, hidden = f"merged{uuid.uuid4().hex}", f"{path}/_new-{uuid.uuid4().hex}"
     rows = _stored(spark, path).filter(F.col("batch_id").isin(old)).drop("batch_id", "ds_month")
-    write_events(rows, hidden)
-    for key in old:
-        fs.delete(target(f"{path}/batch_id={key}"), True)
-    fs.rename(target(hidden), target(f"{path}/batch_id={merged}"))
+    write_events(rows, f"{hidden}/rows")
+    _replace(spark, path, hidden, [("rows", f"batch_id={merged}")], [f"batch_id={key}" for key in old])
     return old
 
 
