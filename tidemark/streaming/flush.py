@@ -96,6 +96,7 @@ def start_event_flush(
     typed: bool = False,
     max_columns: int = MAX_COLUMNS,
     remember: str | None = None,
+    profiles: ProfileStore | None = None,
 ) -> StreamingQuery:
     """Decode, drop duplicates, add new columns, store events and refusals.
 
@@ -104,28 +105,28 @@ def start_event_flush(
     as well, by keyed state (``seen.without_seen``, which explains ``remember``). Of copies in
     one flush the first arrival stays. No message is dropped for being late, and event times are
     kept however late it is.
+
+    Given a profile store, profile messages go into it in the same flush, so one stream with one
+    decode serves all three; a flush that is repeated replaces its events and refusals, and the
+    store passes it over.
     """
     writer = writer_name(messages.sparkSession, checkpoint)
 
-    def store(records: DataFrame, key: str) -> None:
-        store_records(records, f"{path}/events", key, typed, tz, max_columns)
-
-    def refuse(refused: DataFrame, key: str) -> None:
-        refused.write.mode("overwrite").parquet(f"{path}/rejects/batch_id={key}")
+    def store(decoded: DataFrame, events: DataFrame, key: str) -> None:
+        rejects(decoded).write.mode("overwrite").parquet(f"{path}/rejects/batch_id={key}")
+        with staged(events, "records") as records:
+            store_records(records, f"{path}/events", key, typed, tz, max_columns)
+        if profiles is not None:
+            profiles.upsert(profile_records(decoded), key)
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        key = f"{writer}-{batch_id}"
         with staged(decode(batch, max_bytes), "decoded") as decoded:
-            refuse(rejects(decoded), key)
-            with staged(drop_exact_duplicates(event_records(decoded)), "records") as records:
-                store(records, key)
+            store(decoded, drop_exact_duplicates(event_records(decoded)), f"{writer}-{batch_id}")
 
     def flush_unseen(batch: DataFrame, batch_id: int) -> None:
-        key = f"{writer}-{batch_id}"
         # One action on the stateful plan; everything else reads what it wrote.
-        with staged(unpacked(batch), "records") as rows:
-            refuse(rows.filter("reason IS NOT NULL").select("seq", "pos", "received_at", "reason"), key)
-            store(rows.filter("reason IS NULL").drop("reason"), key)
+        with staged(unpacked(batch), "unseen") as fresh:
+            store(fresh, event_records(fresh), f"{writer}-{batch_id}")
 
     if horizon is None:
         return start_stream(messages, flush, name, checkpoint, every)

@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.dedup import payload_hash
-from tidemark.sources.messages import text_map
 
 #: Groups that state is dealt to; a stream keeps the number it started with.
 BUCKETS = 256
@@ -33,7 +32,7 @@ STATE_SETTINGS = {
 }
 
 _LEAVES = "array<struct<key:string,kind:string,text:string>>"
-_ROW = "seq bigint, pos int, received_us bigint, event string, reason string, body string"
+_ROW = "seq bigint, pos int, received_us bigint, route string, event string, method string, reason string, body string"
 _KEYED = f"bucket int, digest binary, {_ROW}"
 _ENTRY = "low bigint, high bigint, digests binary"
 _DIGEST = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("at", "<i8")])
@@ -46,7 +45,7 @@ def _micros(spark: SparkSession, interval: str) -> int:
 
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the copies in one Arrow batch the first arrival; refusals, without a digest, all stay.
+    """Of the copies in one Arrow batch the first arrival; rows without a digest all stay.
 
     Runs before the shuffle, so a payload that makes up much of a flush is folded by then.
     """
@@ -59,18 +58,20 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed_rows(decoded: DataFrame, buckets: int) -> DataFrame:
-    """Events and refusals of a decoded stream: bucket, digest (null for refusals), record."""
+    """Events, profiles and refusals of a decoded stream: bucket, digest (of events alone), record."""
     event = F.col("route") == "event"
     whole = F.sha2(F.concat_ws("\0", "event", payload_hash(F.col("leaves"))), 256)
     digest = F.when(event, F.substring(F.unhex(whole), 1, 16))
-    rows = decoded.filter(event | (F.col("route") == "reject")).select(
+    rows = decoded.filter(F.col("route").isin("event", "profile", "reject")).select(
         digest.alias("digest"),
         "seq",
         F.col("pos").cast("int").alias("pos"),
         F.unix_micros("received_at").alias("received_us"),
+        "route",
         "event",
+        "method",
         "reason",
-        F.when(event, F.to_json("leaves")).alias("body"),
+        F.when(F.col("route") != "reject", F.to_json("leaves")).alias("body"),
     )
     bucket = F.pmod(F.xxhash64(F.coalesce("digest", F.col("seq").cast("string").cast("binary"))), F.lit(buckets)).cast("int")
     return rows.select(bucket.alias("bucket"), *rows.columns).mapInArrow(_firsts, _KEYED)
@@ -88,10 +89,10 @@ class SeenDigests(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         first = None
         for frame in rows:
-            refused = frame["digest"].isna()
-            if refused.any():
-                yield frame.loc[refused, list(self._columns())]
-            frame = pd.concat([x for x in (first, frame[~refused]) if x is not None])
+            others = frame["digest"].isna()
+            if others.any():
+                yield frame.loc[others, list(self._columns())]
+            frame = pd.concat([x for x in (first, frame[~others]) if x is not None])
             first = frame.sort_values(_FIRST).drop_duplicates("digest")
         if first is None or not len(first):
             return
@@ -128,12 +129,12 @@ class SeenDigests(StatefulProcessor):
 
 
 def without_seen(decoded: DataFrame, horizon: str, remember: str | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """A decoded stream's events, free of copies, and its refusals.
+    """A decoded stream's events, free of copies, and its profiles and refusals as they are.
 
     Of copies in one flush the first arrival stays. It goes too if a copy that was kept earlier
     is still remembered and was received within the horizon, before or after. ``remember`` is
     the time by the stream's clock for which a kept record is remembered, the horizon unless
-    given: a copy that is read later than that is kept. ``body`` holds an event's properties.
+    given: a copy that is read later than that is kept. ``body`` holds the properties.
     """
     spark = decoded.sparkSession
     keep_ms = max(1, _micros(spark, remember or horizon) // 1000)
@@ -143,7 +144,6 @@ def without_seen(decoded: DataFrame, horizon: str, remember: str | None = None,
 
 
 def unpacked(rows: DataFrame) -> DataFrame:
-    """``without_seen`` rows as records: ``leaves`` and ``props`` from ``body``."""
-    leaves = F.from_json("body", _LEAVES)
-    records = rows.select("seq", "pos", F.timestamp_micros("received_us").alias("received_at"), "event", "reason", leaves.alias("leaves"))
-    return records.withColumn("props", text_map(F.col("leaves")))
+    """``without_seen`` rows in the form of decoded ones."""
+    at = F.timestamp_micros("received_us").alias("received_at")
+    return rows.select("seq", "pos", at, "route", "event", "method", "reason", F.from_json("body", _LEAVES).alias("leaves"))

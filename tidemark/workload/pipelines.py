@@ -491,6 +491,30 @@ SELECT distinct_id, arg_max(concat('name-', event_id), ord) FILTER (WHERE merges
   max(seen) // 1000000 AS received_s FROM o GROUP BY distinct_id HAVING count(*) FILTER (WHERE merges) > 0"""
 
 
+def stream_together(spark, sf_dir):
+    """Events, refusals and profiles of one stream that decodes each message once."""
+    root = scratch_dir(spark, "stream-together")
+    store = profiles.ProfileStore(spark, f"{root}/store", buckets=8)
+
+    def run():
+        stream = flush.read_messages(spark, f"{root}/in")
+        return flush.start_event_flush(
+            stream, f"{root}/out", f"{root}/checkpoint", every=None, horizon="10 minutes", max_bytes=MAX_BYTES, profiles=store
+        )
+
+    _in_two_parts(messages(spark, sf_dir), "received_at", f"{root}/in", run)
+    parts = {
+        "event": (flush.read_flushed(spark, f"{root}/out"), F.col("event")),
+        "reject": (flush.read_rejects(spark, f"{root}/out"), F.col("reason")),
+        "profile": (store.read(), F.concat_ws("-", F.lit("level"), F.col("props")["level"])),
+    }
+    found = None
+    for kind, (rows, name) in parts.items():
+        own = rows.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(kind).alias("kind"), "name", "rows")
+        found = own if found is None else found.union(own)
+    return found
+
+
 def stream_hourly(spark, sf_dir):
     root = scratch_dir(spark, "stream-hourly")
     events = event_view(spark, sf_dir).select("time", "event")
@@ -531,6 +555,7 @@ QUERIES = {
     "stream_ingest": stream_ingest,
     "stream_dedup": stream_dedup,
     "stream_profiles": stream_profiles,
+    "stream_together": stream_together,
     "stream_hourly": stream_hourly,
     **edges.QUERIES,
 }
@@ -592,6 +617,12 @@ ORACLES = {
     "stream_dedup": f"""{MESSAGE_SQL}, r AS (SELECT event FROM main UNION ALL SELECT 'heartbeat' FROM beat)
       SELECT event, count(*) AS events FROM r GROUP BY event""",
     "stream_profiles": STREAM_PROFILES_ORACLE,
+    "stream_together": f"""{MESSAGE_SQL}, r AS (SELECT event FROM main UNION ALL SELECT 'heartbeat' FROM beat),
+      u AS (SELECT arg_max(event_id % 5, CAST(epoch_us(time) + delay_s * 1000000 AS HUGEINT) * 10000000 + event_id) AS level
+        FROM ev WHERE shape < 2 GROUP BY distinct_id)
+      SELECT 'event' AS kind, event AS name, count(*) AS rows FROM r GROUP BY event
+      UNION ALL SELECT 'reject', {REASON_SQL}, count(*) FROM ev WHERE shape = 6 AND (event_id // 16) % 8 <> 6 GROUP BY 2
+      UNION ALL SELECT 'profile', concat('level-', level), count(*) FROM u GROUP BY 2""",
     "stream_hourly": f"""WITH ev AS ({VIEW_SQL}) SELECT epoch_us(time) // 3600000000 * 3600 AS window_start, event,
       count(*) AS events FROM ev GROUP BY 1, 2""",
     **edges.ORACLES,
