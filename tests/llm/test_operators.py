@@ -134,6 +134,15 @@ def test_phrases_in_several_passes_give_the_same(spark, monkeypatch):
     assert {x.n_hit for x in once} == {40}
 
 
+def test_text_item_ids_and_no_documents(spark):
+    phrase = words(13, 4)
+    benchmark = spark.createDataFrame([("b", phrase), ("a", phrase), ("10", None), (None, phrase)], "item_id string, text string")
+    got = decontaminate.contamination(documents(spark, [phrase, "x", words(30_000, 8) + " " + phrase]), benchmark).collect()
+    assert {r.doc_id: r["items"] for r in got} == {0: ["a", "b"], 1: [], 2: ["a", "b"]}
+    assert decontaminate.contamination(documents(spark, []), benchmark).collect() == []
+    assert decontaminate.clean(documents(spark, []), benchmark).collect() == []
+
+
 def test_character_spans_hold_the_words(spark):
     phrase = words(13, 4)
     text = f"É (x) {phrase.upper()}. End"
@@ -486,6 +495,17 @@ def test_audit_counts_vectors_and_says_when_it_knows_nothing(spark):
     assert {r.audited_recall for r in vectors.near_duplicates(apart).collect()} == {None}
 
 
+def test_text_labels_and_extreme_components(spark):
+    v = [0.3, -0.4, 0.5]
+    near = [0.3, -0.4, 0.51]
+    rows = [("a", [x * s for x in v]) for s in (1.0, 1e-200, 1e200, 1e-310, 2.0)] + [("a", [x * 1e300 for x in near]), ("b", v), ("b", [-x for x in v]), (None, v), ("a", [0.0, -0.0, 0.0]), ("a", [1e308, 0.0, 0.0])]
+    for labels in (rows, [(None if x is None else ord(x) + 2**33, y) for x, y in rows]):
+        kind = "string" if labels is rows else "long"
+        table = spark.createDataFrame([(i, y, x) for i, (x, y) in enumerate(labels)], f"vec_id long, embedding array<double>, label {kind}")
+        got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(table).collect()}
+        assert got == {**{i: (5, 0) for i in range(6)}, **{i: (0, i) for i in range(6, 11)}}
+
+
 def test_no_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 

@@ -12,16 +12,18 @@ the index grows with the text that could match.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pick, place_of, text_udf, unnamed
+from tidemark.llm.common import pick, place_of, stage, text_udf, unnamed
 from tidemark.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -144,11 +146,10 @@ def _blocks(benchmark: DataFrame, window: int) -> Iterator[Phrases]:
 _PAIRS = "array<struct<start:int,end:int>>"
 
 
-def _search(phrases: Phrases, spark: SparkSession) -> Callable[[Column], Column]:
+def _search(shared: Broadcast, id_type: pa.DataType) -> Callable[[Column], Column]:
     """What the phrases' windows cover in a text column; each piece of a batch is a shard."""
-    shared = spark.sparkContext.broadcast(phrases)
     pairs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    kind = pa.struct([("n_words", pa.int64()), ("spans", pairs), ("items", pa.list_(pa.int64()))])
+    kind = pa.struct([("n_words", pa.int64()), ("spans", pairs), ("items", pa.list_(id_type))])
 
     def run(texts):
         rows = []
@@ -156,7 +157,7 @@ def _search(phrases: Phrases, spark: SparkSession) -> Callable[[Column], Column]
             rows.append({"n_words": n, "spans": [{"start": a, "end": b} for a, b in spans], "items": items})
         return pa.array(rows, kind)
 
-    return text_udf(run, f"struct<n_words:long,spans:{_PAIRS},items:array<long>>", SHARD_BYTES)
+    return text_udf(run, f"struct<n_words:long,spans:{_PAIRS},items:array<{'string' if pa.types.is_string(id_type) else 'long'}>>", SHARD_BYTES)
 
 
 def _characters(text: Column, spans: Column) -> Column:
@@ -182,23 +183,45 @@ def _union_of(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), F.slice(spans, 1, 0), add)
 
 
+def _in_turn(docs: DataFrame, blocks: Iterator[Phrases], id_type: pa.DataType) -> DataFrame:
+    """``docs`` with ``found``, of several blocks of phrases: one pass over the texts for each.
+
+    Only one block is with the driver and the executors at a time; what it found is written.
+    """
+    context = docs.sparkSession.sparkContext
+    text = F.col(place_of(docs, "text"))
+    rows = stage(unnamed(docs).withColumn("row", F.monotonically_increasing_id()))
+    counts, hits = None, None
+    for phrases in blocks:
+        shared = context.broadcast(phrases)
+        found = rows.select("row", _search(shared, id_type)(text).alias("found"))
+        own = stage(found.select("row", "found.*").filter((F.size("spans") > 0) | F.lit(counts is None)))
+        shared.destroy()
+        counts = own.select("row", "n_words") if counts is None else counts
+        own = own.select("row", "spans", "items").filter(F.size("spans") > 0)
+        hits = own if hits is None else hits.union(own)
+    spans, items = F.flatten(F.collect_list("spans")), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+    hits = hits.groupBy("row").agg(_union_of(spans).alias("spans"), items.alias("items"))
+    both = rows.join(counts, "row").join(hits, "row", "left")
+    empty = [F.coalesce(x, F.array().cast(both.schema[x].dataType)).alias(x) for x in ("spans", "items")]
+    return both.withColumn("found", F.struct("n_words", *empty)).drop("row", "n_words", "spans", "items")
+
+
 def _found(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     """``docs`` with columns by number, and ``n_words, spans, items, n_hit, contaminated``."""
-    spark, text = docs.sparkSession, F.col(place_of(docs, "text"))
-    blocks = list(_blocks(pick(benchmark, "item_id", "text").filter("item_id is not null"), window)) or [Phrases([], window)]
-    found = unnamed(docs)
-    for i, phrases in enumerate(blocks):
-        found = found.withColumn(f"found{i}", _search(phrases, spark)(text))
-
-    def every(field):
-        if len(blocks) == 1:
-            return F.col(f"found0.{field}")
-        whole = F.concat(*[F.col(f"found{i}.{field}") for i in range(len(blocks))])
-        return F.array_sort(F.array_distinct(whole)) if field == "items" else _union_of(whole)
-
-    found = found.withColumns({"n_words": F.col("found0.n_words"), **{x: every(x) for x in ("spans", "items")}})
+    phrases = pick(benchmark, "item_id", "text").filter("item_id is not null")
+    text_ids = phrases.schema["item_id"].dataType.typeName() == "string"
+    id_type = pa.string() if text_ids else pa.int64()
+    blocks = _blocks(phrases, window)
+    first, second = next(blocks, Phrases([], window)), next(blocks, None)
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast(first)
+        found = unnamed(docs).withColumn("found", _search(shared, id_type)(F.col(place_of(docs, "text"))))
+    else:
+        found = _in_turn(docs, itertools.chain([first, second], blocks), id_type)
+    found = found.withColumns({x: F.col(f"found.{x}") for x in ("n_words", "spans", "items")}).drop("found")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x.end - x.start)
-    found = found.drop(*[f"found{i}" for i in range(len(blocks))]).withColumn("n_hit", hit)
+    found = found.withColumn("n_hit", hit)
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

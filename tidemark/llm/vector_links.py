@@ -110,7 +110,7 @@ def _dealt(vectors: DataFrame, at: dict[tuple[int, int], np.ndarray], settings:
                     shards[row] = places[near <= near[0] + slack].tolist()
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("label", "dim", "group", "v")), pa.array(shards, pa.list_(pa.int32()))], ["label", "dim", "group", "v", "shards"])
 
-    dealt = vectors.select("label", "dim", "group", "v").mapInArrow(run, "label int, dim int, group long, v array<double>, shards array<int>")
+    dealt = vectors.select("label", "dim", "group", "v").mapInArrow(run, "label long, dim int, group long, v array<double>, shards array<int>")
     return dealt.select("label", "dim", "group", "v", F.explode("shards").alias("shard"))
 
 
@@ -331,10 +331,10 @@ def _shares(vectors: DataFrame, links: DataFrame, size: int, settings: Settings)
                     p, other = probe[p[hit]], group[own[q[hit]]]
                     for column, values in zip(out, (np.full(len(p), l), np.full(len(p), d), p, other), strict=True):
                         column += values.tolist()
-            arrays = [pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+            arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, ["label", "dim", "probe", "other"])
 
-    true = vectors.select("label", "dim", "group", "v").mapInArrow(compare, "label int, dim int, probe long, other long")
+    true = vectors.select("label", "dim", "group", "v").mapInArrow(compare, "label long, dim int, probe long, other long")
     true = true.withColumn("a", F.greatest("probe", "other")).withColumn("b", F.least("probe", "other"))
     seen = true.join(links.select("a", "b", F.lit(1).alias("found")), ["a", "b"], "left").groupBy("label", "dim", "probe")
     shares: dict[tuple[int, int], list[float]] = {}
@@ -363,7 +363,7 @@ def near_links(vectors: DataFrame, settings: Settings = Settings()) -> tuple[Dat
             break
     weak = [key for key, own in shares.items() if np.mean(own) < settings.recall]
     if weak:
-        these = F.broadcast(vectors.sparkSession.createDataFrame(weak, "label int, dim int"))
+        these = F.broadcast(vectors.sparkSession.createDataFrame(weak, "label long, dim int"))
         links = stage(links.union(_compared(vectors.join(these, ["label", "dim"]), settings)).distinct())
         recall = _mean(audit(vectors, links, settings))
     return links, recall
@@ -373,24 +373,30 @@ def near_duplicates(table: DataFrame, settings: Settings = Settings()) -> DataFr
     """``vec_id, n_links, component_id, kept, audited_recall`` per row of ``table(vec_id, embedding, label)``.
 
     Vectors link when their labels are equal and not null, their lengths are equal, and their
-    cosine is at least ``similarity``. Null and zero vectors and those with null or non-finite
+    cosine is at least ``similarity``. Labels are of any type. Null and zero vectors and those with null or non-finite
     components, or without a label, link with nothing. Equal vectors of a label are one group:
     it counts all its rows as linked, without a list of pairs. ``audited_recall`` is null where no
     audited vector links with a different one. ``component_id`` is the smallest id
     that links reach; repeated ids are rows of their own that share a component only by links.
     """
     rows = pick(table, "vec_id", "embedding", "label").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    squares = F.aggregate("v", F.lit(0.0), lambda n, x: n + x * x)
-    fits = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (squares > 0)
+    largest = F.array_max(F.transform("v", F.abs))
+    fits = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (largest > 0)
     rows = rows.withColumn("fits", F.coalesce(fits, F.lit(False))).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.withColumn("v", F.transform("v", lambda x: x + 0.0))  # one zero, without a sign
+    # A power of two changes no digit, and no square over- or underflows; zeros lose their sign.
+    scale = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2("largest")), F.lit(-1022)).cast("double"))
+    rows = rows.withColumn("largest", F.when(F.col("fits"), largest)).withColumn("scale", F.coalesce(scale, F.lit(1.0)))
+    rows = rows.withColumn("v", F.transform("v", lambda x: x / F.col("scale") + 0.0)).drop("largest", "scale")
     rows = stage(rows.withColumn("size", F.size("v")).withColumn("same", F.sha2(F.array_join("v", ","), 256)))
     unlinked = rows.filter("not fits").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
 
     member = rows.filter("fits")
+    # Whole-number labels stand for themselves; others by a 64-bit hash in the search for links.
+    whole = rows.schema["label"].dataType.typeName() in ("byte", "short", "integer", "long")
+    number = F.col("label").cast("long") if whole else F.xxhash64("label")
     groups = member.groupBy("label", "same").agg(F.min("row").alias("group"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
     groups = stage(groups)
-    firsts = member.join(groups.select("group"), F.col("row") == F.col("group")).select(F.col("label").cast("int").alias("label"), F.col("size").alias("dim"), "group", "v")
+    firsts = member.join(groups.select("group"), F.col("row") == F.col("group")).select(number.alias("label"), F.col("size").alias("dim"), "group", "v")
     links, recall = near_links(stage(firsts), settings)
 
     sizes = groups.select(F.col("group").alias("b"), "n")
