@@ -506,6 +506,26 @@ def test_text_labels_and_extreme_components(spark):
         assert got == {**{i: (5, 0) for i in range(6)}, **{i: (0, i) for i in range(6, 11)}}
 
 
+def test_operators_without_documents(spark):
+    none = documents(spark, [])
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    for found in (long_matches.without_repeats(none), simhash.near_duplicates(none), pii.detect(none), language.identify(none), toxicity.score(none, labels)):
+        assert found.collect() == []
+
+
+def test_operators_take_very_long_texts(spark):
+    own = words(60_000, 31)
+    tail = words(40_000, 32)
+    texts = [own, f"{own} mail a@b.co", tail + own[:1000], "y" * 500_000, None]
+    size = {i: len((t or "").encode()) for i, t in enumerate(texts)}
+    cut = {r.doc_id: (r.n_bytes, len(r.kept), r.spans) for r in long_matches.without_repeats(documents(spark, texts)).collect()}
+    assert {i: x[0] for i, x in cut.items()} == size
+    assert cut[0][1] == 0 and cut[1][1] == size[1] - size[0] and cut[2][1] == size[2] - 1000 and cut[3][1] == 0
+    got = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(documents(spark, texts), words=4).collect()}
+    assert got[0][1] == got[1][1] == 0 and got[2][1] == 2
+    assert [(s.kind, s.start) for r in pii.detect(documents(spark, texts)).collect() if r.doc_id == 1 for s in r.base] == [("email", len(own) + 6)]
+
+
 def test_no_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 

@@ -188,6 +188,7 @@ def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     are rows whose calibrated probability is under the threshold (they keep their language).
     Rows with a null id or null language are predicted but not learnt from. Without any row to
     learn from, all are ``und``. Repeated rows are predicted each; equal texts get equal results.
+    An empty table gives no rows.
     """
     doc_id = F.col(place_of(docs, "doc_id"))
     return _found(docs, settings).select(doc_id.alias("doc_id"), held_out(doc_id, 5, 0).alias("held_out"), "found.*")

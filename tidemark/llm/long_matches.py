@@ -347,7 +347,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     ``spans`` are the maximal byte ranges of the UTF-8 text that strings of ``LENGTH`` bytes cover
     which start at another place of any document too, the same one included; overlaps count, and
     matches don't cross documents. ``kept`` are the other bytes. Null is empty; shorter texts
-    have no such string. Of repeated rows each is the other's match.
+    have no such string. Of repeated rows each is the other's match. An empty table gives no
+    rows.
     """
     texts = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"))
     spans = _spans(texts).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))

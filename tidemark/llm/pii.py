@@ -265,7 +265,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
     Both are arrays of kind, start and end in characters (code points), by kind and place: ``base``
     the identifiers that stand plainly, ``spans`` those and the disguised ones. Null and empty
-    texts have none. Repeated rows get a row each.
+    texts have none. Repeated rows get a row each. An empty table gives no rows.
     """
 
     def run(texts):

@@ -170,7 +170,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 4) -> DataF
     Rows are linked when their fingerprints differ in at most ``distance`` bits;
     ``component_id`` is the smallest id that links reach (null ids are passed over unless a
     component has no other). Null, empty and blank texts have fingerprint zero, which links like
-    any other. Rows that repeat an id or a text stay as they are, each with its component.
+    any other. Rows that repeat an id or a text stay as they are, each with its component. An
+    empty table gives no rows.
     """
     prints = stage(pick(docs, "doc_id", "text").select("doc_id", fingerprint(words)("text").alias("fp")))
     return prints.join(components_of(prints, distance), "fp").select("doc_id", "fp", "component_id")

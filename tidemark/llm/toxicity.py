@@ -339,6 +339,7 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), t
     ``labels(doc_id, toxic)`` teach from ids that aren't held out; of repeated labels the larger
     counts, and null ids or labels teach nothing. Null and empty texts get the score of a text
     without words. Repeated rows are scored each. Without any label all get a score near zero.
+    An empty table gives no rows.
     """
     model = fit(docs, labels, settings)
 

@@ -67,7 +67,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     path is empty, and repeated rules count once. The longest fitting rule wins (host and path
     together, then the longer host, then the later by text); ``rule`` is null and the verdict the
     default where none fits. A null URL or one without ``://`` has an empty host and path, which
-    no rule fits. Repeated rows are judged each.
+    no rule fits. Repeated rows are judged each. Without pages there are no rows.
     """
     spark = pages.sparkSession
     lists = pick(rules, "host", "path", "verdict").filter("host is not null and host <> ''")

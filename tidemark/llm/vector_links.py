@@ -372,12 +372,13 @@ def near_links(vectors: DataFrame, settings: Settings = Settings()) -> tuple[Dat
 def near_duplicates(table: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``vec_id, n_links, component_id, kept, audited_recall`` per row of ``table(vec_id, embedding, label)``.
 
-    Vectors link when their labels are equal and not null, their lengths are equal, and their
-    cosine is at least ``similarity``. Labels are of any type. Null and zero vectors and those with null or non-finite
-    components, or without a label, link with nothing. Equal vectors of a label are one group:
+    Vectors link when their labels, of any type, are equal and not null, their lengths are equal,
+    and their cosine is at least ``similarity``. Null and zero vectors and those with null or
+    non-finite components, or without a label, link with nothing. Equal vectors of a label are one group:
     it counts all its rows as linked, without a list of pairs. ``audited_recall`` is null where no
     audited vector links with a different one. ``component_id`` is the smallest id
     that links reach; repeated ids are rows of their own that share a component only by links.
+    An empty table gives no rows.
     """
     rows = pick(table, "vec_id", "embedding", "label").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     largest = F.array_max(F.transform("v", F.abs))
