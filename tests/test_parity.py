@@ -30,8 +30,8 @@ def test_only_named_queries_lack_sql():
 @pytest.mark.parametrize("name", entry.queries())
 def test_query_equals_oracle(spark, con, name):
     got = spark_rows(entry.queries()[name](spark, SF_DIR))
-    assert got[1]
     if name in WITHOUT_SQL:
+        assert got[1]
         return
     assert difference(got, oracle_rows(con, entry.oracle_sql()[name])) is None
 
