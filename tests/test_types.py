@@ -33,16 +33,16 @@ def test_detect(spark):
     assert [(r["kind"], r["text"], r["got"]) for r in got] == DETECT
 
 
+# By rule: one text of each type, alone and with each other one; the wider type of two wins.
+OF_TYPE = {"Bool": "false", "Int64": "-407", "Float64": "6.25", "String": "birch"}
+WIDTH = list(OF_TYPE)
 SAMPLES = {
-    "ints": (["1", "2", "3"], "int", "Int64"),
-    "floats": (["1.1", "2.2"], "float", "Float64"),
-    "bools": (["true", "false"], "bool", "Bool"),
-    "texts": (["a", "b"], "string", "String"),
-    "mixed": (["1", "hello"], "string", "String"),
-    "numbers": (["1", "2.5"], "string", "Float64"),
-    "times": (["2024-01-01", "1609459200000"], "string", "DateTime"),
-    "time_or_int": (["2024-01-01", "5"], "string", "String"),
-    "bool_or_float": (["true", "2.5"], "string", "Float64"),
+    **{f"{a}-{b}": ([OF_TYPE[a], OF_TYPE[b]], "string", max(a, b, key=WIDTH.index)) for a in WIDTH for b in WIDTH},
+    "bool-kind": (["false"] * 2, "bool", "Bool"),
+    "int-kind": (["-407", "88"], "int", "Int64"),
+    "float-kind": (["6.25", "-0.5"], "float", "Float64"),
+    "times": (["2031-11-05", "1924300800000"], "string", "DateTime"),
+    "time-and-number": (["2031-11-05", "-407"], "string", "String"),
 }
 
 
