@@ -131,6 +131,55 @@ def test_field_diff_statuses(spark):
     got = {r["key"]: r["status"] for r in quality.field_diff(sent, stored).collect()}
     assert got == {"a": "equal", "b": "type_changed", "c": "changed", "d": "equal", "e": "extra"}
     assert quality.field_diff(sent, stored.limit(0)).filter("status = 'missing'").count() == 4
+    assert quality.field_diff(sent.limit(0), stored.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 1 << 20])
+def test_field_diff_of_random_sides(spark, ranges):
+    """Against a dictionary per side; nulls, swapped nulls, and rows without id or key."""
+    rng = random.Random(ranges)
+    sides = []
+    for _ in range(2):
+        side = {}
+        for i in range(60):
+            for key in "abc":
+                if rng.random() < 0.9:
+                    side[i, key] = rng.choice([("x", None), (None, "x"), ("x", "x")]) if i % 3 == 0 else ("v", "String")
+        sides.append(side)
+    none = {(None, "a"): ("x", "String"), (5, None): ("x", "String")}
+    frames = [
+        spark.createDataFrame([(*k, *v) for k, v in {**side, **none}.items()], "record_id INT, key STRING, value STRING, type STRING")
+        for side in sides
+    ]
+    wanted = []
+    for key in {*sides[0], *sides[1]}:
+        a, b = sides[0].get(key), sides[1].get(key)
+        status = "missing" if b is None else "extra" if a is None else "type_changed" if a[1] != b[1] else "changed" if a[0] != b[0] else "equal"
+        wanted.append((*key, status))
+    wanted += [(*key, status) for key in none for status in ("missing", "extra")]
+    # One side may have wider ids than the other.
+    got = quality.field_diff(frames[0], frames[1].withColumn("record_id", F.col("record_id").cast("bigint")), ranges)
+    assert sorted(map(str, [tuple(r) for r in got.collect()])) == sorted(map(str, wanted))
+
+
+def test_field_diff_shuffles_little_when_little_changed(spark, tmp_path):
+    records, keys = 20_000, 20
+    pairs = spark.range(0, records, 1, 4).withColumn("key", F.explode(F.array(*[F.lit(str(i)) for i in range(keys)])))
+    sent = pairs.select(F.col("id").alias("record_id"), "key", F.concat("id", "key").alias("value"), F.lit("String").alias("type"))
+    stored = sent.withColumn("value", F.when((F.col("record_id") % 100 == 0) & (F.col("key") == "3"), "other").otherwise(F.col("value")))
+    sent.write.parquet(str(tmp_path / "sent"))
+    stored.write.parquet(str(tmp_path / "stored"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    got = quality.field_diff(*[spark.read.parquet(str(tmp_path / x)) for x in ("sent", "stored")])
+    counts = {r["status"]: r["count"] for r in got.groupBy("status").count().collect()}
+    assert counts == {"equal": records * keys - records // 100, "changed": records // 100}
+    assert 0 < written() - before < 2 * records * keys / 10
 
 
 def test_estimates_are_close(spark):

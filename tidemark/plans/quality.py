@@ -11,6 +11,7 @@ from tidemark.functions.coerce import event_date
 
 QUANTILE_BUCKETS = 256
 SKETCH_ACCURACY = 10_000
+DIGEST_RANGES = 1 << 20
 
 
 def window_start(time: Column, width: str) -> Column:
@@ -18,13 +19,51 @@ def window_start(time: Column, width: str) -> Column:
     return F.window(time, width)["start"]
 
 
-def field_diff(sent: DataFrame, stored: DataFrame) -> DataFrame:
+def _marked(sent: DataFrame, stored: DataFrame, ranges: int) -> DataFrame:
+    """Both sides as one table with ``side`` (0 sent, 1 stored) and the hash range of the record."""
+    sides = [
+        side.select("record_id", "key", "value", "type", F.lit(number).alias("side"))
+        for number, side in enumerate((sent, stored))
+    ]
+    return sides[0].unionAll(sides[1]).withColumn("range", F.pmod(F.xxhash64("record_id"), F.lit(ranges)))
+
+
+def differing_ranges(marked: DataFrame) -> DataFrame:
+    """``range``: the ranges whose properties are not the same on both sides.
+
+    A range's digest is the sum over its properties of two 64-bit hashes, so it folds before the
+    shuffle and its order does not matter; halves are summed, which cannot overflow. Rows without
+    id or key equal no others, so their ranges always differ.
+    """
+    content = ["record_id", "key", "value", F.col("value").isNull(), "type", F.col("type").isNull()]
+    hashes = [F.xxhash64(F.lit(seed), *content) for seed in (1, 2)]
+    halves = [half for h in hashes for half in (F.shiftright(h, 32), h.bitwiseAND(0xFFFFFFFF))]
+    sign = 1 - 2 * F.col("side")
+    sums = [F.sum(half * sign).alias(f"s{i}") for i, half in enumerate(halves)]
+    alone = F.bool_or(F.col("record_id").isNull() | F.col("key").isNull()).alias("alone")
+    digests = marked.groupBy("range").agg(*sums, alone)
+    differs = F.col("alone")
+    for i in range(len(halves)):
+        differs |= F.col(f"s{i}") != 0
+    return digests.filter(differs).select("range")
+
+
+def field_diff(sent: DataFrame, stored: DataFrame, ranges: int = DIGEST_RANGES) -> DataFrame:
     """Status of every property of every record: sent against stored.
 
-    Both inputs are ``(record_id, key, value, type)`` with unique keys per record.
+    Both inputs are ``(record_id, key, value, type)`` with unique keys per record. Digests per
+    range of records tell where the sides differ; only properties of those ranges are shuffled
+    and joined, all others are equal where they lie. The differing ranges are broadcast, so
+    ``ranges`` bounds them; with far more differing records than ranges every range differs, and
+    all properties meet in the join.
     """
-    a = sent.select("record_id", "key", F.struct("value", "type").alias("sent"))
-    b = stored.select("record_id", "key", F.struct("value", "type").alias("stored"))
+    marked = _marked(sent, stored, ranges)
+    differing = F.broadcast(differing_ranges(marked))
+    near = marked.join(differing, "range", "left_semi")
+    a, b = (
+        near.filter(F.col("side") == number).select("record_id", "key", F.struct("value", "type").alias(name))
+        for number, name in enumerate(("sent", "stored"))
+    )
     status = (
         F.when(F.col("stored").isNull(), "missing")
         .when(F.col("sent").isNull(), "extra")
@@ -32,8 +71,9 @@ def field_diff(sent: DataFrame, stored: DataFrame) -> DataFrame:
         .when(~F.col("sent.value").eqNullSafe(F.col("stored.value")), "changed")
         .otherwise("equal")
     )
-    joined = a.join(b, ["record_id", "key"], "full_outer")
-    return joined.select("record_id", "key", status.alias("status"))
+    joined = a.join(b, ["record_id", "key"], "full_outer").select("record_id", "key", status.alias("status"))
+    same = marked.filter(F.col("side") == 0).join(differing, "range", "left_anti")
+    return joined.unionAll(same.select("record_id", "key", F.lit("equal")))
 
 
 def normal_name(name: Column) -> Column:
