@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import dedup, migrate, profiles
 from tidemark.operators.ingest import ingest, ingest_events
+from tidemark.sources import footers, tables
 from tidemark.sources import messages as source
-from tidemark.sources import tables
 from tidemark.session import scratch_dir
 from tidemark.streaming import flush
 
@@ -314,6 +314,64 @@ def test_compaction_keeps_rows_and_the_newest_batch(spark, tmp_path):
     assert tables.read_events(spark, path).count() == rows and (tmp_path / "t" / "batch_id=w-3").exists()
 
 
+def stored_files(path):
+    return {str(f) for f in Path(path).rglob("*.parquet") if "_new-" not in str(f)}
+
+
+@pytest.mark.parametrize("shape", ["random", "few", "none", "outside"])
+def test_deletion_reads_only_files_that_may_hold_an_id(spark, tmp_path, shape):
+    """Files of narrow id ranges, in random order; against the rows themselves."""
+    rng = random.Random(shape)
+    path, held = str(tmp_path / "t"), {}
+    for batch in range(12):
+        at = rng.randrange(0, 900)
+        ids = [f"u{rng.randrange(at, at + 40):04d}" for _ in range(30)]
+        rows = [(i, AT + dt.timedelta(days=batch), "e") for i in ids]
+        frame = spark.createDataFrame(rows, "distinct_id STRING, time TIMESTAMP, event STRING").withColumn("ds", F.to_date("time"))
+        tables.append_batch(frame.coalesce(1), path, f"w-{batch}")
+        held[f"w-{batch}"] = ids
+    gone = {
+        "random": {f"u{rng.randrange(0, 1000):04d}" for _ in range(60)},
+        "few": {held["w-3"][0], max(held["w-5"]), min(held["w-7"])},
+        "none": set(),
+        "outside": {"a", "z", *(f"u{i}x" for i in range(20))},
+    }[shape]
+    kept = sorted(i for ids in held.values() for i in ids if i not in gone)
+    within = {b for b, ids in held.items() if any(min(ids) <= i <= max(ids) for i in gone)}
+    before = stored_files(path)
+    read = tables.delete_from_events(spark, path, spark.createDataFrame([(i,) for i in gone] * 2, "distinct_id STRING"))
+    assert {f.split("batch_id=")[1].split("/")[0] for f in read} == within
+    assert sorted(r[0] for r in tables.read_events(spark, path).select("distinct_id").collect()) == kept
+    holding = {b for b, ids in held.items() if gone.intersection(ids)}
+    assert {f.split("batch_id=")[1].split("/")[0] for f in before - stored_files(path)} == holding
+
+
+def test_part_of_the_table_by_its_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for key in ("01", "w 1%2-0", "w-2"):
+        tables.append_batch(event_rows(spark).coalesce(1), path, key, empty_text=True)
+    files = tables._stored(spark, path).inputFiles()
+    for key, folder in (("01", "batch_id=01/"), ("w 1%2-0", "batch_id=w"), ("w-2", "batch_id=w-2/")):
+        rows = tables._stored(spark, path, [f for f in files if folder in f and (key != "w 1%2-0" or "batch_id=w-" not in f)])
+        assert {r["batch_id"] for r in rows.select("batch_id").distinct().collect()} == {key}
+        assert rows.schema == tables._stored(spark, path).schema
+
+
+def test_bounds_of_a_text_column(spark, tmp_path):
+    frame = spark.createDataFrame([("b", 1), (None, 2), ("zz", 3)], "distinct_id STRING, n INT")
+    frame.coalesce(1).write.parquet(str(tmp_path / "some"))
+    frame.filter("n = 2").coalesce(1).write.parquet(str(tmp_path / "null"))
+    frame.select("n").coalesce(1).write.parquet(str(tmp_path / "absent"))
+    frame.filter("n = 1").coalesce(1).write.option("parquet.column.statistics.enabled", "false").parquet(str(tmp_path / "blind"))
+    found = {}
+    for name in ("some", "null", "absent", "blind"):
+        files = spark.read.parquet(str(tmp_path / name)).inputFiles()
+        found[name] = [tuple(r)[1:] for r in footers.text_bounds(spark, files, "distinct_id").collect()]
+    assert found["some"] == [("", "zz", True)] and found["null"] == found["absent"] == [("", "", True)]
+    assert found["blind"][0][2] is False
+    assert [tuple(r)[1:] for r in footers.text_bounds(spark, ["nofs://x/y"], "distinct_id").collect()] == [("", "", False)]
+
+
 class Stopped(Exception):
     pass
 

@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.coerce import int_or_null, three_state_bool
+from tidemark.sources.footers import open_file
 from tidemark.sources.tables import write_events, write_users
 
 # The typed table's core columns.
@@ -144,15 +145,6 @@ def append_rows(spark: SparkSession, path: str, rows: int = 1000) -> None:
 _CHUNKS = "column string, rows bigint, compressed bigint, uncompressed bigint"
 
 
-def _open(path: str):
-    """A file of any file system that pyarrow knows, by the path Spark has for it."""
-    from pyarrow import fs
-
-    uri = path if "://" in path else "file://" + path.removeprefix("file:")
-    system, place = fs.FileSystem.from_uri(uri)
-    return system.open_input_file(place)
-
-
 def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows and bytes of every column in every file, from the footers alone."""
     import pyarrow.parquet as pq
@@ -160,7 +152,7 @@ def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sums: dict[str, list[int]] = {}
         for path in batch.column("path").to_pylist():
-            with _open(path) as source:
+            with open_file(path) as source:
                 footer = pq.ParquetFile(source).metadata
             for group in range(footer.num_row_groups):
                 for k in range(footer.num_columns):

@@ -5,9 +5,13 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+
+from tidemark.session import staged
+from tidemark.sources import footers
 
 SORT = ["distinct_id", "event", "time"]
 BLOOM = ["event", "distinct_id", "user_id"]
@@ -83,12 +87,16 @@ def append_batch(events: DataFrame, path: str, batch: str, empty_text: bool = Fa
     append_events(events, f"{path}/batch_id={batch}", mode="overwrite")
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame:
+def _stored(spark: SparkSession, path: str, files: list[str] | None = None) -> DataFrame:
+    """The table's rows, or those of some of its files, by the names ``inputFiles`` gives them."""
     schema = stored_schema(spark, path)
-    if not schema:
-        return spark.read.option("mergeSchema", "true").parquet(path)
-    text = ", ".join(f"`{name}` {kind}" for name, (kind, _) in schema.items())
-    events = spark.read.schema(text).parquet(path)
+    if schema:
+        events = spark.read.schema(", ".join(f"`{name}` {kind}" for name, (kind, _) in schema.items())).parquet(path)
+    else:
+        events = spark.read.option("mergeSchema", "true").parquet(path)
+    if files is not None:
+        # With the whole table's schema, so that folder names get the same types.
+        events = spark.read.schema(events.schema).option("basePath", path).parquet(*map(unquote, files))
     shown = [
         f"coalesce(`{name}`, '') AS `{name}`" if schema.get(name, ("", False))[1] else f"`{name}`"
         for name in events.columns
@@ -252,17 +260,54 @@ def apply_retention(spark: SparkSession, path: str, as_of: dt.datetime) -> list[
     return sorted({month for _, month in folders} - left)
 
 
-def delete_from_events(spark: SparkSession, path: str, ids: DataFrame) -> None:
+def _files_within_reach(spark: SparkSession, bounds: DataFrame, ids: DataFrame) -> list[str]:
+    """Files with a row group whose range of ids holds one of the given ids.
+
+    Ids and range starts are put in one order over all tasks. In each task the next id after a
+    start is a running minimum; where the task has none left, it is the first of a later task.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = bounds.filter("known").select(F.col("low").alias("at"), "file", "high")
+    none = F.lit(None).cast("string")
+    points = ids.select(F.col("distinct_id").alias("at"), none.alias("file"), none.alias("high")).unionAll(known)
+    # A fixed number, since a merged partition would change its number from job to job.
+    ordered = points.repartitionByRange(parts, "at").withColumn("part", F.spark_partition_id())
+    with staged(ordered, "delete-points") as points:
+        own = F.when(F.col("file").isNull(), F.col("at"))
+        onward = Window.partitionBy("part").orderBy(F.desc("at"))
+        later = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+        # One row a part, so the window without a key and the broadcast are bounded.
+        firsts = points.groupBy("part").agg(F.min(own).alias("first")).select("part", F.min("first").over(later).alias("later"))
+        starts = points.withColumn("next", F.min(own).over(onward)).filter("file IS NOT NULL").join(F.broadcast(firsts), "part")
+        hit = starts.filter(F.coalesce("next", "later") <= F.col("high")).select("file").distinct()
+        return [r["file"] for r in hit.collect()]
+
+
+def delete_from_events(spark: SparkSession, path: str, ids: DataFrame) -> list[str]:
     """Delete the rows of the given valid ids (``distinct_id``) from the stored table.
 
-    Only folders that hold such a row are rewritten.
+    Only folders that hold such a row are rewritten. To find them, only files are read whose
+    footers allow one of the ids; up to ``inFilterThreshold`` ids go to the scan as values, so it
+    also skips row groups by their membership index. Returns the files that were read.
     """
     recover(spark, path)
     rows = _stored(spark, path)
-    batch = F.col("batch_id").cast("string") if "batch_id" in rows.columns else F.lit(None).cast("string")
-    hit = rows.join(ids.select("distinct_id"), "distinct_id", "left_semi")
-    holding = [(r["batch"], r["ds_month"]) for r in hit.select(batch.alias("batch"), "ds_month").distinct().collect()]
-    _rewrite(spark, path, holding, lambda kept: kept.join(ids.select("distinct_id"), "distinct_id", "left_anti"))
+    listed = rows.inputFiles()
+    ids = ids.select("distinct_id").distinct()
+    bounds = footers.text_bounds(spark, listed, "distinct_id")
+    with staged(ids, "delete-ids") as ids, staged(bounds, "delete-bounds") as bounds:
+        unknown = {r["file"] for r in bounds.filter("NOT known").select("file").distinct().collect()}
+        read = sorted(unknown.union(_files_within_reach(spark, bounds, ids)))
+        if not read:
+            return read
+        near = rows if len(read) == len(listed) else _stored(spark, path, read)
+        few = int(spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold"))
+        first = [r["distinct_id"] for r in ids.limit(few + 1).collect()]
+        hit = near.filter(F.col("distinct_id").isin(first)) if len(first) <= few else near.join(ids, "distinct_id", "left_semi")
+        batch = F.col("batch_id").cast("string") if "batch_id" in rows.columns else F.lit(None).cast("string")
+        holding = [(r["batch"], r["ds_month"]) for r in hit.select(batch.alias("batch"), "ds_month").distinct().collect()]
+        _rewrite(spark, path, holding, lambda kept: kept.join(ids, "distinct_id", "left_anti"))
+    return read
 
 
 def compact(spark: SparkSession, path: str) -> list[str]:
