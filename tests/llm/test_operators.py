@@ -441,6 +441,27 @@ def test_accepted_rows_keep_their_columns(spark):
     assert got.columns == docs.columns and sorted(r[0] for r in got.collect()) == list(range(240))
 
 
+def test_the_rejection_keeps_the_share_it_names():
+    own = np.random.default_rng(5)
+    for n, share in ((800, 0.995), (500, 0.9)):
+        lost = []
+        for _ in range(300):
+            scores = own.beta(8, 1, n + 1)
+            lost.append(scores[-1] < language.rejection(scores[:-1], share))
+        assert np.mean(lost) <= 1 - share + 0.03
+    scores = np.linspace(0.1, 0.9, 799)
+    assert language.rejection(scores, 0.995) == scores[3] and language.rejection(scores[::-1].copy(), 0.5) == scores[399]
+    assert language.rejection(scores[:198], 0.995) == 0.0 and language.rejection(scores[:0], 0.995) == 0.0
+
+
+def test_the_rejection_prefers_wrong_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    rows = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out AND lang_pred <> 'und'").collect()
+    right = [r.rejected for r in rows if r.lang == r.lang_pred]
+    wrong = [r.rejected for r in rows if r.lang is not None and r.lang != r.lang_pred]
+    assert 0 < np.mean(right) < 0.015 and (not wrong or np.mean(wrong) > 10 * np.mean(right))
+
+
 # 9, vectors
 
 

@@ -29,8 +29,8 @@ class Settings:
     """Labelled rows that the fit may read, over all languages; the rest only get predictions."""
     epochs: int = 8
     rate: float = 0.5
-    keep_share: float = 0.9995
-    """Share of correctly recognised calibration rows that the threshold must accept."""
+    keep_share: float = 0.995
+    """Share of rightly recognised rows that the rejection accepts, measured on calibration rows."""
     seed: int = 7
 
 
@@ -122,6 +122,16 @@ def _sample(docs: DataFrame, settings: Settings) -> tuple[list[str], np.ndarray,
     return languages, share, np.array([place[r.lang] for r in rows])
 
 
+def rejection(right: np.ndarray, keep_share: float) -> float:
+    """Largest threshold under which a further right row falls with at most ``1 - keep_share``.
+
+    The k-th lowest of n scores has a chance of k / (n + 1) above a further one. With too few
+    rows for k = 1 nothing can be promised, so nothing is rejected.
+    """
+    k = int(round((1 - keep_share) * (len(right) + 1), 9))
+    return float(np.partition(right, k - 1)[k - 1]) if k else 0.0
+
+
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Trains on rows of ``docs(doc_id, text, lang, held_out)`` that are not held out."""
     languages, share, wanted = _sample(docs, settings)
@@ -155,8 +165,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
         losses = {t: -np.log(_softmax(logits / t)[np.arange(len(back)), wanted[back]] + 1e-12).mean() for t in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0)}
         temperature = min(losses, key=losses.get)
         sure = _softmax(logits / temperature)
-        right = np.sort(sure.max(axis=1)[sure.argmax(axis=1) == wanted[back]])
-        threshold = min(0.5, float(right[int((1 - settings.keep_share) * len(right))]) * 0.9) if len(right) else 0.0
+        threshold = rejection(sure.max(axis=1)[sure.argmax(axis=1) == wanted[back]], settings.keep_share)
     return Model(languages, table, bias.astype(np.float64), temperature, threshold)
 
 
