@@ -97,6 +97,8 @@ def _stored(spark: SparkSession, path: str, files: list[str] | None = None) -> D
     if files is not None:
         # With the whole table's schema, so that folder names get the same types.
         events = spark.read.schema(events.schema).option("basePath", path).parquet(*map(unquote, files))
+    if not schema:
+        return events
     shown = [
         f"coalesce(`{name}`, '') AS `{name}`" if schema.get(name, ("", False))[1] else f"`{name}`"
         for name in events.columns
