@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -188,3 +189,12 @@ def test_estimates_are_close(spark):
     assert abs(row["p50"] - 5000) < 50
     devices = behavior.unique_devices(df).first()
     assert devices["devices"] == 500 and abs(devices["devices_approx"] - 500) < 60
+
+
+def test_demo_days_reach_back_beyond_year_one(spark):
+    numbers = spark.createDataFrame([(0,), (3_500_000,), (5_913_000,), (6_300_000,)], "number BIGINT")
+    rows = demo.demo_events(numbers, F.lit("2024-06-30 12:00:00").cast("timestamp"), "demo", "Demo")
+    days = [row["demo_day"] for row in rows.orderBy("number").select("demo_day").collect()]
+    since = "SELECT strftime(TIMESTAMP '2024-06-30 12:00:00' - INTERVAL 1 HOUR * (n * 3), '%Y-%m-%d') FROM (VALUES (0), (3500000), (5913000), (6300000)) t(n) ORDER BY n"
+    assert days == [day for (day,) in duckdb.sql(since).fetchall()]
+    assert days[0] == "2024-06-30" and days[2].startswith("0000-") and days[3].startswith("-")
