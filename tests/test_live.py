@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.streaming import live
+from tidemark.streaming import flush, live
 
 AT = dt.datetime(2024, 1, 1)
 EVENTS = "time TIMESTAMP, distinct_id STRING, event STRING, v BIGINT"
@@ -93,3 +93,20 @@ def test_quantiles_without_values(spark, tmp_path):
     feed(spark, str(tmp_path), [(AT, "a", "x", None)], lambda e, out, cp: live.start_live_values(e, out, cp, "v", every=None))
     row = live.read_live_quantiles(spark, f"{tmp_path}/out", [0.5]).first()
     assert row["rows"] == 0 and row["q0"] is None
+
+
+def test_message_files_are_read_by_rows(spark, tmp_path):
+    """A batch of the columnar reader would hold thousands of messages, each of up to megabytes."""
+    root = str(tmp_path)
+    sent = [(1, AT, "", '[{"event":"a","distinct_id":"u"}]'), (2, AT, "", "bad")]
+    spark.createDataFrame(sent, flush.MESSAGE_SCHEMA).coalesce(1).write.parquet(f"{root}/in")
+    before = spark.conf.get(flush.BY_ROWS)
+    messages = flush.read_messages(spark, f"{root}/in")
+    assert messages.sparkSession.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+    query = flush.start_event_flush(messages, f"{root}/out", f"{root}/cp", every=None)
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    assert "FileScan" in plan and "Batched: false" in plan and "ColumnarToRow" not in plan
+    assert spark.conf.get(flush.BY_ROWS) == before
+    assert [r["seq"] for r in flush.read_flushed(spark, f"{root}/out").collect()] == [1]
+    assert [r["seq"] for r in flush.read_rejects(spark, f"{root}/out").collect()] == [2]
