@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 from hypothesis import HealthCheck, Phase, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -233,3 +234,15 @@ def test_fast_and_slow_paths_agree(spark):
     )
     for row in df.collect():
         assert [tuple(x) for x in row["slow"]] == [tuple(x) for x in row["fast"]]
+
+
+def test_messages_of_one_partition_are_decoded_by_many_tasks(spark):
+    own = random.Random(1)
+    rows = [(n, None, "", '{"type":"track","event":"e","pad":"%s"}' % own.randbytes(1500).hex()) for n in range(4000)]
+    rows.append((4000, None, "", '{"event":"big","pad":"%s"}' % ("x" * 5000)))
+    schema = "seq BIGINT, received_at TIMESTAMP, data_list STRING, data STRING"
+    sent = spark.createDataFrame(rows, schema).coalesce(1)
+    decoded = source.decode(sent, 4096).withColumn("task", F.spark_partition_id())
+    found = decoded.groupBy("route", "reason").agg(F.countDistinct("task").alias("tasks"), F.count(F.lit(1)).alias("rows")).collect()
+    assert {(r["route"], r["reason"], r["rows"]) for r in found} == {("event", None, 4000), ("reject", "payload_too_large", 1)}
+    assert max(r["tasks"] for r in found) > 1

@@ -1,8 +1,8 @@
 """Raw messages -> routed records with flat properties.
 
 Input rows are ``(seq BIGINT, received_at TIMESTAMP, data_list STRING, data STRING)``. All
-work on a message happens inside its own row: nothing is shuffled until records are
-deduplicated or merged.
+work on a message happens inside its own row, and most of it is computing: messages are dealt
+to all cores first, for a small file of many messages would be read by few tasks.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ def message_type(value: Column) -> Column:
     return F.try_variant_get(value, "$.type", "string")
 
 
-def _route(payload: Column, body: Column, items: Column, max_bytes: int) -> Column:
-    """(route, reason) of a whole message."""
+def _route(size: Column, body: Column, items: Column, max_bytes: int) -> Column:
+    """(route, reason) of a whole message; ``size`` is that of its payload in bytes."""
 
     def reject(reason: str) -> Column:
         return F.struct(F.lit("reject").alias("route"), F.lit(reason).alias("reason"))
@@ -55,8 +55,8 @@ def _route(payload: Column, body: Column, items: Column, max_bytes: int) -> Colu
         items, lambda item: F.is_variant_null(item) | variant.as_object(item).isNotNull()
     )
     return (
-        F.when(payload.isNull(), reject(MISSING))
-        .when(F.octet_length(payload) > max_bytes, reject(TOO_LARGE))
+        F.when(size.isNull(), reject(MISSING))
+        .when(size > max_bytes, reject(TOO_LARGE))
         .when(body.isNull(), reject(UNDECODABLE))
         .when(items.isNotNull() & (F.size(items) > 0) & all_objects, accept("event"))
         .when(items.isNotNull(), reject(BAD_SHAPE))
@@ -67,6 +67,15 @@ def _route(payload: Column, body: Column, items: Column, max_bytes: int) -> Colu
     )
 
 
+def _spread(messages: DataFrame, max_bytes: int) -> DataFrame:
+    """(seq, received_at, size, payload), dealt to tasks; payloads beyond the limit stay behind."""
+    payload = pick_payload(F.col("data_list"), F.col("data"))
+    sent = messages.select("seq", "received_at", payload.alias("payload"))
+    sized = once(sent, size=F.octet_length("payload"))
+    fits = F.when(F.col("size") <= max_bytes, F.col("payload"))
+    return sized.select("seq", "received_at", "size", fits.alias("payload")).repartition("seq", "received_at")
+
+
 def decode(messages: DataFrame, max_bytes: int = MAX_PAYLOAD_BYTES) -> DataFrame:
     """One row per record: event elements, profiles, rejects, and accepted blanks.
 
@@ -75,14 +84,10 @@ def decode(messages: DataFrame, max_bytes: int = MAX_PAYLOAD_BYTES) -> DataFrame
     one without ``$``, then the smaller path; ``collisions`` counts the losers.
     """
     configure(messages.sparkSession)
-    sent = messages.select(
-        "seq", "received_at", pick_payload(F.col("data_list"), F.col("data")).alias("payload")
-    )
-    fits = F.when(F.octet_length("payload") <= max_bytes, F.col("payload"))
-    parsed = once(sent, marked=variant.parse_marked(fits))
+    parsed = once(_spread(messages, max_bytes), marked=variant.parse_marked(F.col("payload")))
     parsed = once(parsed, body=variant.whole_value(F.col("marked")))
     parsed = once(parsed, items=variant.as_array(F.col("body")))
-    routed = once(parsed, routed=_route(F.col("payload"), F.col("body"), F.col("items"), max_bytes))
+    routed = once(parsed, routed=_route(F.col("size"), F.col("body"), F.col("items"), max_bytes))
     elements = (
         F.when(F.col("routed.route") == "event", F.coalesce("items", F.array("body")))
         .when(F.col("routed.route") == "profile", F.array("body"))
