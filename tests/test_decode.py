@@ -7,7 +7,7 @@ import random
 from hypothesis import HealthCheck, Phase, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.functions import variant
+from tidemark.functions import plain_json, variant
 from tidemark.sources import messages as source
 
 AT = dt.datetime(2024, 1, 1)
@@ -246,3 +246,54 @@ def test_messages_of_one_partition_are_decoded_by_many_tasks(spark):
     found = decoded.groupBy("route", "reason").agg(F.countDistinct("task").alias("tasks"), F.count(F.lit(1)).alias("rows")).collect()
     assert {(r["route"], r["reason"], r["rows"]) for r in found} == {("event", None, 4000), ("reject", "payload_too_large", 1)}
     assert max(r["tasks"] for r in found) > 1
+
+
+def _any_message(own: random.Random) -> str:
+    def number():
+        return own.choice(["0", "-0", "7", "-5", "1.50", "-0.0", "12.0", "0.000000125", "1e2", "-2.5E3", "1.5e-7", "0e1",
+                           "1.704067211172e12", "1e16", "99999999999999999999999", "9" * 39, "0.1" * 1, "3.14159", "1e400",
+                           str(own.getrandbits(60)), f"{own.random():.6f}", "1.0e0", "100.00", "-1e-2"])
+
+    def text():
+        return own.choice(['"a"', '""', '"$x"', '"é"', '"a,[b"', '"<&>"', r'"q\"r"', r'"é"', '"{"', '"x:y"', '"\x7f"', '"1"', '" "'])
+
+    def value(depth):
+        kind = own.randrange(9 if depth < 4 else 6)
+        if kind < 2:
+            return number()
+        if kind < 4:
+            return text()
+        if kind < 6:
+            return own.choice(["true", "false", "null"])
+        if kind < 8:
+            return members(depth + 1)
+        return "[" + own.choice([",", " , "]).join(value(depth + 1) for _ in range(own.randrange(4))) + "]"
+
+    def members(depth):
+        names = own.choices(["a", "$a", "b", "$c", "C", "d", "", "$", "$$e", "é", "g.h", "event", "type", "k1", "k2", "k3"], k=own.randrange(5))
+        return "{" + ",".join(f'"{name}":{value(depth)}' for name in names) + "}"
+
+    def record():
+        name = own.choice(['"e1"', '"e2"', "7", "null", '"e3"'])
+        return own.choice([members(0), "{" + f'"type":{own.choice([chr(34) + "track" + chr(34), chr(34) + "profile_set" + chr(34), "1", "null"])},"event":{name},"$properties":{members(0)}' + "}", "null"])
+
+    return own.choice([record, record, lambda: "[" + ",".join(record() for _ in range(own.randrange(4))) + "]", lambda: value(0), lambda: "[" + record() + "] x", lambda: " " + record() + "\n"])()
+
+
+def test_plain_messages_give_what_the_expressions_give(spark, monkeypatch):
+    own = random.Random(5)
+    rows = [(n, dt.datetime(2024, 1, 1), "", _any_message(own)) for n in range(3000)]
+    sent = spark.createDataFrame(rows, "seq BIGINT, received_at TIMESTAMP, data_list STRING, data STRING")
+
+    def found():
+        decoded = source.decode(sent, 4096)
+        sorted_leaves = F.to_json(F.array_sort("leaves")).alias("leaves")
+        columns = [name for name in decoded.columns if name != "leaves"]
+        return sorted(map(tuple, decoded.select(*columns, sorted_leaves).collect()), key=str)
+
+    both = found()
+    payload = F.col("data")
+    settled = sent.filter(plain_json.settled(payload, F.octet_length(payload)).isNotNull()).count()
+    assert 600 < settled < 2700
+    monkeypatch.setattr(plain_json, "PLAIN_BYTES", -1)
+    assert both == found()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions import variant
+from tidemark.functions import plain_json, variant
 from tidemark.functions.variant import once
 from tidemark.session import configure
 
@@ -24,6 +24,8 @@ UNDECODABLE = "undecodable"
 BAD_SHAPE = "invalid_format"
 BAD_NAME = "event_not_string"
 
+_ITEM = "struct<method:string,leaves:array<struct<key:string,kind:string,text:string>>>"
+
 
 def pick_payload(data_list: Column, data: Column) -> Column:
     return F.coalesce(F.nullif(data_list, F.lit("")), F.nullif(data, F.lit("")))
@@ -84,7 +86,10 @@ def decode(messages: DataFrame, max_bytes: int = MAX_PAYLOAD_BYTES) -> DataFrame
     one without ``$``, then the smaller path; ``collisions`` counts the losers.
     """
     configure(messages.sparkSession)
-    parsed = once(_spread(messages, max_bytes), marked=variant.parse_marked(F.col("payload")))
+    sent = _spread(messages, max_bytes)
+    sent = sent.withColumn("plain", plain_json.settled(F.col("payload"), F.col("size")))
+    is_plain = F.col("plain").isNotNull()
+    parsed = once(sent, marked=variant.parse_marked(F.when(~is_plain, F.col("payload"))))
     parsed = once(parsed, body=variant.whole_value(F.col("marked")))
     parsed = once(parsed, items=variant.as_array(F.col("body")))
     routed = once(parsed, routed=_route(F.col("size"), F.col("body"), F.col("items"), max_bytes))
@@ -93,24 +98,27 @@ def decode(messages: DataFrame, max_bytes: int = MAX_PAYLOAD_BYTES) -> DataFrame
         .when(F.col("routed.route") == "profile", F.array("body"))
         .otherwise(F.array(F.lit(None).cast("variant")))
     )
+    nothing = F.lit(None)
+    settled = F.transform("plain.items", lambda item: F.struct(nothing.cast("variant").alias("element"), item.alias("settled")))
+    walked = F.transform(elements, lambda item: F.struct(item.alias("element"), nothing.cast(_ITEM).alias("settled")))
     records = routed.select(
         "seq",
         "received_at",
-        "routed.route",
-        "routed.reason",
-        F.posexplode(elements).alias("pos", "element"),
-    )
+        F.when(is_plain, F.col("plain.route")).otherwise(F.col("routed.route")).alias("route"),
+        F.when(~is_plain, F.col("routed.reason")).alias("reason"),
+        F.posexplode(F.when(is_plain, settled).otherwise(walked)).alias("pos", "item"),
+    ).select("*", "item.*").drop("item")
     return _name_records(_with_leaves(records))
 
 
 def _with_leaves(records: DataFrame) -> DataFrame:
-    """Add ``leaves`` and ``collisions``.
+    """Add ``leaves`` and ``collisions``; plain messages have their leaves already.
 
-    One regular expression over the canonical text finds the members of most records. Those
+    One regular expression over the canonical text finds the members of most other records. Those
     it cannot settle, such as records with colliding keys, are walked level by level.
     """
     element = F.col("element")
-    method = F.when(F.col("route") == "profile", message_type(element))
+    method = F.coalesce("settled.method", F.when(F.col("route") == "profile", message_type(element)))
     texts = once(records, json=F.to_json(element), method=method)
     paired = once(texts, pairs=variant.pairs(F.col("json")))
     walk = F.array_sort(variant.leaves(variant.flat_entries(element)))
@@ -124,10 +132,10 @@ def _with_leaves(records: DataFrame) -> DataFrame:
         lambda e: F.struct(e["key"].alias("key"), e["kind"].alias("kind"), e["text"].alias("text")),
     )
     is_plain = F.col("found").isNull()
-    leaves = F.when(is_plain, variant.pair_leaves(F.col("pairs"))).otherwise(slim)
+    leaves = F.coalesce("settled.leaves", F.when(is_plain, variant.pair_leaves(F.col("pairs"))).otherwise(slim))
     settled = once(walked, leaves=leaves)
     losers = F.when(is_plain, 0).otherwise(F.size("found") - F.size("leaves"))
-    return settled.withColumn("collisions", losers).drop("element", "json", "pairs", "found")
+    return settled.withColumn("collisions", losers).drop("element", "settled", "json", "pairs", "found")
 
 
 def _name_records(flat: DataFrame) -> DataFrame:
