@@ -105,9 +105,11 @@ def typed_table(
     Absent or unconvertible is NULL, times are whole seconds. A value that does not convert to
     its column's type is kept as text in ``other`` and counted in ``unconverted``.
     """
+    # Only what is looked up: a map is searched entry by entry for every column.
+    wanted = ["time", *[name for name, _ in columns if name not in EVENT_CORE]]
     by_key = F.map_from_entries(
         F.transform(
-            "leaves",
+            F.filter("leaves", lambda e: e["key"].isin(wanted)),
             lambda e: F.struct(
                 e["key"].alias("key"),
                 F.struct(e["kind"].alias("kind"), e["text"].alias("text")).alias("value"),

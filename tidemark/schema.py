@@ -49,6 +49,9 @@ EVENT_SCHEMA = T.StructType(
 )
 
 
+# Up to this many columns are looked up in the map of properties one by one.
+FEW_COLUMNS = 32
+
 # Columns that rows carry beside their properties, and that folders are named by.
 RESERVED = ["seq", "pos", "received_at", "props", "other", "payload_hash", "ds_month", "batch_id", "unconverted"]
 
@@ -84,6 +87,14 @@ def event_rows(
     timed = once(records, time=coerce.event_time(props["time"], F.col("received_at")))
     # Two steps, so that the generated code of each stays small enough to be compiled.
     parsed = once(timed, **{name: column_value(name, props) for name in PARSED})
+    names = [name for name in extra if name not in EVENT_CORE]
+    texts = [name for name in names if name != "revenue"]
+    if len(texts) > FEW_COLUMNS:
+        # A map is searched entry by entry for every column, so only what columns hold is kept.
+        held = F.map_filter(props, lambda key, _: key.isin(texts))
+        parsed, source = once(parsed, _held=held), "_held['{}']"
+    else:
+        source = "props['{}']"
     return parsed.select(
         *keep,
         "time",
@@ -91,15 +102,15 @@ def event_rows(
         "event",
         *PARSED,
         *[column_value(name, props).alias(name) for name in EVENT_TEXT],
-        *[text_column(name) for name in extra if name not in EVENT_CORE],
+        *[text_column(name, source) for name in names],
     )
 
 
-def text_column(name: str) -> Column:
+def text_column(name: str, source: str) -> Column:
     """A property beyond the core columns, as one expression; tables may have many."""
     if name == "revenue":
         return column_value(name, F.col("props")).alias(name)
-    return F.expr(f"coalesce(props['{name}'], '') AS `{name}`")
+    return F.expr(f"coalesce({source.format(name)}, '') AS `{name}`")
 
 
 def user_rows(
