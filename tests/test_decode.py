@@ -3,11 +3,13 @@
 import datetime as dt
 import json
 import random
+import re
 
 from hypothesis import HealthCheck, Phase, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import plain_json, variant
+from tidemark.schema import event_rows
 from tidemark.sources import messages as source
 
 AT = dt.datetime(2024, 1, 1)
@@ -297,3 +299,12 @@ def test_plain_messages_give_what_the_expressions_give(spark, monkeypatch):
     assert 600 < settled < 2700
     monkeypatch.setattr(plain_json, "PLAIN_BYTES", -1)
     assert both == found()
+
+
+def test_wide_projections_leave_whole_stages(spark):
+    """A generated method over 8,000 bytes is never compiled by the JVM."""
+    records = spark.createDataFrame([("a", AT, {"time": "1"})], "event STRING, received_at TIMESTAMP, props MAP<STRING, STRING>")
+    plan = event_rows(records, [f"c{i}" for i in range(30)])._jdf.queryExecution()
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")))
+    limit = int(spark.conf.get("spark.sql.codegen.hugeMethodLimit"))
+    assert limit == 8000 and max(map(int, sizes)) > limit

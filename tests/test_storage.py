@@ -254,6 +254,17 @@ def test_stream_horizon_spans_flushes(spark, tmp_path):
     assert sorted(r["event"] for r in rows) == ["a", "b", "hot"]
 
 
+def test_a_flush_with_a_horizon_is_staged_once(spark, tmp_path, monkeypatch):
+    root, labels = str(tmp_path), []
+    staged = flush.staged
+    monkeypatch.setattr(flush, "staged", lambda df, label: labels.append(label) or staged(df, label))
+    write(spark, [message(1, 0, "a"), message(1, 1, "a"), message(3, 2, "b")], f"{root}/in")
+    run_events(spark, root, horizon="10 minutes")
+    assert labels == ["unseen"]
+    events = flush.read_flushed(spark, f"{root}/out")
+    assert sorted(row["event"] for row in events.collect()) == ["a", "b"]
+
+
 def remembered(spark, root):
     """Digests in the stream's state."""
     rows = spark.read.format("statestore").option("stateVarName", "seen").load(f"{root}/cp")
