@@ -301,6 +301,30 @@ def test_plain_messages_give_what_the_expressions_give(spark, monkeypatch):
     assert both == found()
 
 
+def test_one_route_alone(spark, monkeypatch):
+    own = random.Random(5)
+    sent = frame(spark, [_any_message(own) for _ in range(600)]).cache()
+    for _ in range(2):  # by the helper, then by the expressions
+        both = source.decode(sent)
+        for route in ("event", "profile"):
+            alone = source.decode(sent, only=route)
+            assert alone.filter(~F.col("route").isin(route, "unnamed", "reject")).isEmpty()
+            wanted = both.filter(F.col("route") == route)
+            assert wanted.count() > 20
+            columns = ["seq", "pos", "route", "event", "method", "leaves"]
+            found = alone.filter(F.col("route") == route).select(columns)
+            assert found.exceptAll(wanted.select(columns)).isEmpty() and wanted.select(columns).exceptAll(found).isEmpty()
+        monkeypatch.setattr(plain_json, "PLAIN_BYTES", -1)
+
+
+def test_members_of_other_routes_are_not_looked_at():
+    rows = plain_json._Rows("profile")
+    for payload in (b'[{"event":"a","b":1}]', b'{"type":"track","event":"a"}', b'{"type":"profile_set","name":"x"}'):
+        rows.add(payload)
+    assert rows.column().to_pylist()[:2] == [{"route": "event", "items": []}] * 2
+    assert rows.keys == ["name", "type"]
+
+
 def test_wide_projections_leave_whole_stages(spark):
     """A generated method over 8,000 bytes is never compiled by the JVM."""
     records = spark.createDataFrame([("a", AT, {"time": "1"})], "event STRING, received_at TIMESTAMP, props MAP<STRING, STRING>")

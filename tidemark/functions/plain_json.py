@@ -104,7 +104,8 @@ def _flatten(members: dict, found: dict, depth: int) -> None:
 class _Rows:
     """Settled messages as flat lists, which make up one Arrow column."""
 
-    def __init__(self) -> None:
+    def __init__(self, only: str | None = None) -> None:
+        self.only = only
         self.routes: list[str | None] = []
         self.items, self.methods, self.ends = [0], [], [0]
         self.keys, self.kinds, self.texts = [], [], []
@@ -126,17 +127,19 @@ class _Rows:
         if type(body) is list:
             if not body or any(item is not None and type(item) is not dict for item in body):
                 return None
-            for item in body:
-                self._record(None, item or {})
+            if self.only in (None, "event"):
+                for item in body:
+                    self._record(None, item or {})
             return "event"
         if type(body) is not dict:
             return None
         method = body.get("type")
         if method is not None and type(method) is not str:
             return None
-        is_event = method == "track"
-        self._record(None if is_event else method, body)
-        return "event" if is_event else "profile"
+        route = "event" if method == "track" else "profile"
+        if self.only in (None, route):
+            self._record(None if route == "event" else method, body)
+        return route
 
     def _record(self, method: str | None, members: dict) -> None:
         found: dict = {}
@@ -178,17 +181,21 @@ class _Rows:
         return pa.StructArray.from_arrays([routes, per_message], names=["route", "items"], mask=routes.is_null())
 
 
-def _settle_batch(payloads: pa.Array) -> pa.Array:
+def _settle_batch(payloads: pa.Array, only: str | None = None) -> pa.Array:
     parts = []
     for start in range(0, max(len(payloads), 1), _CHUNK):
-        rows = _Rows()
+        rows = _Rows(only)
         for payload in payloads[start : start + _CHUNK].cast(pa.binary()).to_pylist():
             rows.add(payload)
         parts.append(rows.column())
     return pa.concat_arrays(parts)
 
 
-def settled(payload: Column, size: Column) -> Column:
-    """(route, items) of a plain message, NULL for all others."""
+def settled(payload: Column, size: Column, only: str | None = None) -> Column:
+    """(route, items) of a plain message, NULL for all others; no items but of the route ``only``."""
+
+    def settle(payloads: pa.Array) -> pa.Array:
+        return _settle_batch(payloads, only)
+
     short = F.when(size <= PLAIN_BYTES, payload)
-    return F.arrow_udf(_settle_batch, _TYPE)(short)
+    return F.arrow_udf(settle, _TYPE)(short)

@@ -78,21 +78,26 @@ def _spread(messages: DataFrame, max_bytes: int) -> DataFrame:
     return sized.select("seq", "received_at", "size", fits.alias("payload")).repartition("seq", "received_at")
 
 
-def decode(messages: DataFrame, max_bytes: int = MAX_PAYLOAD_BYTES) -> DataFrame:
+def decode(messages: DataFrame, max_bytes: int = MAX_PAYLOAD_BYTES, only: str | None = None) -> DataFrame:
     """One row per record: event elements, profiles, rejects, and accepted blanks.
 
     ``leaves`` holds ``(key, kind, text)`` per property, with ``$`` stripped and nested
     objects flattened. When several paths give the same key, the shallowest wins, then the
     one without ``$``, then the smaller path; ``collisions`` counts the losers.
+
+    Given a route (``event`` or ``profile``), messages of any other have no rows, and their members
+    are not looked at.
     """
     configure(messages.sparkSession)
     sent = _spread(messages, max_bytes)
-    sent = sent.withColumn("plain", plain_json.settled(F.col("payload"), F.col("size")))
+    sent = sent.withColumn("plain", plain_json.settled(F.col("payload"), F.col("size"), only))
     is_plain = F.col("plain").isNotNull()
     parsed = once(sent, marked=variant.parse_marked(F.when(~is_plain, F.col("payload"))))
     parsed = once(parsed, body=variant.whole_value(F.col("marked")))
     parsed = once(parsed, items=variant.as_array(F.col("body")))
     routed = once(parsed, routed=_route(F.col("size"), F.col("body"), F.col("items"), max_bytes))
+    if only:
+        routed = routed.filter(F.coalesce("plain.route", "routed.route") == only)
     elements = (
         F.when(F.col("routed.route") == "event", F.coalesce("items", F.array("body")))
         .when(F.col("routed.route") == "profile", F.array("body"))
