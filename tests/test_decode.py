@@ -325,6 +325,12 @@ def test_members_of_other_routes_are_not_looked_at():
     assert rows.keys == ["name", "type"]
 
 
+def test_payloads_beyond_the_limit_are_refused(spark):
+    sent = frame(spark, ['{"event":"a"}', None, "", "x" * 5000, '"' + "\u00e9" * 30 + '"'])
+    rows = source._spread(sent, 61).orderBy("seq").select("size", "payload").collect()
+    assert [tuple(row) for row in rows] == [(13, '{"event":"a"}'), (None, None), (None, None), (5000, None), (62, None)]
+
+
 def test_wide_projections_leave_whole_stages(spark):
     """A generated method over 8,000 bytes is never compiled by the JVM."""
     records = spark.createDataFrame([("a", AT, {"time": "1"})], "event STRING, received_at TIMESTAMP, props MAP<STRING, STRING>")

@@ -72,10 +72,12 @@ def _route(size: Column, body: Column, items: Column, max_bytes: int) -> Column:
 def _spread(messages: DataFrame, max_bytes: int) -> DataFrame:
     """(seq, received_at, size, payload), dealt to tasks; payloads beyond the limit stay behind."""
     payload = pick_payload(F.col("data_list"), F.col("data"))
-    sent = messages.select("seq", "received_at", payload.alias("payload"))
-    sized = once(sent, size=F.octet_length("payload"))
-    fits = F.when(F.col("size") <= max_bytes, F.col("payload"))
-    return sized.select("seq", "received_at", "size", fits.alias("payload")).repartition("seq", "received_at")
+    # Sized inside the array, so that a payload beyond the limit is not copied into a row.
+    sized = F.transform(
+        F.array(payload),
+        lambda p: F.struct(F.octet_length(p).alias("size"), F.when(F.octet_length(p) <= max_bytes, p).alias("payload")),
+    )
+    return messages.select("seq", "received_at", F.inline(sized)).repartition("seq", "received_at")
 
 
 def decode(messages: DataFrame, max_bytes: int = MAX_PAYLOAD_BYTES, only: str | None = None) -> DataFrame:
