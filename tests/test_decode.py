@@ -338,3 +338,9 @@ def test_wide_projections_leave_whole_stages(spark):
     sizes = re.findall(r"maxMethodCodeSize:(\d+)", plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")))
     limit = int(spark.conf.get("spark.sql.codegen.hugeMethodLimit"))
     assert limit == 8000 and max(map(int, sizes)) > limit
+
+
+def test_decoding_tasks_are_not_merged_by_size(spark):
+    sent = frame(spark, ['[{"event":"a"}]'] * 400)
+    tasks = source.decode(sent).select("seq", F.spark_partition_id().alias("task"))
+    assert tasks.select("task").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))

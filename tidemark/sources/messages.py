@@ -77,7 +77,9 @@ def _spread(messages: DataFrame, max_bytes: int) -> DataFrame:
         F.array(payload),
         lambda p: F.struct(F.octet_length(p).alias("size"), F.when(F.octet_length(p) <= max_bytes, p).alias("payload")),
     )
-    return messages.select("seq", "received_at", F.inline(sized)).repartition("seq", "received_at")
+    # A number of its own: messages are small and dear, and tasks merged by size would be few.
+    tasks = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return messages.select("seq", "received_at", F.inline(sized)).repartition(tasks, "seq", "received_at")
 
 
 def decode(messages: DataFrame, max_bytes: int = MAX_PAYLOAD_BYTES, only: str | None = None) -> DataFrame:
