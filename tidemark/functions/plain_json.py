@@ -9,6 +9,7 @@ message; on plain ones both give the same rows.
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
@@ -20,6 +21,9 @@ _DIGITS = 30
 # Messages whose leaves are held as Python objects at a time.
 _CHUNK = 512
 
+# In a nested text: whatever is not printable ASCII, and what is escaped or tells arrays apart.
+_ODD = re.compile(r"[^ -~]|[&<>\[{]").search
+
 _LEAF = "struct<key:string,kind:string,text:string>"
 _TYPE = f"struct<route:string,items:array<struct<method:string,leaves:array<{_LEAF}>>>>"
 
@@ -66,7 +70,7 @@ def _nested_text(value, depth: int) -> str:
     if depth > _DEPTH:
         raise ValueError("deep")
     if type(value) is str:
-        if not (value.isascii() and value.isprintable()) or any(c in value for c in "&<>[{"):
+        if _ODD(value):
             raise ValueError(value)
         return f'"{value}"'
     if type(value) is _Whole or type(value) is _Fraction:
@@ -75,7 +79,7 @@ def _nested_text(value, depth: int) -> str:
             raise ValueError(value)
         return text
     if type(value) is list:
-        if any(type(item) is list for item in value):
+        if list in map(type, value):
             raise ValueError("array in array")
         return "[" + ",".join([_nested_text(item, depth + 1) for item in value]) + "]"
     if type(value) is dict:
