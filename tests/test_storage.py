@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import dedup, migrate, profiles
+from tidemark.operators import dedup, evolve, migrate, profiles
 from tidemark.operators.ingest import ingest, ingest_events
 from tidemark.sources import footers, tables
 from tidemark.sources import messages as source
@@ -316,6 +316,43 @@ def test_ingest_stores_refusals_and_removes_staged_copies(spark, tmp_path):
     assert set(Path(spark.conf.get("spark.checkpoint.dir")).iterdir()) == before
 
 
+def test_rows_without_rare_columns_are_stored_narrow(spark, tmp_path):
+    root, wide = str(tmp_path), {f"k{i:02d}": str(i) for i in range(60)}
+
+    def extra(i):
+        return {"usual": str(i), **({**wide, "revenue": "2.5"} if i == 7 else {}), **({"k01": "", "bad-key": "x"} if i == 8 else {})}
+
+    for batch in ("b-0", "b-1", "b-1"):  # the same batch again replaces itself
+        rows = [message(i, i, f"{batch}-{i}", **extra(i)) for i in range(200)]
+        ingest(spark.createDataFrame(rows, flush.MESSAGE_SCHEMA), root, batch)
+    rows = {r["event"]: r for r in tables.read_events(spark, f"{root}/events").collect()}
+    assert len(rows) == 400 and tables.read_events(spark, f"{root}/events").count() == 400
+    for batch in ("b-0", "b-1"):
+        for i in range(200):
+            row = rows[f"{batch}-{i}"]
+            assert [row[k] for k in wide] == [v if i == 7 else "" for v in wide.values()]
+            assert row["usual"] == str(i) and row["revenue"] == (2.5 if i == 7 else 0.0)
+            assert row["other"] == ({"bad-key": "x"} if i == 8 else {})
+    stored = [pq.ParquetFile(f) for f in stored_files(f"{root}/events")]
+    assert sum(f.metadata.num_rows for f in stored if "k59" in f.schema_arrow.names) == 4
+    assert all({"usual", "revenue"} <= set(f.schema_arrow.names) for f in stored)
+
+
+@pytest.mark.parametrize(
+    "held, rows, rare",
+    [
+        ({"a": 100, "c": 1, "d": 0, "e": 1}, 100, {"c", "d", "e"}),
+        ({"a": 100, "b": 100}, 100, set()),
+        ({"a": 30, "b": 30, "c": 30, "d": 30}, 100, set()),
+        ({"a": 1, "b": 2}, 100, {"a", "b"}),
+        ({}, 100, set()),
+        ({"a": 0}, 0, set()),
+    ],
+)
+def test_rare_columns_leave_fewer_than_half_the_cells(held, rows, rare):
+    assert evolve.rare_columns(held, rows) == rare
+
+
 def test_compaction_keeps_rows_and_the_newest_batch(spark, tmp_path):
     path = str(tmp_path / "t")
     for i in range(4):

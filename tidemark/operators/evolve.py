@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,15 +27,17 @@ def leaf_rows(records: DataFrame, *ids: str) -> DataFrame:
     return records.select(*ids, F.inline("leaves"))
 
 
-def new_text_columns(records: DataFrame, known: Collection[str]) -> DataFrame:
-    """(column, type, definition, rows) for each valid key that is not a column yet.
+def key_counts(records: DataFrame) -> DataFrame:
+    """(column, rows) for each key of the records.
 
     Keys are counted by a partial aggregate; only distinct keys are shuffled.
     """
-    keys = leaf_rows(records).groupBy(F.col("key").alias("column")).agg(
-        F.count(F.lit(1)).alias("rows")
-    )
-    fresh = keys.filter(valid_name(F.col("column")) & ~F.col("column").isin(sorted(known)))
+    return leaf_rows(records).groupBy(F.col("key").alias("column")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def fresh_text_columns(counts: DataFrame, known: Collection[str]) -> DataFrame:
+    """(column, type, definition, rows) for each valid key that is not a column yet."""
+    fresh = counts.filter(valid_name(F.col("column")) & ~F.col("column").isin(sorted(known)))
     name = F.lit(detect.STRING)
     return fresh.select(
         "column",
@@ -45,6 +47,26 @@ def new_text_columns(records: DataFrame, known: Collection[str]) -> DataFrame:
     )
 
 
+def new_text_columns(records: DataFrame, known: Collection[str]) -> DataFrame:
+    """``fresh_text_columns`` of the records' keys."""
+    return fresh_text_columns(key_counts(records), known)
+
+
+def rare_columns(held: Mapping[str, int], rows: int) -> set[str]:
+    """The columns that only a few of a batch's rows hold, given how many hold each.
+
+    Rows without them can be stored narrow. The columns are those that leave the fewest cells, were
+    every value of theirs in a row of its own; none if that would not halve the cells.
+    """
+    order = sorted(held, key=lambda name: (-held[name], name))
+    left, cells = sum(held.values()), []
+    for n, name in enumerate(order):
+        cells.append(rows * n + min(rows, left) * len(order))
+        left -= held[name]
+    fewest = min(cells, default=0)
+    return set(order[cells.index(fewest) :]) if 0 < 2 * fewest <= rows * len(order) else set()
+
+
 def infer_column_types(leaf_rows: DataFrame) -> DataFrame:
     """(column, type, samples): the type each key's samples agree on."""
     detected = leaf_rows.select(

@@ -8,7 +8,7 @@ from tidemark.functions import detect
 from tidemark.operators import evolve
 from tidemark.operators.dedup import drop_exact_duplicates
 from tidemark.operators.profiles import ProfileStore
-from tidemark.schema import EVENT_CORE, RESERVED, event_rows, other_properties
+from tidemark.schema import EVENT_CORE, FEW_COLUMNS, RESERVED, event_rows, other_properties
 from tidemark.session import stage, staged
 from tidemark.sources import tables
 from tidemark.sources.messages import (
@@ -52,21 +52,37 @@ def store_records(
     """Append event records to the table at ``path`` and return the columns they added.
 
     New columns are judged against those the table has, whose types stay. Properties that get no
-    column are in the map ``other``.
+    column are in the map ``other``. Files of text rows lack columns that none of their rows hold;
+    where few rows of a batch hold most of its columns, the others are stored apart without these.
     """
-    spark = records.sparkSession
-    stored = stored_columns(tables.stored_schema(spark, path))
+    table = tables.stored_schema(records.sparkSession, path)
+    stored = stored_columns(table)
     names = [name for name, _ in stored]
-    find = evolve.new_typed_columns if typed else evolve.new_text_columns
-    added = evolve.collect_columns(find(records, {*EVENT_CORE, *names}), names, max_columns)
-    columns = [*stored, *added]
+    known = {*EVENT_CORE, *names}
     if typed:
-        rows = evolve.typed_table(records, columns, "received_at", *KEEP, "event")
+        added = evolve.collect_columns(evolve.new_typed_columns(records, known), names, max_columns)
+        rows = evolve.typed_table(records, [*stored, *added], "received_at", *KEEP, "event")
+        tables.append_batch(rows, path, batch)
+        return added
+    with staged(evolve.key_counts(records), "keys") as counts:
+        added = evolve.collect_columns(evolve.fresh_text_columns(counts, known), names, max_columns)
+        names += [name for name, _ in added]
+        held = {row["column"]: row["rows"] for row in counts.filter(F.col("column").isin(names)).collect()}
+    # Columns that don't read as empty text where they lack are in every file.
+    fixed = {name for name in names if name == "revenue" or not table.get(name, ("", True))[1]}
+    held = {name: rows for name, rows in held.items() if name not in fixed}
+    rare = evolve.rare_columns(held, records.count()) if len(held) > FEW_COLUMNS else set()
+    other = other_properties(F.col("props"), names).alias("other")
+
+    def rows(part: DataFrame, columns: set[str]) -> DataFrame:
+        return event_rows(part, [name for name in names if name in columns], tz, (*KEEP, other))
+
+    if rare:
+        holds_rare = F.coalesce(F.exists(F.map_keys("props"), lambda key: key.isin(sorted(rare))), F.lit(False))
+        wide, narrow = records.filter(holds_rare), rows(records.filter(~holds_rare), {*fixed, *held} - rare)
     else:
-        names = [name for name, _ in columns]
-        other = other_properties(F.col("props"), names).alias("other")
-        rows = event_rows(records, names, tz, (*KEEP, other))
-    tables.append_batch(rows, path, batch, empty_text=not typed)
+        wide, narrow = records, None
+    tables.append_batch(rows(wide, {*fixed, *held}), path, batch, empty_text=True, narrow=narrow)
     return added
 
 

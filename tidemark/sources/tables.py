@@ -68,12 +68,13 @@ def stored_schema(spark: SparkSession, path: str) -> dict[str, tuple[str, bool]]
     return found
 
 
-def append_batch(events: DataFrame, path: str, batch: str, empty_text: bool = False) -> None:
+def append_batch(events: DataFrame, path: str, batch: str, empty_text: bool = False, narrow: DataFrame | None = None) -> None:
     """Write a batch under its own key, replacing what an earlier try wrote.
 
     Columns that are new to the table go into its record before the rows are written, so a
     reader never lacks a column that it finds. With ``empty_text`` text that older rows lack
-    reads as empty.
+    reads as empty. ``narrow`` are further rows of the batch, with some of the columns only; until
+    they are written as well, a reader sees the others alone.
     """
     spark = events.sparkSession
     known = stored_schema(spark, path)
@@ -85,6 +86,8 @@ def append_batch(events: DataFrame, path: str, batch: str, empty_text: bool = Fa
         record = spark.createDataFrame(fresh, "name STRING, type STRING, empty BOOLEAN, place INT")
         record.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}_schema/batch={batch}")
     append_events(events, f"{path}/batch_id={batch}", mode="overwrite")
+    if narrow is not None:
+        append_events(narrow, f"{path}/batch_id={batch}")
 
 
 def _stored(spark: SparkSession, path: str, files: list[str] | None = None) -> DataFrame:
