@@ -16,6 +16,7 @@ from tidemark.sources import footers, tables
 from tidemark.sources import messages as source
 from tidemark.session import scratch_dir
 from tidemark.streaming import flush
+from tidemark.workload import pipelines
 
 AT = dt.datetime(2024, 1, 1)
 RECORDS = "seq BIGINT, received_at TIMESTAMP, distinct_id STRING, method STRING, props MAP<STRING,STRING>"
@@ -244,6 +245,23 @@ def test_stream_grows_columns_and_keeps_late_events(spark, tmp_path):
     assert spark.read.parquet(f"{root}/out/rejects").count() == 1
 
 
+class Ended:
+    def awaitTermination(self):
+        pass
+
+
+def test_parts_of_long_messages_take_little_disk(spark, tmp_path):
+    rows = spark.range(16).select(
+        F.col("id").alias("seq"),
+        F.expr("timestamp'2024-01-01' + make_dt_interval(2 * id)").alias("received_at"),
+        F.lit("").alias("data_list"),
+        F.concat(F.col("id"), F.repeat(F.lit("x"), F.lit(1 << 20))).alias("data"),
+    )
+    pipelines._in_two_parts(rows, "received_at", str(tmp_path), Ended)
+    assert sum(f.stat().st_size for f in tmp_path.glob("*.parquet")) < 100_000
+    assert sorted(spark.read.parquet(str(tmp_path)).collect()) == sorted(rows.collect())
+
+
 def test_stream_horizon_spans_flushes(spark, tmp_path):
     root = str(tmp_path)
     write(spark, [message(1, 0, "a"), message(2, 1, "b")], f"{root}/in")
